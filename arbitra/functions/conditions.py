@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.functions.values import field, loosely_equal, normalize_enum
@@ -37,17 +37,14 @@ def firsthand(fields: Column) -> Column:
     return account.isNull() | (account == "firsthand")
 
 
-def rich_filter(fields: Column, cond: Mapping, enums: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """F8: key/value, key/list, field+equals / not_equals, and, or; string values compared
-    loosely after enum normalisation.  A missing field matches nothing."""
-    enums = {k.lower(): v for k, v in (enums or {}).items()}
+def rich_filter(value: Callable[[str], Column], cond: Mapping) -> Column:
+    """F8: key/value, key/list, field+equals / not_equals, and, or; values compared loosely.
 
+    ``value`` gives the column of a field name.  A missing field matches nothing.
+    """
     def matches(name: str, expected) -> Column:
-        actual = field(fields, name)
-        if name.lower() in enums:
-            actual = normalize_enum(actual, enums[name.lower()])
         wanted = expected if isinstance(expected, (list, tuple)) else [expected]
-        hit = one_of([loosely_equal(actual, F.lit(str(w))) for w in wanted])
+        hit = one_of([loosely_equal(value(name), F.lit(str(w))) for w in wanted])
         return F.coalesce(hit, F.lit(False))
 
     parts = []
@@ -55,14 +52,37 @@ def rich_filter(fields: Column, cond: Mapping, enums: Mapping[str, Sequence[str]
         parts.append(matches(cond["field"], cond["equals"]))
     if "field" in cond and "not_equals" in cond:
         parts.append(~matches(cond["field"], cond["not_equals"]))
-    parts += [rich_filter(fields, c, enums) for c in cond.get("and", [])]
+    parts += [rich_filter(value, c) for c in cond.get("and", [])]
     if "or" in cond:
-        parts.append(one_of([rich_filter(fields, c, enums) for c in cond["or"]]))
+        parts.append(one_of([rich_filter(value, c) for c in cond["or"]]))
     special = {"field", "equals", "not_equals", "and", "or"}
     parts += [matches(k, v) for k, v in cond.items() if k not in special]
     return all_of(parts)
 
 
+def fields_of(cond: Mapping) -> set[str]:
+    """Names of the fields that a rich filter reads."""
+    names = {cond["field"]} if "field" in cond else set()
+    for part in (*cond.get("and", []), *cond.get("or", [])):
+        names |= fields_of(part)
+    return names | {k for k in cond if k not in ("field", "equals", "not_equals", "and", "or")}
+
+
+def with_values(df: DataFrame, names: Sequence[str], enums: Mapping[str, Sequence[str]] | None = None):
+    """The named fields as plain columns, enums normalised.
+
+    Returns the frame and the function from a field name to its column.  Reading the map once
+    keeps later expressions small.
+    """
+    legal = {k.lower(): v for k, v in (enums or {}).items()}
+    lows = sorted({n.lower() for n in names})
+    # Two steps, so that the map look-up is not repeated by every branch of the normalising.
+    looked = df.select("*", *[field(F.col("fields"), n).alias(f"_r_{n}") for n in lows])
+    normal = {n: normalize_enum(F.col(f"_r_{n}"), legal[n]) if n in legal else F.col(f"_r_{n}") for n in lows}
+    out = looked.select(*df.columns, *[c.alias(f"_f_{n}") for n, c in normal.items()])
+    return out, lambda name: F.col(f"_f_{name.lower()}")
+
+
 def event_matches(fields: Column, conditions: Sequence[Mapping], logic: str = "ALL") -> Column:
     """``fields`` maps a field to the array of its values; no conditions match nothing."""
     parts = []

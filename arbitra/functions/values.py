@@ -51,17 +51,9 @@ def lit_array(values: Sequence) -> Column:
 
 def field(fields: Column, name: str) -> Column:
     """Value of a map key: exact, lower, upper, then any case."""
-    lowered = F.transform_values(
-        F.map_from_entries(
-            F.transform(
-                F.array_distinct(F.transform(F.map_keys(fields), F.lower)),
-                lambda k: F.struct(k.alias("key"), k.alias("value")),
-            )
-        ),
-        lambda k, _: F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]) == k)[0]["value"],
-    )
-    choices = [F.try_element_at(fields, F.lit(n)) for n in (name, name.lower(), name.upper())]
-    return F.coalesce(*choices, F.try_element_at(lowered, F.lit(name.lower())))
+    choices = [F.try_element_at(fields, F.lit(n)) for n in dict.fromkeys((name, name.lower(), name.upper()))]
+    any_case = F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]) == name.lower())
+    return F.coalesce(*choices, F.get(any_case, F.lit(0))["value"])
 
 
 def lower_keys(fields: Column) -> Column:

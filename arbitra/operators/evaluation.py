@@ -207,8 +207,11 @@ def judgement_checks(claims: DataFrame, incidents: DataFrame) -> DataFrame:
     main = F.coalesce(pick(lambda c: c["f"] == want_field), pick(lambda c: same_field(c["f"], want_field)))
     judged = F.coalesce(known_value(main["j"], list(SEVERITY_POINTS)), F.lower(main["j"]))
     ok = F.coalesce(same_value(judged, F.col("value")), F.lit(False))
-    assurance = F.coalesce(*[pick(lambda c, n=n: c["f"] == n) for n in ASSURANCE_FIELDS])
-    staff = pick(lambda c: c["f"] == "STAFF_RESPONSE")
+    def named(name: str) -> Column:
+        return pick(lambda c: c["f"] == name)
+
+    assurance = F.coalesce(*[named(n) for n in ASSURANCE_FIELDS])
+    staff = named("STAFF_RESPONSE")
 
     def modifier(claim: Column, words: Sequence[str], label: str) -> Column:
         detected = known_value(claim["j"], words).isNotNull()

@@ -9,18 +9,18 @@ All row-level steps share one ``groupBy(business_id)``; later steps are plain co
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.functions.conditions import (
-    EXPRESSION_FUNCTIONS, has_incident, is_none_value, outcome_fields, rich_filter,
-    validated_expression,
+    EXPRESSION_FUNCTIONS, fields_of, has_incident, is_none_value, outcome_fields, rich_filter,
+    validated_expression, with_values,
 )
 from arbitra.functions.scoring import age_years, recency_by_max_age
 from arbitra.functions.text import quote_check
-from arbitra.functions.values import ARROW, field, loosely_equal, normalize_enum, strict_enum
+from arbitra.functions.values import ARROW, field, loosely_equal, strict_enum
 
 CASE_BLOCK = re.compile(r"CASE\s+(.+?)\s+END", re.I | re.S)
 EQUALS = re.compile(r"WHEN\s+(\w+)\s*=\s*(?:['\"]([^'\"]+)['\"]|(\w+))\s+THEN\s+(-?[\d.]+)", re.I)
@@ -38,27 +38,24 @@ def enum_values(program: Mapping) -> dict[str, list[str]]:
     }
 
 
-def _value(program: Mapping, name: str) -> Column:
-    legal = {n.lower(): v for n, v in enum_values(program).items()}.get(name.lower())
-    raw = field(F.col("fields"), name)
-    return F.coalesce(normalize_enum(raw, legal) if legal else raw, F.lit(""))
-
-
-def case_points(text: str, program: Mapping) -> Column:
+def case_points(text: str, value: Callable[[str], Column]) -> Column:
     """Per-row number of a CASE text; several blocks add up.
 
     Equality branches are tried before membership branches; equality is loose, membership is
-    exact up to case.
+    exact up to case.  ``value`` gives the column of a field name.
     """
+    def actual(name: str) -> Column:
+        return F.coalesce(value(name), F.lit(""))
+
     total = F.lit(0.0)
     for body in CASE_BLOCK.findall(text):
         branches = [
-            (loosely_equal(_value(program, f), F.lit(quoted or bare)), float(n))
+            (loosely_equal(actual(f), F.lit(quoted or bare)), float(n))
             for f, quoted, bare, n in EQUALS.findall(body)
         ]
         for f, values, n in MEMBER.findall(body):
             listed = [v.strip().strip("'\"").lower().strip() for v in values.split(",")]
-            branches.append((F.lower(F.trim(_value(program, f))).isin(listed), float(n)))
+            branches.append((F.lower(F.trim(actual(f))).isin(listed), float(n)))
         other = ELSE.search(body)
         out = F.lit(float(other.group(1)) if other else 0.0)
         for hit, n in reversed(branches):
@@ -123,21 +120,20 @@ def run_program(
     if program.get("_abstain"):
         return businesses.select("business_id", F.lit("ABSTAIN").alias("VERDICT"))
     steps = program.get("compute", [])
-    enums = enum_values(program)
     declared = {f["name"] for f in program.get("extract", {}).get("fields", [])}
     recency = program.get("scoring", {}).get("recency_rules", {}).get("rules")
-    fields = F.col("fields")
+    rows, value_of = with_values(extractions, sorted(_fields_read(steps, declared)), enum_values(program))
 
     def where(step: Mapping) -> Column:
         cond = step.get("where") or step.get("condition") or {}
-        return rich_filter(fields, cond, enums) if cond else F.lit(True)
+        return rich_filter(value_of, cond) if cond else F.lit(True)
 
     def row_value(text: str) -> Column:
         if text.strip().upper().startswith("CASE"):
-            return case_points(text, program)
+            return case_points(text, value_of)
         used = {w for w in re.findall(r"[A-Za-z_]\w*", text) if w in declared}
         for name in used:
-            text = re.sub(rf"\b{name}\b", f"try_cast(fields['{name}'] AS double)", text)
+            text = re.sub(rf"\b{name}\b", f"try_cast(_f_{name.lower()} AS double)", text)
         return F.expr(text).try_cast("double")
 
     aggregates = []
@@ -153,14 +149,14 @@ def run_program(
                 F.coalesce(F.sum(F.when(where(step), value)), F.lit(0.0)).alias(name)
             )
         elif op == "case" and step.get("source") in declared:
-            source = F.coalesce(field(fields, step["source"]), F.lit("none"))
+            source = F.coalesce(value_of(step["source"]), F.lit("none"))
             per_row = _rules_column(source, step["rules"], [], numeric=True, default=0.0)
             aggregates.append(F.coalesce(F.sum(per_row), F.lit(0.0)).alias(name))
         elif op == "expr":
             for n, block in enumerate(_case_blocks(step.get("expr", "0"))):
-                aggregates.append(F.sum(case_points(block, program)).alias(f"_{name}_{n}"))
+                aggregates.append(F.sum(case_points(block, value_of)).alias(f"_{name}_{n}"))
     aggregates.append(F.count(F.lit(1)).alias("_rows"))
-    totals = extractions.groupBy("business_id").agg(*aggregates)
+    totals = rows.groupBy("business_id").agg(*aggregates)
     known = businesses.select("business_id", *[c for c in context]).join(totals, "business_id", "left")
     numeric = [c for c, t in totals.dtypes if c != "business_id"]
     out = known.fillna(0, subset=numeric)
@@ -189,6 +185,15 @@ def run_program(
     return out.select("business_id", *dict.fromkeys(names), F.col("_rows").alias("extractions"))
 
 
+def _fields_read(steps: Sequence[Mapping], declared: set[str]) -> set[str]:
+    read = set(declared)
+    for step in steps:
+        read |= fields_of(step.get("where") or step.get("condition") or {})
+        text = str(step.get("expr", ""))
+        read |= {m[0] for m in EQUALS.findall(text)} | {m[0] for m in MEMBER.findall(text)}
+    return read
+
+
 def _case_blocks(text: str) -> list[str]:
     return [m.group(0) for m in CASE_BLOCK.finditer(text)]
 
@@ -257,23 +262,24 @@ def validation_counts(extractions: DataFrame, program: Mapping) -> DataFrame:
 
     Rows carry ``is_relevant, quote, text, fields``.
     """
+    enums = enum_values(program)
     blank = F.coalesce(F.trim("quote"), F.lit("")) == ""
-    valid = quote_check(F.col("quote"), F.col("text"))["valid"]
-    relevant = extractions.where("is_relevant").select(
-        F.when(blank, "rejected_no_quote").when(valid, "valid_quote").otherwise("rejected_quote_not_found").alias("outcome"),
-        "fields",
+    looked = extractions.where("is_relevant").select(
+        blank.alias("blank"),
+        quote_check(F.col("quote"), F.col("text"))["valid"].alias("valid"),
+        *[field(F.col("fields"), n).alias(f"_r_{i}") for i, n in enumerate(enums)],
     )
+    kept = ~F.col("blank") & F.col("valid")
     checks = [
-        F.when(field(F.col("fields"), n).isNotNull(), strict_enum(field(F.col("fields"), n), v)["ok"])
-        for n, v in enum_values(program).items()
+        F.when(kept & F.col(f"_r_{i}").isNotNull(), strict_enum(F.col(f"_r_{i}"), v)["ok"])
+        for i, v in enumerate(enums.values())
     ]
-    kept = F.col("outcome") == "valid_quote"
-    count = lambda flag: sum((F.when(kept & (c == flag), 1).otherwise(0) for c in checks), F.lit(0))
-    return relevant.agg(
+    count = lambda flag: sum((F.count_if(c == flag) for c in checks), F.lit(0))
+    return looked.agg(
         F.count(F.lit(1)).alias("total_relevant"),
-        F.count_if(F.col("outcome") == "rejected_no_quote").alias("rejected_no_quote"),
-        F.count_if(F.col("outcome") == "rejected_quote_not_found").alias("rejected_quote_not_found"),
+        F.count_if("blank").alias("rejected_no_quote"),
+        F.count_if(~F.col("blank") & ~F.col("valid")).alias("rejected_quote_not_found"),
         F.count_if(kept).alias("valid_quotes"),
-        F.coalesce(F.sum(count(True)), F.lit(0)).alias("enum_valid"),
-        F.coalesce(F.sum(count(False)), F.lit(0)).alias("enum_rejected"),
+        count(True).alias("enum_valid"),
+        count(False).alias("enum_rejected"),
     )

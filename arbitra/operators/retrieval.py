@@ -98,15 +98,16 @@ def _bm25_postings(docs: DataFrame, terms_of: Mapping[str, list[str]], id_col: s
         "query_id string, token string, times int, needed int",
     )
     vocabulary = wanted.select("token").distinct()
-    words = tokens(F.col("text"))
+    # Token list and length first: beside an explode they would be computed once per token.
+    split = docs.select(id_col, tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
     postings = (
-        docs.select(id_col, F.size(words).alias("dl"), F.explode(words).alias("token"))
+        split.select(id_col, "dl", F.explode("words").alias("token"))
         .join(vocabulary, "token", "left_semi")
         .groupBy("token", id_col, "dl")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = docs.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size(words)).alias("avg_len")).alias("s"))
+    stats = split.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len")).alias("s"))
     gain = F.col("times") * sc.idf(F.col("s.n"), F.col("df")) * sc.bm25_weight(F.col("tf"), F.col("dl"), F.col("s.avg_len"))
     return (
         postings.join(wanted.join(df, "token"), "token")

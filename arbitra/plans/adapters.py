@@ -6,7 +6,7 @@ definitions in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbitra.operators import datasets, judgments
@@ -19,34 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.date_add(F.lit("2015-01-01").cast("date"), (F.col("doc_id") * 37 % 2500).cast("int"))
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("review_id"),
-        F.col("source").alias("business_id"),
-        F.col("doc_id").alias("user_id"),
-        (1 + F.col("doc_id") % 5).cast("double").alias("stars"),
-        (F.col("n_chars") % 7).alias("useful"),
-        F.date_format(day, "yyyy-MM-dd").alias("date"),
-        "text",
-        "lang",
-        F.col("doc_id").alias("pos"),
+    return table(spark, sf, "documents").selectExpr(
+        "string(doc_id) AS review_id", "source AS business_id", "doc_id AS user_id",
+        "double(1 + doc_id % 5) AS stars", "n_chars % 7 AS useful",
+        "date_format(date_add(DATE '2015-01-01', int(doc_id * 37 % 2500)), 'yyyy-MM-dd') AS date",
+        "text", "lang", "doc_id AS pos",
     )
 
 
-def business_number() -> Column:
-    return F.substring("source", 4, 10).cast("int")
-
-
 def businesses(spark: SparkSession, sf: str) -> DataFrame:
-    kind = business_number() % 3
-    categories = F.when(kind == 0, "Thai, Restaurants").when(kind == 1, "Bars, Food").otherwise("Shopping")
     rolled = table(spark, sf, "documents").groupBy("source").agg(
-        F.avg((1 + F.col("doc_id") % 5).cast("double")).alias("stars"), F.count(F.lit(1)).alias("review_count")
+        F.expr("avg(double(1 + doc_id % 5)) AS stars"), F.expr("count(*) AS review_count")
     )
-    return rolled.select(
-        F.col("source").alias("business_id"), F.upper("source").alias("name"),
-        F.concat(F.lit("City"), (business_number() % 4).cast("string")).alias("city"), F.lit("ST").alias("state"),
-        "stars", "review_count", categories.alias("categories"),
+    return rolled.selectExpr(
+        "source AS business_id", "upper(source) AS name", "concat('City', string(int(substr(source, 4)) % 4)) AS city",
+        "'ST' AS state", "stars", "review_count",
+        "CASE int(substr(source, 4)) % 3 WHEN 0 THEN 'Thai, Restaurants' WHEN 1 THEN 'Bars, Food' ELSE 'Shopping' END AS categories",
     )
 
 
@@ -59,28 +47,18 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_judgments(spark: SparkSession, sf: str) -> DataFrame:
     """Four judgements per document: one by the large model, three runs of the small one."""
-    runs = [("m-large", 1, 0), ("m-small", 1, 1), ("m-small", 2, 2), ("m-small", 3, 3)]
-    each = F.explode(
-        F.array(*[F.struct(F.lit(m).alias("model"), F.lit(r).alias("run"), F.lit(o).alias("ord")) for m, r, o in runs])
-    )
-    base = table(spark, sf, "documents").select(
-        F.col("doc_id"), F.col("source").alias("business_id"), (F.col("doc_id") % 10007).alias("d")
-    )
-    rows = base.select("doc_id", "business_id", ((F.col("d") * F.col("d") * 31 + F.col("d") * 7919) % 10007).alias("q"), each.alias("m"))
-    rows = rows.select("doc_id", "business_id", "q", "m.*")
-    h = (F.col("q") + F.col("run") * 17 + F.length("model") * 5) % 101
-    g = (F.col("q") * 3 + F.col("run") * 13 + F.col("ord")) % 97
-    severity = F.when(h < 6, "severe").when(h < 18, "moderate").when(h < 35, "mild").otherwise("none")
-    fields = {
-        "incident_severity": severity,
-        "account_type": F.when(g % 4 == 0, "secondhand").otherwise("firsthand"),
-        "assurance_claim": F.when(g % 5 == 0, "true").otherwise("false"),
-        "staff_response": F.when(g % 3 == 0, "dismissive").when(g % 3 == 1, "accommodated").otherwise("none"),
-    }
-    return rows.select(
-        F.lit(cat.TOPIC).alias("topic"), F.col("doc_id").cast("string").alias("review_id"), "business_id", "model", "run", "ord",
-        ((severity != "none") | (g % 2 == 0)).alias("is_relevant"),
-        F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]).alias("fields"),
+    base = table(spark, sf, "documents").selectExpr("doc_id", "source AS business_id", "doc_id % 10007 AS d")
+    runs = """inline(array(struct('m-large', 1, 0), struct('m-small-x', 1, 1), struct('m-small-x', 2, 2),
+                           struct('m-small-x', 3, 3))) AS (model, run, ord)"""
+    rows = base.selectExpr("doc_id", "business_id", "(d * d * 31 + d * 7919) % 10007 AS q", runs)
+    hashed = rows.selectExpr("*", "(q + run * 4 + length(model) * 5) % 101 AS h", "(q * 3 + run * 13 + ord) % 97 AS g")
+    return hashed.selectExpr(
+        f"'{cat.TOPIC}' AS topic", "string(doc_id) AS review_id", "business_id", "model", "run", "ord",
+        "h < 35 OR g % 2 = 0 AS is_relevant",
+        """map('incident_severity', CASE WHEN h < 6 THEN 'severe' WHEN h < 18 THEN 'moderate' WHEN h < 35 THEN 'mild' ELSE 'none' END,
+               'account_type', CASE WHEN g % 4 = 0 THEN 'secondhand' ELSE 'firsthand' END,
+               'assurance_claim', CASE WHEN g % 5 = 0 THEN 'true' ELSE 'false' END,
+               'staff_response', CASE g % 3 WHEN 0 THEN 'dismissive' WHEN 1 THEN 'accommodated' ELSE 'none' END) AS fields""",
     )
 
 
@@ -134,89 +112,72 @@ def large_model(spark: SparkSession, sf: str) -> DataFrame:
     return raw_judgments(spark, sf).where("model = 'm-large'")
 
 
+SEVERITY = "fields['incident_severity']"
+POINTS = "CASE {c} WHEN 'severe' THEN 15 WHEN 'moderate' THEN 5 WHEN 'mild' THEN 2 ELSE 0 END"
+LABEL = "CASE {c} WHEN 'severe' THEN 'Critical Risk' WHEN 'moderate' THEN 'High Risk' ELSE 'Low Risk' END"
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """One predicted verdict per document (entity), in the spellings models use."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("review_id"), "n_chars", "lang")
-    rows = large_model(spark, sf).join(docs, "review_id").join(
-        voted(spark, sf).select("review_id", F.col("fields")["incident_severity"].alias("v")), "review_id"
-    )
-    s = F.col("fields")["incident_severity"]
-    named = lambda c: F.when(c == "severe", "Critical Risk").when(c == "moderate", "High Risk").otherwise("Low Risk")
-    points = F.when(s == "severe", 15).when(s == "moderate", 5).when(s == "mild", 2).otherwise(0)
-    return rows.select(
-        F.col("review_id").alias("business_id"),
-        F.when(s == "severe", "Critical Risk").when(s == "moderate", "'High Risk'").when(s == "mild", "HIGH_RISK").otherwise("Low Risk").alias("verdict"),
-        F.when(F.col("n_chars") % 3 != 0, F.col("n_chars") % 100 / 10.0).alias("risk_score"),
-        F.when(F.col("lang") == "es", "timeout").alias("error"),
-        F.when(F.col("v") != "none", F.concat(F.lit("SCORE >= 4 → "), named(F.col("v")))).alias("triggered_rule"),
-        F.when(F.col("lang") == "de", "n/a").otherwise(points.cast("string")).alias("claimed_score"),
+    docs = table(spark, sf, "documents").selectExpr("string(doc_id) AS review_id", "n_chars", "lang")
+    large = large_model(spark, sf).selectExpr("review_id", "fields['incident_severity'] AS s")
+    votes = voted(spark, sf).selectExpr("review_id", "fields['incident_severity'] AS v")
+    return large.join(docs, "review_id").join(votes, "review_id").selectExpr(
+        "review_id AS business_id",
+        """CASE s WHEN 'severe' THEN 'Critical Risk' WHEN 'moderate' THEN "'High Risk'" WHEN 'mild' THEN 'HIGH_RISK' ELSE 'Low Risk' END AS verdict""",
+        "CASE WHEN n_chars % 3 <> 0 THEN n_chars % 100 / 10D END AS risk_score",
+        "CASE WHEN lang = 'es' THEN 'timeout' END AS error",
+        f"CASE WHEN v <> 'none' THEN concat('SCORE >= 4 → ', {LABEL.format(c='v')}) END AS triggered_rule",
+        f"CASE WHEN lang = 'de' THEN 'n/a' ELSE string({POINTS.format(c='s')}) END AS claimed_score",
     )
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     """True verdicts of labelled documents; the true score comes from the voted severity."""
-    labels = table(spark, sf, "labels").withColumn("business_id", F.col("doc_id").cast("string"))
-    s = F.col("fields")["incident_severity"]
-    points = F.when(s == "severe", 15).when(s == "moderate", 5).when(s == "mild", 2).otherwise(0)
-    v = voted(spark, sf).select(F.col("review_id").alias("business_id"), points.alias("score"))
-    verdict = F.when(F.col("toxic") == 1, "Critical Risk").when(F.col("quality") == 0, "High Risk").otherwise("Low Risk")
-    return labels.join(v, "business_id").select("business_id", verdict.alias("verdict"), "score")
+    labels = table(spark, sf, "labels").selectExpr(
+        "string(doc_id) AS business_id",
+        "CASE WHEN toxic = 1 THEN 'Critical Risk' WHEN quality = 0 THEN 'High Risk' ELSE 'Low Risk' END AS verdict",
+    )
+    scores = voted(spark, sf).selectExpr("review_id AS business_id", POINTS.format(c=SEVERITY) + " AS score")
+    return labels.join(scores, "business_id")
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence claimed by the large model per business, with quotes cut from the text."""
     texts = reviews(spark, sf).select("review_id", "text", "lang", "pos")
-    rows = large_model(spark, sf).where(F.col("fields")["incident_severity"] != "none").join(texts, "review_id")
-    n = F.length("text")
-    snippet = (
-        F.when(F.col("lang") == "en", F.substring("text", 11, 80))
-        .when(F.col("lang") == "fr", F.lit("not said anywhere in it"))
-        .otherwise(F.concat(F.substring("text", 1, 40), F.lit("... "), F.substring(F.col("text"), F.greatest(F.lit(1), n - 29), F.lit(30))))
+    large = large_model(spark, sf).where("fields['incident_severity'] <> 'none'").select("business_id", "review_id", "fields")
+    rows = large.join(texts, "review_id").selectExpr(
+        "business_id", "review_id", "pos", "lang",
+        """CASE lang WHEN 'en' THEN substring(text, 11, 80) WHEN 'fr' THEN 'not said anywhere in it'
+                ELSE concat(substring(text, 1, 40), '... ', right(text, 30)) END AS snippet""",
+        """posexplode(array_compact(array(
+               named_struct('field', 'INCIDENT_SEVERITY', 'judgement', concat(fields['incident_severity'], ' incident')),
+               CASE WHEN fields['assurance_claim'] = 'true' THEN named_struct('field', 'ASSURANCE_OF_SAFETY', 'judgement', 'Yes') END,
+               named_struct('field', 'STAFF_RESPONSE', 'judgement', fields['staff_response'])))) AS (i, c)""",
     )
-    f = F.col("fields")
-    each = F.posexplode(
-        F.array_compact(
-            F.array(
-                F.struct(F.lit("INCIDENT_SEVERITY").alias("field"), F.concat(f["incident_severity"], F.lit(" incident")).alias("judgement")),
-                F.when(f["assurance_claim"] == "true", F.struct(F.lit("ASSURANCE_OF_SAFETY").alias("field"), F.lit("Yes").alias("judgement"))),
-                F.struct(F.lit("STAFF_RESPONSE").alias("field"), f["staff_response"].alias("judgement")),
-            )
-        )
-    )
-    out = rows.select("business_id", "review_id", "pos", snippet.alias("snippet"), "lang", each.alias("i", "c"))
-    return out.select(
-        "business_id", F.concat(F.lit("E"), F.col("review_id"), F.lit("_"), F.col("i").cast("string")).alias("evidence_id"),
-        (F.col("pos") * 3 + F.col("i")).alias("pos"), "review_id", "c.field", "c.judgement", "snippet",
-        (F.col("lang") != "de").alias("is_direct"),
+    return rows.selectExpr(
+        "business_id", "concat('E', review_id, '_', i) AS evidence_id", "pos * 3 + i AS pos", "review_id", "c.field",
+        "c.judgement", "snippet", "lang <> 'de' AS is_direct",
     )
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
     """True incidents per review, from the votes."""
-    f = F.col("fields")
     where = reviews(spark, sf).select("review_id", "business_id")
-    mods = F.array_compact(
-        F.array(F.when(f["assurance_claim"] == "true", F.lit("False assurance")), F.when(f["staff_response"] == "dismissive", F.lit("Dismissive staff")))
-    )
-    return (
-        voted(spark, sf)
-        .where(F.col("is_relevant") & (f["incident_severity"] != "none"))
-        .join(where, "review_id")
-        .select("business_id", "review_id", F.lit("incident_severity").alias("field"), f["incident_severity"].alias("value"), mods.alias("modifiers"))
+    found = voted(spark, sf).where("is_relevant AND fields['incident_severity'] <> 'none'").join(where, "review_id")
+    return found.selectExpr(
+        "business_id", "review_id", "'incident_severity' AS field", "fields['incident_severity'] AS value",
+        """array_compact(array(CASE WHEN fields['assurance_claim'] = 'true' THEN 'False assurance' END,
+                               CASE WHEN fields['staff_response'] = 'dismissive' THEN 'Dismissive staff' END)) AS modifiers""",
     )
 
 
 def business_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted verdict and claimed score per business, from the large model's severities."""
-    s = F.col("fields")["incident_severity"]
-    points = F.when(s == "severe", 15).when(s == "moderate", 5).when(s == "mild", 2).otherwise(0)
-    rolled = large_model(spark, sf).groupBy("business_id").agg(F.sum(points).alias("total"))
-    return rolled.select(
-        "business_id",
-        F.when(F.col("total") >= 60, "Critical Risk").when(F.col("total") >= 4, "HIGH_RISK").otherwise("Low Risk").alias("verdict"),
-        F.lit(None).cast("double").alias("risk_score"),
-        F.lit(None).cast("string").alias("error"),
-        F.col("total").cast("string").alias("claimed_score"),
+    points = F.expr(f"sum({POINTS.format(c=SEVERITY)}) AS total")
+    return large_model(spark, sf).groupBy("business_id").agg(points).selectExpr(
+        "business_id", "CASE WHEN total >= 60 THEN 'Critical Risk' WHEN total >= 4 THEN 'HIGH_RISK' ELSE 'Low Risk' END AS verdict",
+        "double(NULL) AS risk_score", "string(NULL) AS error", "string(total) AS claimed_score",
     )
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 SCALES = [10, 25, 50]
-QUOTA = {"m-large": 1, "m-small": 3}
-WEIGHTS = {"m-large": 2, "m-small": 1}
+QUOTA = {"m-large": 1, "m-small-x": 3}
+WEIGHTS = {"m-large": 2, "m-small-x": 1}
 TOPIC = "G1_service"
 
 FIELDS = {

@@ -77,10 +77,10 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
                CASE WHEN g % 5 = 0 THEN 'true' ELSE 'false' END AS assurance_claim,
                CASE g % 3 WHEN 0 THEN 'dismissive' WHEN 1 THEN 'accommodated' ELSE 'none' END AS staff_response,
                h < 35 OR g % 2 = 0 AS is_relevant
-        FROM (SELECT *, (q + run * 17 + length(model) * 5) % 101 AS h, (q * 3 + run * 13 + ord) % 97 AS g
+        FROM (SELECT *, (q + run * 4 + length(model) * 5) % 101 AS h, (q * 3 + run * 13 + ord) % 97 AS g
               FROM (SELECT doc_id, source, (d * d * 31 + d * 7919) % 10007 AS q
                     FROM (SELECT doc_id, source, doc_id % 10007 AS d FROM documents)),
-                   (VALUES ('m-large', 1, 2, 0), ('m-small', 1, 1, 1), ('m-small', 2, 1, 2), ('m-small', 3, 1, 3)) m(model, run, w, ord))"""),
+                   (VALUES ('m-large', 1, 2, 0), ('m-small-x', 1, 1, 1), ('m-small-x', 2, 1, 2), ('m-small-x', 3, 1, 3)) m(model, run, w, ord))"""),
     "stored": (["raw"], """
         SELECT * FROM raw WHERE run < 3 OR review_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"""),
     "tally": (["raw"], """
@@ -184,16 +184,16 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
         SELECT business_id, y_pred, y_true, COALESCE(risk_score, y_pred * 5e0) AS risk_score
         FROM predictions JOIN truth USING (business_id) WHERE error IS NULL"""),
     "claims": (["raw", "reviews"], """
-        SELECT business_id, review_id, field, judgement, snippet, lang, text, lang <> 'de' AS is_direct FROM (
+        SELECT business_id, review_id, e.field AS field, e.judgement AS judgement, snippet, lang, text, lang <> 'de' AS is_direct FROM (
             SELECT r.business_id, review_id, UNNEST([
                        {'field': 'INCIDENT_SEVERITY', 'judgement': incident_severity || ' incident'},
                        CASE WHEN assurance_claim = 'true' THEN {'field': 'ASSURANCE_OF_SAFETY', 'judgement': 'Yes'} END,
                        {'field': 'STAFF_RESPONSE', 'judgement': staff_response}]) AS e,
-                   e.field AS field, e.judgement AS judgement, lang, text,
+                   lang, text,
                    CASE lang WHEN 'en' THEN substring(text, 11, 80) WHEN 'fr' THEN 'not said anywhere in it'
                         ELSE substring(text, 1, 40) || '... ' || right(text, 30) END AS snippet
             FROM raw r JOIN reviews v USING (review_id) WHERE model = 'm-large' AND incident_severity <> 'none')
-        WHERE field IS NOT NULL"""),
+        WHERE e IS NOT NULL"""),
     "incidents": (["judg", "reviews"], """
         SELECT business_id, review_id, incident_severity AS value, assurance_claim = 'true' AS assured, staff_response = 'dismissive' AS dismissed
         FROM judg JOIN reviews USING (review_id) WHERE is_relevant AND incident_severity <> 'none'"""),

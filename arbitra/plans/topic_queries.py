@@ -395,8 +395,10 @@ def _(spark, sf):
 
 @query("sentence_pieces", ["reviews"], rf"""
     SELECT review_id, len(p) AS pieces, list_aggregate(list_transform(p, lambda x: length(x)), 'sum') AS chars FROM (
-        SELECT review_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {norm('x')}), lambda x: length(x) >= 10) AS p
-        FROM reviews) WHERE len(p) > 0""")
+        SELECT review_id, CASE WHEN len(s) > 0 THEN s WHEN contains(text, '...') AND len(e) > 0 THEN e WHEN length({norm('text')}) >= 10 THEN [{norm('text')}] ELSE [] END AS p FROM (
+            SELECT review_id, text, list_filter(list_transform(string_split(text, '...'), lambda x: {norm('x')}), lambda x: length(x) >= 10) AS e,
+                   list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {norm('x')}), lambda x: length(x) >= 10) AS s
+            FROM reviews)) WHERE len(p) > 0""")
 def _(spark, sf):
     """X16."""
     p = tx.segments(F.col("text"))
