@@ -29,8 +29,13 @@ def json_array(text: Column) -> Column:
 
 
 def string_map(text: Column) -> Column:
-    """A JSON object as map<string,string>, null when the text is not valid JSON."""
-    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, "map<string,string>"))
+    """A JSON object as map<string,string>, null when the text is anything else.
+
+    Read as the only element of a list, so that words after the object are not passed over.
+    """
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    parsed = F.from_json(listed, "array<map<string,string>>")
+    return F.when(F.try_parse_json(listed).isNotNull() & (F.size(parsed) == 1), F.get(parsed, F.lit(0)))
 
 
 def bucket_verdict(label: Column) -> Column:

@@ -20,7 +20,7 @@ from arbitra.functions.conditions import event_matches
 from arbitra.functions.ranking import (
     prefix_totals, quantile_bins, quantiles, rank_normalize, top_per_key,
 )
-from arbitra.session import dimension
+from arbitra.session import dimension, materialize
 
 POOLS = [("bm25", "pos"), ("bm25", "neg"), ("emb", "pos"), ("emb", "neg")]
 
@@ -344,14 +344,16 @@ def select_batch(
     overall can ever be picked, so the driver sees at most that many per head list.
     """
     spark = scores.sparkSession
-    per_bin = open_z.join(scores.select("review_id", "score"), "review_id")
+    # Each head list below reads these two, so they are written once.
+    scores = materialize(scores.select("review_id", "business_id", "score"))
+    per_bin = materialize(open_z.select("review_id", "primitive_id", "bin").join(scores, "review_id"))
     by_score = [F.desc("score"), F.col("review_id")]
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), "review_id"))
     key = ["primitive_id", "bin"]
     best = top_per_key(per_bin, key, by_score, coverage + max(1, max_reviews // 4)).select(*key, "rn", "review_id")
     sparse = top_per_key(per_bin, key, [hashed, F.col("review_id")], max_reviews).select(*key, "rn", "review_id")
     drop = calibration.select(*key, sc.variance_drop(F.col("alpha"), F.col("beta")).alias("dv"))
-    sizes = open_z.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(drop, key)
+    sizes = per_bin.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(drop, key)
 
     def heads(df: DataFrame) -> dict[tuple, list[str]]:
         out: dict[tuple, list[str]] = {}

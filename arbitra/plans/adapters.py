@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arbitra.operators import datasets, judgments
 from arbitra.plans import catalog as cat
-from arbitra.session import dimension
+from arbitra.session import dimension, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,9 +199,10 @@ def gates(spark: SparkSession) -> DataFrame:
 
 
 def gate_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Gate scores are kept as a table, for every later step ranks and joins them."""
     from arbitra.operators.retrieval import bm25
 
-    return bm25(reviews(spark, sf), cat.GATE_QUERIES).withColumnRenamed("query_id", "gate_id")
+    return materialize(bm25(reviews(spark, sf), cat.GATE_QUERIES).withColumnRenamed("query_id", "gate_id"))
 
 
 def pool(spark: SparkSession, sf: str) -> DataFrame:

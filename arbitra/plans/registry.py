@@ -46,7 +46,7 @@ def longs(*names: str) -> list[Column]:
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
     from arbitra.plans import (  # noqa: F401
-        evaluation_queries, judgment_queries, topic_queries,
+        active_queries, evaluation_queries, judgment_queries, source_queries, topic_queries,
     )
 
     return dict(QUERIES), dict(ORACLE)

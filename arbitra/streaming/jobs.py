@@ -62,17 +62,21 @@ def vote_stream(
 
 def usage_windows(usage: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """ST3: calls, tokens and cost per window and model; works on streams and tables."""
-    marked = usage.withWatermark("ts", late)
+    marked = _timed(usage, late)
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     return _totals(marked.groupBy(window.alias("w"), "model"))
 
 
 def usage_sessions(usage: DataFrame, gap: str = "30 minutes", key: str = "model", late: str = "1 hour") -> DataFrame:
     """ST3: session windows per key."""
-    marked = usage.withWatermark("ts", late)
+    marked = _timed(usage, late)
     return _totals(marked.groupBy(F.session_window("ts", gap).alias("w"), key))
 
 
+def _timed(usage: DataFrame, late: str) -> DataFrame:
+    return usage.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def _totals(grouped) -> DataFrame:
     out = grouped.agg(
         F.count(F.lit(1)).alias("calls"),
