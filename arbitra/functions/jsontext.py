@@ -34,8 +34,10 @@ def string_map(text: Column) -> Column:
     Read as the only element of a list, so that words after the object are not passed over.
     """
     listed = F.concat(F.lit("["), text, F.lit("]"))
-    parsed = F.from_json(listed, "array<map<string,string>>")
-    return F.when(F.try_parse_json(listed).isNotNull() & (F.size(parsed) == 1), F.get(parsed, F.lit(0)))
+    parsed = F.from_json(listed, "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    # Wrapped once more, so that the text is parsed once and looked at twice.
+    only = F.transform(F.array(parsed), lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))))
+    return F.get(only, F.lit(0))
 
 
 def bucket_verdict(label: Column) -> Column:

@@ -104,21 +104,22 @@ def ranked_places(hits: DataFrame, businesses: DataFrame, min_hits: int, n: int)
     return top_per_key(joined, ["topic"], [F.desc("hits"), F.col("business_id")], n, "rank")
 
 
-def pattern_score(
-    text: Column, patterns: Sequence[tuple[str, float]], boost: Column | None = None
-) -> Column:
+def pattern_flags(text: Column, patterns: Sequence[tuple[str, float]]) -> Column:
+    """array<boolean>, does each pattern occur?"""
+    return F.array(*[text.rlike("(?i)" + p) for p, _ in patterns])
+
+
+def flag_score(flags: Column, patterns: Sequence[tuple[str, float]]) -> Column:
     """Sum of the weights of the patterns that occur; each counts once."""
     total = F.lit(0.0)
-    for pattern, weight in patterns:
-        worth = F.lit(float(weight)) if boost is None else F.lit(float(weight)) * boost
-        total = total + F.when(text.rlike("(?i)" + pattern), worth).otherwise(F.lit(0.0))
+    for i, (_, weight) in enumerate(patterns):
+        total = total + F.when(flags[i], F.lit(float(weight))).otherwise(F.lit(0.0))
     return total
 
 
-def matched_patterns(text: Column, patterns: Sequence[tuple[str, float]]) -> Column:
+def flag_matches(flags: Column, patterns: Sequence[tuple[str, float]]) -> Column:
     """The patterns that occur, in list order."""
-    found = F.array(*[F.when(text.rlike("(?i)" + p), F.lit(p)) for p, _ in patterns])
-    return F.array_compact(found)
+    return F.array_compact(F.array(*[F.when(flags[i], F.lit(p)) for i, (p, _) in enumerate(patterns)]))
 
 
 def score_reviews(
@@ -129,34 +130,40 @@ def score_reviews(
     """F4 + X2: one row per (topic, review) with a positive score.
 
     The literal prefilter comes first and is part of the meaning: a review without any of a
-    topic's keywords scores nothing even where a pattern would match.  ``custom_scorer``
-    (UD1) may replace the critical score.
+    topic's keywords scores nothing even where a pattern would match.  Low-star reviews weigh
+    their critical patterns more.  ``custom_scorer`` (UD1) may replace the critical score.
+
+    Every pattern is tried once per review that passes the prefilter; scores and matches are
+    read from the flags.
     """
-    text = F.col("text")
-    low = F.lower(text)
+    low = F.lower("text")
+    flags = []
+    for i, t in enumerate(topics):
+        gate = any_of(low, t["keywords"]) if t.get("keywords") else F.lit(True)
+        both = pattern_flags(F.col("text"), [*t["critical"], *t["high"]])
+        flags.append(F.when(gate, both).alias(f"_t{i}"))
+    flagged = reviews.select("*", *flags)
     boost = F.when(F.col("stars") <= LOW_STARS, F.lit(LOW_STAR_BOOST)).otherwise(F.lit(1.0))
 
-    def scored(t: Mapping) -> Column:
-        gate = any_of(low, t["keywords"]) if t.get("keywords") else F.lit(True)
-        critical = (
-            custom_scorer(reviews, t) if custom_scorer else pattern_score(text, t["critical"], boost)
-        )
+    def scored(i: int, t: Mapping) -> Column:
+        own, n = F.col(f"_t{i}"), len(t["critical"])
+        critical, high = F.slice(own, 1, n), F.slice(own, n + 1, len(t["high"]))
+        score = custom_scorer(reviews, t) if custom_scorer else flag_score(critical, t["critical"]) * boost
         return F.when(
-            gate,
+            own.isNotNull(),
             F.struct(
                 F.lit(t["topic"]).alias("topic"),
-                critical.alias("critical_score"),
-                pattern_score(text, t["high"]).alias("high_score"),
-                matched_patterns(text, t["critical"]).alias("critical_matches"),
-                matched_patterns(text, t["high"]).alias("high_matches"),
+                score.alias("critical_score"),
+                flag_score(high, t["high"]).alias("high_score"),
+                flag_matches(critical, t["critical"]).alias("critical_matches"),
+                flag_matches(high, t["high"]).alias("high_matches"),
             ),
         )
 
-    per_topic = F.explode(F.array_compact(F.array(*[scored(t) for t in topics])))
+    per_topic = F.explode(F.array_compact(F.array(*[scored(i, t) for i, t in enumerate(topics)])))
     return (
-        reviews.withColumn("_s", per_topic)
-        .select("*", "_s.*")
-        .drop("_s")
+        flagged.select(*reviews.columns, per_topic.alias("_s"))
+        .select(*reviews.columns, "_s.*")
         .where((F.col("critical_score") > 0) | (F.col("high_score") > 0))
     )
 

@@ -74,7 +74,7 @@ def _(spark, sf):
     SELECT primitive_id, rank, ROUND(z, 6) AS z FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY primitive_id ORDER BY z DESC) AS rank FROM z) WHERE rank <= 10""")
 def _(spark, sf):
     """T4."""
-    return ac.top_reviews(ad.z_scores(spark, sf)).select("primitive_id", *longs("rank"), r6("z"))
+    return ac.top_reviews(z_table(spark, sf)).select("primitive_id", *longs("rank"), r6("z"))
 
 
 @query("entity_ranks", ["z", "reviews"], """
@@ -82,7 +82,7 @@ def _(spark, sf):
         SELECT primitive_id, business_id, MAX(z) AS m FROM z JOIN reviews USING (review_id) GROUP BY primitive_id, business_id)""")
 def _(spark, sf):
     """W9."""
-    return ac.entity_ranks(ad.z_scores(spark, sf), ad.pool(spark, sf)).select("primitive_id", "business_id", r6("max_z"), *longs("rank"))
+    return ac.entity_ranks(z_table(spark, sf), ad.pool(spark, sf)).select("primitive_id", "business_id", r6("max_z"), *longs("rank"))
 
 
 @query("positive_entity_ranks", ["z", "reviews", "verdicts"], """
@@ -93,7 +93,7 @@ def _(spark, sf):
 def _(spark, sf):
     """J20, F21."""
     truth = ad.verdict_table(spark, sf).where("policy_id = 'S1V3' AND k = 50").select("business_id", "verdict")
-    out = ac.positive_ranks(ad.z_scores(spark, sf), ad.pool(spark, sf), truth)
+    out = ac.positive_ranks(z_table(spark, sf), ad.pool(spark, sf), truth)
     return out.select("primitive_id", "business_id", *longs("rank"), "verdict")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arbitra.operators import datasets, judgments
 from arbitra.plans import catalog as cat
-from arbitra.session import dimension, materialize
+from arbitra.session import dimension, materialize, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews for queries that work on their texts."""
+    return spread(reviews(spark, sf), "review_id")
+
+
 def businesses(spark: SparkSession, sf: str) -> DataFrame:
     rolled = table(spark, sf, "documents").groupBy("source").agg(
         F.expr("avg(double(1 + doc_id % 5)) AS stars"), F.expr("count(*) AS review_count")
@@ -144,9 +149,9 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence claimed by the large model per business, with quotes cut from the text."""
-    texts = reviews(spark, sf).select("review_id", "text", "lang", "pos")
+    quoted = reviews(spark, sf).select("review_id", "text", "lang", "pos")
     large = large_model(spark, sf).where("fields['incident_severity'] <> 'none'").select("business_id", "review_id", "fields")
-    rows = large.join(texts, "review_id").selectExpr(
+    rows = large.join(quoted, "review_id").selectExpr(
         "business_id", "review_id", "pos", "lang",
         """CASE lang WHEN 'en' THEN substring(text, 11, 80) WHEN 'fr' THEN 'not said anywhere in it'
                 ELSE concat(substring(text, 1, 40), '... ', right(text, 30)) END AS snippet""",
@@ -202,7 +207,7 @@ def gate_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Gate scores are kept as a table, for every later step ranks and joins them."""
     from arbitra.operators.retrieval import bm25
 
-    return materialize(bm25(reviews(spark, sf), cat.GATE_QUERIES).withColumnRenamed("query_id", "gate_id"))
+    return materialize(bm25(texts(spark, sf), cat.GATE_QUERIES).withColumnRenamed("query_id", "gate_id"))
 
 
 def pool(spark: SparkSession, sf: str) -> DataFrame:

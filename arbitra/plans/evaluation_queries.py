@@ -229,33 +229,33 @@ def _(spark, sf):
 @query("corpus_statistics", ["doc_tokens"], "SELECT COUNT(*) AS n_docs, ROUND(AVG(len(tok)), 6) AS avg_len, CAST(SUM(len(tok)) AS BIGINT) AS n_tokens FROM doc_tokens")
 def _(spark, sf):
     """A19."""
-    return rt.corpus_stats(ad.reviews(spark, sf)).select("n_docs", r6("avg_len"), "n_tokens")
+    return rt.corpus_stats(ad.texts(spark, sf)).select("n_docs", r6("avg_len"), "n_tokens")
 
 
 @query("document_frequency", ["postings"], "SELECT token, COUNT(*) AS df FROM postings GROUP BY token")
 def _(spark, sf):
     """A19."""
-    return rt.document_frequency(ad.reviews(spark, sf))
+    return rt.document_frequency(ad.texts(spark, sf))
 
 
 @query("bm25_scores", ["bm25"], "SELECT query_id, review_id, ROUND(score, 5) AS score FROM bm25")
 def _(spark, sf):
     """A20, J15, X22."""
-    return rt.bm25(ad.reviews(spark, sf), cat.GATE_QUERIES).select("query_id", "review_id", F.round("score", 5).alias("score"))
+    return rt.bm25(ad.texts(spark, sf), cat.GATE_QUERIES).select("query_id", "review_id", F.round("score", 5).alias("score"))
 
 
 @query("bm25_postings", ["bm25"], "SELECT query_id, review_id, ROUND(score, 5) AS score FROM bm25")
 def _(spark, sf):
     """A20 through the postings join that large query sets take."""
     terms = {q: t for q, t in rt.query_terms(cat.GATE_QUERIES).items()}
-    return rt._bm25_postings(ad.reviews(spark, sf), terms, "review_id").select("query_id", "review_id", F.round("score", 5).alias("score"))
+    return rt._bm25_postings(ad.texts(spark, sf), terms, "review_id").select("query_id", "review_id", F.round("score", 5).alias("score"))
 
 
 @query("bm25_topk", ["bm25"], """
     SELECT query_id, rank, ROUND(score, 4) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM bm25) WHERE rank <= 10""")
 def _(spark, sf):
     """A20, T1."""
-    top = rt.bm25_topk(rt.bm25(ad.reviews(spark, sf), cat.GATE_QUERIES), 10)
+    top = rt.bm25_topk(rt.bm25(ad.texts(spark, sf), cat.GATE_QUERIES), 10)
     return top.select("query_id", *longs("rank"), F.round("score", 4).alias("score"))
 
 
@@ -295,7 +295,7 @@ def _(spark, sf):
         SELECT *, ROW_NUMBER() OVER (PARTITION BY sample_id ORDER BY s DESC, review_id) AS rank FROM sims JOIN poor USING (sample_id) WHERE (sample_id, review_id) NOT IN (SELECT (sample_id, review_id) FROM kw)) WHERE rank <= 5""")
 def _(spark, sf):
     """A vector is that of the document with its number, a label is a sample."""
-    words = ad.reviews(spark, sf).where(F.array_contains(tx.tokens(F.col("text")), "thing")).select("review_id")
+    words = ad.texts(spark, sf).where(F.array_contains(tx.tokens(F.col("text")), "thing")).select("review_id")
     keyword = vectors(spark, sf).join(words, "review_id", "left_semi").select("sample_id", "review_id")
     return rt.hybrid(keyword, vectors(spark, sf), label_queries(spark, sf), 3, 5)
 
@@ -317,7 +317,7 @@ def _(spark, sf):
     """F17."""
     from arbitra.functions.ranking import top_per_key
 
-    scores = rt.bm25(ad.reviews(spark, sf), cat.GATE_QUERIES).where("query_id = 'g_place_pos'").select("review_id", F.round("score", 9).alias("score"))
+    scores = rt.bm25(ad.texts(spark, sf), cat.GATE_QUERIES).where("query_id = 'g_place_pos'").select("review_id", F.round("score", 9).alias("score"))
     ranked = top_per_key(ad.reviews(spark, sf).join(scores, "review_id"), ["business_id"], [F.desc("score"), F.col("review_id")], 5, "rank")
     out = rt.reduced_context(ranked.select("business_id", "rank", "review_id", "text"), ad.businesses(spark, sf))
     ids = F.from_json("context", "reviews array<struct<review_id:string>>")["reviews"]["review_id"]

@@ -134,7 +134,7 @@ def _(spark, sf):
     SELECT topic, severity, business_id, ROUND(max_critical_score, 6) AS max_critical_score, ROUND(max_high_score, 6) AS max_high_score FROM biz_scores""")
 def _(spark, sf):
     """One document per topic, topic taken from the file name."""
-    scored = topics.business_scores(topics.score_reviews(ad.reviews(spark, sf), cat.TOPICS))
+    scored = topics.business_scores(topics.score_reviews(ad.texts(spark, sf), cat.TOPICS))
     listed = topics.with_business(scored, ad.businesses(spark, sf))
     entry = F.struct(*[c.split()[0] for c in files.HIT_FIELDS.split(", ")])
     lists = listed.groupBy("topic").agg(

@@ -22,11 +22,11 @@ _HIT_SQL = " UNION ALL ".join(
 
 
 def hits(spark, sf):
-    return topics.keyword_hits(ad.reviews(spark, sf), HIT_PATTERNS)
+    return topics.keyword_hits(ad.texts(spark, sf), HIT_PATTERNS)
 
 
 def scored(spark, sf):
-    return topics.score_reviews(ad.reviews(spark, sf), cat.TOPICS)
+    return topics.score_reviews(ad.texts(spark, sf), cat.TOPICS)
 
 
 def scores(spark, sf):
@@ -217,7 +217,7 @@ def _(spark, sf):
     for t in cat.TOPICS))
 def _(spark, sf):
     """A3."""
-    return topics.scan_counters(ad.reviews(spark, sf), cat.TOPICS).select("topic", "scanned", "passed", r6("pass_rate"))
+    return topics.scan_counters(ad.texts(spark, sf), cat.TOPICS).select("topic", "scanned", "passed", r6("pass_rate"))
 
 
 @query("sample_reviews", ["scored"], """
@@ -370,27 +370,27 @@ def _(spark, sf):
 def _(spark, sf):
     """X3, X19."""
     n = tx.normalize(F.col("text"))
-    return ad.reviews(spark, sf).select("review_id", F.sha1(n).alias("text_hash"), F.length(n).cast("long").alias("chars"))
+    return ad.texts(spark, sf).select("review_id", F.sha1(n).alias("text_hash"), F.length(n).cast("long").alias("chars"))
 
 
 @query("token_counts", ["doc_tokens"], "SELECT review_id, len(tok) AS n, len(list_distinct(tok)) AS n_distinct FROM doc_tokens")
 def _(spark, sf):
     """X4."""
     t = tx.tokens(F.col("text"))
-    return ad.reviews(spark, sf).select("review_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return ad.texts(spark, sf).select("review_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 @query("topic_mask", ["doc_tokens"], "SELECT review_id, least(1e0, len(list_filter(list_distinct(tok), lambda t: t IN ('thing', 'erble', 'nicht', 'outre'))) / 2e0) AS mask FROM doc_tokens")
 def _(spark, sf):
     """F11; stop words among the anchors do not count."""
-    return ad.reviews(spark, sf).select("review_id", tx.topic_mask(F.col("text"), ["thing", "erble", "the", "nicht", "outre"]).alias("mask"))
+    return ad.texts(spark, sf).select("review_id", tx.topic_mask(F.col("text"), ["thing", "erble", "the", "nicht", "outre"]).alias("mask"))
 
 
 @query("anchor_filter", ["reviews"], f"SELECT review_id FROM reviews WHERE contains({norm('text')}, 'thing of') OR contains({norm('text')}, 'nicht')")
 def _(spark, sf):
     """F10."""
     anchors = F.array(F.lit(" Thing\tOF "), F.lit("nicht"), F.lit(" "))
-    return ad.reviews(spark, sf).where(tx.contains_anchor(F.col("text"), anchors)).select("review_id")
+    return ad.texts(spark, sf).where(tx.contains_anchor(F.col("text"), anchors)).select("review_id")
 
 
 @query("sentence_pieces", ["reviews"], rf"""
@@ -403,7 +403,7 @@ def _(spark, sf):
     """X16."""
     p = tx.segments(F.col("text"))
     size = F.aggregate(p, F.lit(0).cast("long"), lambda a, s: a + F.length(s))
-    return ad.reviews(spark, sf).select("review_id", F.size(p).cast("long").alias("pieces"), size.alias("chars")).where("pieces > 0")
+    return ad.texts(spark, sf).select("review_id", F.size(p).cast("long").alias("pieces"), size.alias("chars")).where("pieces > 0")
 
 
 @query("benchmark_phrases")

@@ -63,3 +63,14 @@ def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFr
     if len(rows) > MAX_DIM_ROWS:
         raise ValueError(f"{len(rows)} configuration rows; write them to a table instead")
     return F.broadcast(spark.createDataFrame(list(rows), schema).coalesce(1))
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a scan of few splits to all cores before work that is heavy per row.
+
+    A scan that already has a split per core, which is every large one, is left as it is and
+    costs no shuffle.  Meant for plain scans: their number of splits is known without a job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if splits >= cores else scan.repartition(cores, key)

@@ -90,7 +90,9 @@ def ingest(envelopes: DataFrame, reviews: DataFrame, topic: str, schema: Mapping
     usable = envelopes.where(
         (F.col("id.topic") == topic) & F.col("error").isNull() & F.col("content").isNotNull()
     )
-    answers = usable.select("id.*", string_map(unfenced(F.col("content"))).alias("a")).where(F.col("a").isNotNull())
+    # As a generator the answer is parsed once per line; a filter on it would parse it again.
+    readable = F.explode(F.array_compact(F.array(string_map(unfenced(F.col("content"))))))
+    answers = usable.select("id.*", readable.alias("a"))
     known = reviews.select("business_id", "review_id", "date", "stars", "useful")
     relevant = F.coalesce(
         F.try_element_at("a", F.lit("is_relevant")).try_cast("boolean"),
