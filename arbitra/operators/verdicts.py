@@ -229,7 +229,7 @@ def policy_verdicts(
                 F.sum(F.when(eligible, weighted).otherwise(F.lit(0))).alias(f"s{n}"),
                 F.count_if(eligible).alias(f"n{n}"),
             ]
-    totals = rows.groupBy(*ENTITY).agg(*aggregates)
+    totals = rows.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
     if entities is not None:
         totals = entities.join(totals, ENTITY, "left")
     counted = [names[_key(c)] for c in conditions if c.get("type", "") not in ("sum", "max", "min")]
