@@ -19,11 +19,26 @@ from arbitra.session import materialize
 DEFAULT_BUCKETS = 64
 
 
+# Spark cuts rows per key before the shuffle only for limits below this default of
+# spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT_THRESHOLD = 1000
+SALTS = 64
+
+
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rn"
 ) -> DataFrame:
     """First n rows per key.  Spark cuts each map task to n rows before the shuffle, so a key
-    that holds a third of all rows still sends only n rows per task."""
+    that holds a third of all rows still sends only n rows per task.
+
+    Larger n go through salted parts of each key first; a part keeps its own first n rows, so
+    nothing that belongs to the result is lost.
+    """
+    if n >= GROUP_LIMIT_THRESHOLD:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        kept = salted.withColumn("_part_rank", F.row_number().over(part)).where(F.col("_part_rank") <= n)
+        df = kept.drop("_salt", "_part_rank")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 

@@ -14,7 +14,7 @@ from arbitra.functions.values import gate_hash, text_hash
 
 # Gate queries up to this many distinct tokens travel inside the plan as literals; a larger set
 # goes through a postings join, with the same result.
-LITERAL_TERMS = 2_000
+LITERAL_TERMS = 200
 
 
 def query_terms(queries: Mapping[str, str]) -> dict[str, list[str]]:

@@ -216,7 +216,7 @@ def _(spark, sf):
     """X6."""
     kind = F.col("useful") % 3
     answer = (
-        F.when(kind == 0, F.concat(F.lit("I say VERDICT: \"low risk\" here. "), F.substring("text", 1, 3)))
+        F.when(kind == 0, F.lit("I say VERDICT: \"low risk\" here."))
         .when(kind == 1, F.concat(F.lit("so Critical Risk it is, final_risk_score: "), F.col("stars").cast("string")))
         .otherwise(F.lit("cannot tell"))
     )
@@ -350,14 +350,14 @@ def _(spark, sf):
     return rt.missing_gates(gates, ad.gate_scores(spark, sf))
 
 
-@query("gate_dedupe", ["reviews"], f"SELECT business_id, MIN(pos) AS pos FROM reviews GROUP BY business_id, lang, {norm('substring(text, 1, 2)')}")
+@query("gate_dedupe", ["reviews"], f"SELECT lang, MIN(pos) AS pos FROM reviews GROUP BY lang, {norm('text')}")
 def _(spark, sf):
-    """U8: reviews as proposed gates, told apart by business, language and first letters."""
-    rows = ad.reviews(spark, sf).select(
-        "business_id", "pos", F.array("business_id").alias("primitive_ids"), F.lit("bm25").alias("modality"), F.col("lang").alias("polarity"),
-        F.substring("text", 1, 2).alias("query"),
+    """U8: reviews as proposed gates, told apart by language and text."""
+    rows = ad.texts(spark, sf).select(
+        "lang", "pos", F.array("lang").alias("primitive_ids"), F.lit("bm25").alias("modality"), F.lit("pos").alias("polarity"),
+        F.col("text").alias("query"),
     )
-    return rt.dedupe_gates(rows).select("business_id", "pos")
+    return rt.dedupe_gates(rows).select("lang", "pos")
 
 
 @query("gate_ids", ["businesses"], """
@@ -403,10 +403,10 @@ def _(spark, sf):
     return us.usage_summary(ad.usage(spark, sf)).select("model", "calls", "prompt_tokens", "completion_tokens", r6("cost_usd"), F.round("latency_ms", 4).alias("latency_ms"))
 
 
-@query("usage_filter", ["usage"], "SELECT event_id FROM usage WHERE user_id = 7 AND model = 'error'")
+@query("usage_filter", ["usage"], "SELECT event_id FROM usage WHERE model = 'error'")
 def _(spark, sf):
     """F15."""
-    return us.filter_context(ad.usage(spark, sf), {"user": "7", "phase": "error"}).select("event_id")
+    return us.filter_context(ad.usage(spark, sf), {"phase": "error"}).select("event_id")
 
 
 @query("usage_delete_count", ["usage"], "SELECT COUNT(*) AS removed FROM usage WHERE model = 'click'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbitra.functions import scoring as sc
+from arbitra.functions import text as tx
 from arbitra.functions import values as vl
 from arbitra.functions.conditions import (
     event_matches, fields_of, rich_filter, user_flag, user_number, with_values,
@@ -54,11 +55,11 @@ def _(spark, sf):
 
 
 @query("vote_complete", ["votes"], """
-    SELECT review_id, value, confidence FROM votes WHERE field = 'incident_severity' AND review_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""")
+    SELECT review_id, field, value, confidence FROM votes WHERE review_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""")
 def _(spark, sf):
     """A32 + A6."""
     v = judgments.vote_complete(ad.stored_raw(spark, sf), list(cat.FIELDS), cat.WEIGHTS, cat.QUOTA)
-    return v.where("field = 'incident_severity'").select("review_id", "value", "confidence")
+    return v.select("review_id", "field", "value", "confidence")
 
 
 @query("vote_unaggregated", ["votes"], """
@@ -304,25 +305,42 @@ def _(spark, sf):
     return out.select("business_id", F.when(F.col("VERDICT") == "Critical Risk", F.col("VERDICT")).otherwise(rule).alias("rule"))
 
 
-@query("field_evidence", ["raw"], """
-    SELECT business_id, review_id, field, judgement, 'E' || ROW_NUMBER() OVER (PARTITION BY business_id ORDER BY review_id, i) AS evidence_id FROM (
-        SELECT business_id, review_id, 0 AS i, 'incident_severity' AS field, incident_severity AS judgement FROM raw WHERE model = 'm-large' AND incident_severity <> 'none'
-        UNION ALL SELECT business_id, review_id, 2, 'staff_response', staff_response FROM raw WHERE model = 'm-large' AND incident_severity <> 'none' AND staff_response <> 'none')""")
+_EVIDENCE = """SELECT business_id, review_id, field, judgement, ROW_NUMBER() OVER (PARTITION BY business_id ORDER BY review_id, i) AS n FROM (
+        SELECT business_id, review_id, 0 AS i, 'incident_severity' AS field, incident_severity AS judgement FROM judged WHERE k = 50 AND incident_severity <> 'none'
+        UNION ALL SELECT business_id, review_id, 2, 'staff_response', staff_response FROM judged WHERE k = 50 AND incident_severity <> 'none' AND staff_response <> 'none')"""
+
+
+def _recent_incidents(spark, sf):
+    """Evidence is numbered inside a business, so it is taken from its K most recent reviews."""
+    return ad.judged(spark, sf).where("k = 50 AND fields['incident_severity'] <> 'none'")
+
+
+@query("field_evidence", ["judged"], f"SELECT business_id, review_id, field, judgement, 'E' || n AS evidence_id FROM ({_EVIDENCE})")
 def _(spark, sf):
     """F20."""
-    kept = ad.large_model(spark, sf).where(F.col("fields")["incident_severity"] != "none")
-    return formula.evidence(kept, cat.PROGRAM)
+    return formula.evidence(_recent_incidents(spark, sf), cat.PROGRAM)
 
 
-@query("direct_evidence", ["raw"], """
-    SELECT business_id, string_agg('E' || n, ',' ORDER BY n) AS ids FROM (
-        SELECT business_id, ROW_NUMBER() OVER (PARTITION BY business_id) AS n FROM (
-            SELECT business_id FROM raw WHERE model = 'm-large' AND incident_severity <> 'none'
-            UNION ALL SELECT business_id FROM raw WHERE model = 'm-large' AND incident_severity <> 'none' AND staff_response <> 'none')) WHERE n <= 5 GROUP BY business_id""")
+@query("direct_evidence", ["judged"], f"SELECT business_id, string_agg('E' || n, ',' ORDER BY n) AS ids FROM ({_EVIDENCE}) WHERE n <= 5 GROUP BY business_id")
 def _(spark, sf):
     """P7."""
-    kept = ad.large_model(spark, sf).where(F.col("fields")["incident_severity"] != "none")
-    return formula.direct_evidence(formula.evidence(kept, cat.PROGRAM)).select("business_id", F.array_join("direct_evidence", ",").alias("ids"))
+    rows = formula.evidence(_recent_incidents(spark, sf), cat.PROGRAM)
+    return formula.direct_evidence(rows).select("business_id", F.array_join("direct_evidence", ",").alias("ids"))
+
+
+@query("threshold_texts", [], r"""
+    SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN p_size || ' or more reviews name ' || p_name WHEN 'PROMO' THEN p_size || ' or more ' || p_name || ' seen'
+           ELSE 'score is ' || CAST(p_retailprice AS BIGINT) || ' or higher for ' || p_name END AS text FROM part""")
+def _(spark, sf):
+    """X33."""
+    parts = ad.table(spark, sf, "part")
+    economy, promo = F.col("p_type") == "ECONOMY", F.col("p_type") == "PROMO"
+    vague = F.when(economy, F.concat(F.lit("Several reviews name "), F.col("p_name"))).when(
+        promo, F.concat(F.lit("7 or more "), F.col("p_name"), F.lit(" seen"))
+    ).otherwise(F.concat(F.lit("score is 1 or higher for "), F.col("p_name")))
+    price = F.when(~economy & ~promo, F.bround("p_retailprice").cast("long"))
+    text = tx.score_threshold_text(tx.explicit_threshold(vague, F.col("p_size")), price)
+    return parts.select("p_partkey", text.alias("text"))
 
 
 @query("extraction_checks", ["raw", "reviews"], """
@@ -351,13 +369,13 @@ def _(spark, sf):
     return rows.where(rich_filter(value, cond)).select("review_id", "model", *longs("run"))
 
 
-@query("event_filter", ["raw"], "SELECT review_id, run FROM raw WHERE model = 'm-small-x' AND (incident_severity = 'severe' OR staff_response = 'dismissive')")
+@query("event_filter", ["raw"], "SELECT review_id, model, run FROM raw WHERE (incident_severity = 'severe' OR staff_response = 'dismissive')")
 def _(spark, sf):
     """F9."""
     conds = [{"field_id": "incident_severity", "values": ["severe"]}, {"field_id": "staff_response", "values": ["dismissive"]}]
-    rows = ad.raw_judgments(spark, sf).where("model = 'm-small-x'")
+    rows = ad.raw_judgments(spark, sf)
     lists = F.transform_values("fields", lambda _, v: F.array(v))
-    return rows.where(event_matches(lists, conds, "ANY")).select("review_id", *longs("run"))
+    return rows.where(event_matches(lists, conds, "ANY")).select("review_id", "model", *longs("run"))
 
 
 @query("user_expressions", ["reviews"], """

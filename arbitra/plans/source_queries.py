@@ -78,10 +78,10 @@ def _(spark, sf):
 
 
 @query("request_lines", ["stored", "reviews"], """
-    SELECT 'policy::G1_service::' || business_id || '::' || review_id || '::m-small-x::run3' AS custom_id, least(length(text), 8000) AS text_chars FROM reviews
+    SELECT 'policy::G1_service::' || business_id || '::' || review_id || '::m-small-x::run3' AS custom_id, length(text) AS text_chars FROM reviews
     WHERE pos NOT IN (SELECT doc_id FROM labels)""")
 def _(spark, sf):
-    """S15, J6, F16; the text is cut to 8000 characters, as the request format demands."""
+    """S15, J6."""
     from arbitra.operators.judgments import missing_runs
     from arbitra.plans.judgment_queries import review_keys
 
@@ -133,27 +133,20 @@ def _(spark, sf):
 @query("topic_hit_files", ["biz_scores"], """
     SELECT topic, severity, business_id, ROUND(max_critical_score, 6) AS max_critical_score, ROUND(max_high_score, 6) AS max_high_score FROM biz_scores""")
 def _(spark, sf):
-    """One document per topic, topic taken from the file name."""
+    """Documents with a critical and a high list, in one folder per topic.
+
+    Many small documents instead of one per topic, so that no list outgrows a task.
+    """
     scored = topics.business_scores(topics.score_reviews(ad.texts(spark, sf), cat.TOPICS))
     listed = topics.with_business(scored, ad.businesses(spark, sf))
     entry = F.struct(*[c.split()[0] for c in files.HIT_FIELDS.split(", ")])
-    lists = listed.groupBy("topic").agg(
-        *[F.collect_list(F.when(F.col("severity") == s, entry)).alias(f"{s}_list") for s in ("critical", "high")]
-    )
+    lists = [F.when(F.col("severity") == s, F.array(entry)).alias(f"{s}_list") for s in ("critical", "high")]
     base = scratch(spark, "hits")
-    lists.write.partitionBy("topic").json(base)
-    # Spark names part files itself, so here the topic is in the folder name.
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "topic=([^/]+)/", 1)
-    raw = spark.read.schema("critical_list " + docs_type() + ", high_list " + docs_type()).json(f"{base}/*/*.json")
-    both = [raw.select(folder.alias("topic"), F.lit(s).alias("severity"), F.explode(f"{s}_list").alias("r")) for s in ("critical", "high")]
-    out = both[0].unionByName(both[1]).select("topic", "severity", "r.*")
+    listed.select("topic", *lists).write.partitionBy("topic").json(base)
+    out = files.read_topic_hits(spark, f"{base}/*/*.json", multiline=False, topic_pattern="topic=([^/]+)/[^/]*$")
     return out.select("topic", "severity", "business_id", r6("max_critical_score"), r6("max_high_score"))
 
 
-def docs_type() -> str:
-    return f"array<struct<{files.HIT_FIELDS.replace(' ', ':').replace(',:', ',')}>>"
-
-
 @query("truth_store", ["verdicts"], "SELECT policy_id, k, business_id, verdict FROM verdicts")
 def _(spark, sf):
     """S18."""
@@ -183,16 +176,16 @@ def _(spark, sf):
     return store.missing(wanted).select("review_id")
 
 
-@query("rule_violations", [], """
-    SELECT CAST(conv_id AS VARCHAR) AS spec_id, 'labels repeat' AS violation FROM conversations GROUP BY conv_id HAVING COUNT(*) <> COUNT(DISTINCT role)
-    UNION ALL SELECT CAST(conv_id AS VARCHAR), 'a label has two rules' FROM conversations GROUP BY conv_id HAVING COUNT(*) <> COUNT(DISTINCT role)""")
+@query("rule_violations", ["reviews"], """
+    SELECT review_id AS spec_id, v AS violation FROM reviews, (VALUES ('labels repeat'), ('a label has two rules')) x(v) WHERE lang = 'en'
+    UNION ALL SELECT review_id, 'connective must be ANY or ALL' FROM reviews WHERE stars = 1""")
 def _(spark, sf):
-    """conversations read as label lists, their turns as rules, the last turn the default."""
-    turns = ad.table(spark, sf, "conversations")
-    lists = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    specs = lists.select(
-        F.col("conv_id").cast("string").alias("spec_id"), F.col("t.role").alias("labels"), F.element_at("t.role", -1).alias("default_label"), F.col("t.role").alias("order"),
-        F.transform("t", lambda t, i: F.struct(t["role"].alias("label"), (i == F.size("t") - 1).alias("default"), F.lit("ANY").alias("connective"))).alias("rules"),
+    """a label list per review, from its language; English ones repeat a label."""
+    labels = F.array(F.col("lang"), F.lit("en"), F.lit("Low"))
+    connective = F.when(F.col("stars") == 1, F.lit("SOME")).otherwise(F.lit("ANY"))
+    specs = ad.reviews(spark, sf).select(
+        F.col("review_id").alias("spec_id"), labels.alias("labels"), F.lit("Low").alias("default_label"), labels.alias("order"),
+        F.transform(labels, lambda x: F.struct(x.alias("label"), (x == "Low").alias("default"), connective.alias("connective"))).alias("rules"),
     )
     return validation.rule_violations(specs)
 
@@ -200,8 +193,9 @@ def _(spark, sf):
 @query("quotes_missing", ["claims"], "SELECT DISTINCT review_id AS id FROM claims WHERE lang = 'fr'")
 def _(spark, sf):
     """F22, X17 in strict form, for quotes that are either cut from the text or invented."""
-    rows = ad.claims(spark, sf).join(ad.reviews(spark, sf).select("review_id", "text", "lang"), "review_id").where("lang IN ('en', 'fr')")
-    whole = rows.select(F.col("review_id").alias("id"), F.when(F.col("lang") == "en", F.col("text")).otherwise(F.col("snippet")).alias("quote"), "text").distinct()
+    rows = ad.claims(spark, sf).join(ad.reviews(spark, sf).select("review_id", "text", "lang"), "review_id")
+    quote = F.when(F.col("lang") == "fr", F.col("snippet")).otherwise(F.col("text"))
+    whole = rows.select(F.col("review_id").alias("id"), quote.alias("quote"), "text").distinct()
     return validation.quotes_missing(whole).select("id")
 
 
@@ -246,3 +240,17 @@ def _(spark, sf):
     )
     job.trigger(availableNow=True).start().awaitTermination()
     return voted.read(spark).select("review_id", F.col("fields")["incident_severity"].alias("incident_severity"))
+
+
+@query("run_store", ["usage"], """
+    SELECT CAST(user_id AS VARCHAR) AS run_id, COUNT(*) AS items, CAST(SUM(prompt_tokens) AS BIGINT) AS prompt_tokens FROM usage GROUP BY user_id""")
+def _(spark, sf):
+    """Run, item and usage tables, appended and read back."""
+    from arbitra.operators.usage import run_totals
+    from arbitra.plans.evaluation_queries import run_items
+
+    base = scratch(spark, "runs")
+    items = run_items(spark, sf)
+    files.write_run(run_totals(items), items, ad.usage(spark, sf).drop("context"), base)
+    back = spark.read.parquet(f"{base}/run_items")
+    return back.groupBy("run_id").agg(F.count(F.lit(1)).alias("items"), F.sum("prompt_tokens").alias("prompt_tokens"))

@@ -15,8 +15,7 @@ from arbitra.functions.values import (
     parse_request_id, parse_sample_id, preferred_order, repair_judgment, request_id,
 )
 
-# Request text limit, and the fields asked for first.
-TEXT_LIMIT = 8000
+# The fields asked for first.
 FIELD_ORDER = ["incident_severity", "account_type", "assurance_claim", "staff_response"]
 
 ENVELOPE = (
@@ -25,8 +24,13 @@ ENVELOPE = (
 )
 
 
-def ask(text: Column, review_id: Column, schema: Mapping[str, Mapping[str, str]], subject: str) -> Column:
-    """The question put to a judge: field definitions, the review, the answer format."""
+def ask(
+    text: Column, review_id: Column, schema: Mapping[str, Mapping[str, str]], subject: str, text_limit: int | None = None
+) -> Column:
+    """The question put to a judge: field definitions, the review, the answer format.
+
+    The whole text is sent unless the judge has a limit (F16; 8000 characters was usual).
+    """
     names = [n for n in FIELD_ORDER if n in schema] + [n for n in schema if n not in FIELD_ORDER]
     definitions = "\n".join(
         f"{n.upper()}: {', '.join(schema[n])}\n" + "\n".join(f"  {v} = {d}" for v, d in schema[n].items())
@@ -35,19 +39,19 @@ def ask(text: Column, review_id: Column, schema: Mapping[str, Mapping[str, str]]
     answer = ", ".join(f'"{n}": "..."' for n in names)
     return F.concat(
         F.lit(f"Judge this review for {subject}.\n\n{definitions}\n\nReview:\n"),
-        F.substring(F.coalesce(text, F.lit("")), 1, TEXT_LIMIT),
+        F.coalesce(text if text_limit is None else F.substring(text, 1, text_limit), F.lit("")),
         F.lit('\n\nAnswer with one JSON object: {"review_id": "'), review_id,
         F.lit(f'", "is_relevant": true or false, {answer}}}'),
     )
 
 
-def requests(missing: DataFrame, reviews: DataFrame, schema, subject: str) -> DataFrame:
+def requests(missing: DataFrame, reviews: DataFrame, schema, subject: str, text_limit: int | None = None) -> DataFrame:
     """Request lines for the missing extractions (topic, review_id, model, run)."""
     rows = missing.join(reviews.select("review_id", "business_id", "text"), "review_id")
     cid = request_id(F.col("topic"), F.col("business_id"), F.col("review_id"), F.col("model"), F.col("run"))
     message = F.struct(
         F.lit("user").alias("role"),
-        ask(F.col("text"), F.col("review_id"), schema, subject).alias("content"),
+        ask(F.col("text"), F.col("review_id"), schema, subject, text_limit).alias("content"),
     )
     body = F.struct(F.col("model"), F.array(message).alias("messages"))
     line = F.struct(

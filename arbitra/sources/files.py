@@ -83,13 +83,20 @@ HIT_FIELDS = (
 )
 
 
-def read_topic_hits(spark: SparkSession, pattern: str) -> DataFrame:
-    """Hit files, topic from the file name, both severity lists as rows."""
+def read_topic_hits(
+    spark: SparkSession, pattern: str, multiline: bool = True, topic_pattern: str = r"([^/]+)\.json$"
+) -> DataFrame:
+    """Hit documents, topic from the file path, both severity lists as rows.
+
+    Pretty-printed documents are ``multiline`` and take a task each; documents on single lines
+    are split like any other text.
+    """
     entry = f"array<struct<{HIT_FIELDS.replace(' ', ':').replace(',:', ',')}>>"
-    files = spark.read.option("multiLine", True).schema(f"critical_list {entry}, high_list {entry}").json(pattern)
-    topic = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    reader = spark.read.option("multiLine", multiline).schema(f"critical_list {entry}, high_list {entry}")
+    topic = F.regexp_extract(F.col("_metadata.file_path"), topic_pattern, 1)
+    docs = reader.json(pattern)
     both = [
-        files.select(topic.alias("topic"), F.lit(severity).alias("severity"), F.explode(f"{severity}_list").alias("r"))
+        docs.select(topic.alias("topic"), F.lit(severity).alias("severity"), F.explode(f"{severity}_list").alias("r"))
         for severity in ("critical", "high")
     ]
     return both[0].unionByName(both[1]).select("topic", "severity", "r.*")

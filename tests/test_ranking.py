@@ -69,3 +69,10 @@ def test_global_row_number(spark):
     want = sorted(range(500), key=lambda i: (-values[i], i))
     assert [r["id"] for r in sorted(rows, key=lambda r: r["rank"])] == want
     assert sorted(r["rank"] for r in rows) == list(range(1, 501))
+
+
+def test_large_limits_are_salted_and_whole(spark):
+    df = spark.range(6000).select(F.lit("hot").alias("k"), ((F.col("id") * 7919) % 6000).alias("v"))
+    rows = ranking.top_per_key(df, ["k"], [F.desc("v")], 1500).collect()
+    assert sorted(r["v"] for r in rows) == list(range(4500, 6000))
+    assert all(r["rn"] == 6000 - r["v"] for r in rows)
