@@ -35,7 +35,8 @@ def top_per_key(
     nothing that belongs to the result is lost.
     """
     if n >= GROUP_LIMIT_THRESHOLD:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        hashable = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         kept = salted.withColumn("_part_rank", F.row_number().over(part)).where(F.col("_part_rank") <= n)
         df = kept.drop("_salt", "_part_rank")

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from arbitra.functions.ranking import top_per_key
 
-USER_FIELDS = ["name", "review_count", "yelping_since", "elite", "average_stars", "fans"]
-
-
 def restrict(df: DataFrame, ids: DataFrame, key: str = "business_id") -> DataFrame:
     """Rows whose key is in the id table.  Spark broadcasts the ids only below its own
     size threshold, else both sides are shuffled."""
@@ -31,9 +28,9 @@ def k_scales(reviews: DataFrame, scales: Sequence[int], position: str = "pos") -
     return ranked.withColumn("k", F.explode(inside))
 
 
-def with_user(reviews: DataFrame, users: DataFrame) -> DataFrame:
-    """The user's fields as a struct, null for an unknown user."""
-    known = [c for c in USER_FIELDS if c in users.columns]
+def with_user(reviews: DataFrame, users: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """The user's fields (all unless named) as a struct, null for an unknown user."""
+    known = [c for c in (fields or users.columns) if c != "user_id"]
     nested = users.select("user_id", F.struct(*known).alias("user"))
     return reviews.join(nested, "user_id", "left")
 

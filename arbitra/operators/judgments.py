@@ -83,14 +83,77 @@ def assemble(votes: DataFrame) -> DataFrame:
     )
 
 
+def vote_declared(raw: DataFrame, schema: Mapping[str, Sequence[str]], weights: Mapping[str, int]) -> DataFrame:
+    """A6-A8 in map form for fields with declared values: one shuffle, one row per review.
+
+    Each legal value of each field (and "none") has its own weight sum and first position, so
+    votes fold map-side into one numeric row per review and winners are read off that row.
+    Reviews with a vote outside the declared values are found by a row filter and take the
+    general path, ``vote``; with none of them that path reads nothing.
+    """
+    value = {f: F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("none")).alias(f"v_{i}") for i, f in enumerate(schema)}
+    slots = {f: list(dict.fromkeys([*legal, "none"])) for f, legal in schema.items()}
+    flag = F.coalesce(F.col("is_relevant"), F.lit(False)).cast("string").alias("v_flag")
+    ballots = raw.select(
+        "topic", "review_id", "ord", model_weight(F.col("model"), weights).alias("w"), flag, *value.values()
+    )
+    columns = {f: (f"v_{i}", slots[f]) for i, f in enumerate(schema)} | {"is_relevant": ("v_flag", ["true", "false"])}
+    strange = F.lit(False)
+    for column, legal in columns.values():
+        strange = strange | ~F.col(column).isin(legal)
+
+    sums = []
+    for column, legal in columns.values():
+        for j, v in enumerate(legal):
+            hit = F.col(column) == v
+            sums += [F.sum(F.when(hit, F.col("w"))).alias(f"{column}_w{j}"), F.min(F.when(hit, F.col("ord"))).alias(f"{column}_o{j}")]
+    wide = ballots.groupBy("topic", "review_id").agg(F.bool_or(strange).alias("strange"), *sums)
+
+    def winner(name: str) -> Column:
+        column, legal = columns[name]
+        return F.least(
+            *[
+                F.when(
+                    F.col(f"{column}_w{j}").isNotNull(),
+                    F.struct((-F.col(f"{column}_w{j}")).alias("w"), F.col(f"{column}_o{j}").alias("o"), F.lit(v).alias("v")),
+                )
+                for j, v in enumerate(legal)
+            ]
+        ).alias(f"win_{column}")
+
+    def total(name: str) -> Column:
+        column, legal = columns[name]
+        out = F.lit(0)
+        for j in range(len(legal)):
+            out = out + F.coalesce(F.col(f"{column}_w{j}"), F.lit(0))
+        return out.alias(f"all_{column}")
+
+    decided = wide.where(~F.col("strange")).select("topic", "review_id", *[winner(n) for n in columns], *[total(n) for n in schema])
+    pick = {f: F.col(f"win_{columns[f][0]}") for f in columns}
+    plain = decided.select(
+        "topic", "review_id", (pick["is_relevant"]["v"] == "true").alias("is_relevant"),
+        F.create_map(*[x for f in schema for x in (F.lit(f), pick[f]["v"])]).alias("fields"),
+        F.create_map(
+            *[x for f in schema for x in (F.lit(f), F.round(-pick[f]["w"] / F.col(f"all_{columns[f][0]}"), 3))]
+        ).alias("confidence"),
+    )
+    odd = ballots.where(strange).select("topic", "review_id").distinct()
+    rest = assemble(vote(raw.join(odd, ["topic", "review_id"], "left_semi"), list(schema), weights))
+    return plain.unionByName(rest)
+
+
 def first_metadata(raw: DataFrame, columns: Sequence[str] = ("date", "stars", "useful")) -> DataFrame:
     """Non-vote columns of the first raw row per review."""
     first = raw.groupBy("topic", "review_id").agg(F.min_by(F.struct(*columns), "ord").alias("m"))
     return first.select("topic", "review_id", "m.*")
 
 
-def aggregate(raw: DataFrame, schema: Sequence[str], weights: Mapping[str, int]) -> DataFrame:
-    """A6-A8 in map form."""
+def aggregate(
+    raw: DataFrame, schema: Sequence[str] | Mapping[str, Sequence[str]], weights: Mapping[str, int]
+) -> DataFrame:
+    """A6-A8 in map form; a schema with declared values takes the one-shuffle path."""
+    if isinstance(schema, Mapping):
+        return vote_declared(raw, schema, weights)
     return assemble(vote(raw, schema, weights))
 
 

@@ -76,7 +76,7 @@ def stored_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def voted(spark: SparkSession, sf: str) -> DataFrame:
-    return judgments.aggregate(raw_judgments(spark, sf), list(cat.FIELDS), cat.WEIGHTS)
+    return judgments.aggregate(raw_judgments(spark, sf), cat.FIELDS, cat.WEIGHTS)
 
 
 def overrides(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,7 +54,7 @@ def vote_stream(
         touched = stored.where(F.col("extracted_at") == batch_id).select("topic", "review_id").distinct()
         mine = stored.join(touched, ["topic", "review_id"], "left_semi")
         ready = mine.join(quota_complete(mine, quota), ["topic", "review_id"], "left_semi")
-        votes = aggregate(ready, list(schema), weights)
+        votes = aggregate(ready, schema, weights)
         voted.append(votes.withColumn("aggregated_at", F.lit(batch_id).cast("long")))
 
     return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -29,6 +29,23 @@ def test_weights_ties_and_missing(spark):
     assert got["a", "is_relevant"][0] == "true" and got["b", "is_relevant"] == ("false", 0.5)
 
 
+def test_declared_path_equals_general_path(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        for o in range(rng.randint(1, 5)):
+            fields = {n: rng.choice(["none", "mild", "severe"] + (["weird"] if i % 10 == 0 else [])) for n in ("sev", "x") if rng.random() < 0.8}
+            rows.append((f"r{i}", rng.choice(["big", "small", "other"]), o, o, rng.choice([True, False, None]), fields))
+    df = raw(spark, rows)
+    key = lambda r: (r["review_id"], r["is_relevant"], sorted(r["fields"].items()), sorted(r["confidence"].items()))
+    general = sorted(key(r) for r in jd.aggregate(df, ["sev", "x"], WEIGHTS).collect())
+    declared = sorted(key(r) for r in jd.aggregate(df, {"sev": ["none", "mild", "severe"], "x": ["mild", "severe"]}, WEIGHTS).collect())
+    assert declared == general and len(general) == 300
+    assert any("weird" in dict(k[2]).values() for k in general)
+
+
 def test_confidence_shares_add_up(spark):
     rows = [("a", "small", i, i, True, {"sev": v}) for i, v in enumerate(["x", "y", "y", "z", "y"])]
     assert votes(spark, rows)["a", "sev"] == ("y", 0.6)
