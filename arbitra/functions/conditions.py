@@ -25,7 +25,7 @@ def equality_filter(fields: Column, spec: Filter) -> Column:
     """every named field equals its value, or is in its list; a missing field is ""."""
     parts = []
     for name, expected in spec.items():
-        actual = F.coalesce(F.try_element_at(fields, F.lit(name)), F.lit(""))
+        actual = F.coalesce(fields[name], F.lit(""))
         wanted = list(expected) if isinstance(expected, (list, tuple, set)) else [expected]
         parts.append(actual.isin([str(w) for w in wanted]))
     return all_of(parts)
@@ -33,7 +33,7 @@ def equality_filter(fields: Column, spec: Filter) -> Column:
 
 def firsthand(fields: Column) -> Column:
     """rows without an account type count as first-hand."""
-    account = F.try_element_at(fields, F.lit("account_type"))
+    account = fields["account_type"]
     return account.isNull() | (account == "firsthand")
 
 
@@ -90,7 +90,7 @@ def event_matches(fields: Column, conditions: Sequence[Mapping], logic: str = "A
         if not cond.get("field_id"):
             continue
         allowed = F.array(*[F.lit(v) for v in cond.get("values", [])]).cast("array<string>")
-        values = F.try_element_at(fields, F.lit(cond["field_id"]))
+        values = fields[cond["field_id"]]
         parts.append(F.coalesce(F.arrays_overlap(values, allowed), F.lit(False)))
     if not parts:
         return F.lit(False)

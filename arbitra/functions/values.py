@@ -51,7 +51,7 @@ def lit_array(values: Sequence) -> Column:
 
 def field(fields: Column, name: str) -> Column:
     """Value of a map key: exact, lower, upper, then any case."""
-    choices = [F.try_element_at(fields, F.lit(n)) for n in dict.fromkeys((name, name.lower(), name.upper()))]
+    choices = [fields[n] for n in dict.fromkeys((name, name.lower(), name.upper()))]
     any_case = F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]) == name.lower())
     return F.coalesce(*choices, F.get(any_case, F.lit(0))["value"])
 
@@ -85,7 +85,7 @@ def repair_judgment(fields: Column, relevant: Column, schema: Mapping[str, Seque
         *[
             part
             for name, legal in schema.items()
-            for part in (F.lit(name), repair_enum(F.try_element_at(fields, F.lit(name)), legal))
+            for part in (F.lit(name), repair_enum(fields[name], legal))
         ]
     )
     return F.when(F.coalesce(relevant, F.lit(False)), F.map_concat(others, fixed)).otherwise(fields)

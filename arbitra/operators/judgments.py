@@ -45,7 +45,7 @@ def vote(raw: DataFrame, schema: Sequence[str], weights: Mapping[str, int]) -> D
         *[
             F.struct(
                 F.lit(name).alias("field"),
-                F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit("none")).alias("value"),
+                F.coalesce(F.col("fields")[name], F.lit("none")).alias("value"),
             )
             for name in schema
         ],
@@ -91,7 +91,7 @@ def vote_declared(raw: DataFrame, schema: Mapping[str, Sequence[str]], weights:
     Reviews with a vote outside the declared values are found by a row filter and take the
     general path, ``vote``; with none of them that path reads nothing.
     """
-    value = {f: F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("none")).alias(f"v_{i}") for i, f in enumerate(schema)}
+    value = {f: F.coalesce(F.col("fields")[f], F.lit("none")).alias(f"v_{i}") for i, f in enumerate(schema)}
     slots = {f: list(dict.fromkeys([*legal, "none"])) for f, legal in schema.items()}
     flag = F.coalesce(F.col("is_relevant"), F.lit(False)).cast("string").alias("v_flag")
     ballots = raw.select(

@@ -88,7 +88,7 @@ def _condition_aggregate(cond: Mapping, name: str, compat: bool) -> Column:
     hit = _row_predicate(cond, compat)
     kind = cond.get("type", "count_threshold")
     if kind in ("sum", "max", "min"):
-        value = F.try_element_at("fields", F.lit(cond["value_field"]))
+        value = F.col("fields")[cond["value_field"]]
         points = cond.get("points")
         number = value.try_cast("double")
         if points:
@@ -120,7 +120,7 @@ def _rule_truth(rule: Mapping, truths: Sequence[Column]) -> Column:
 def _points_column(spec: Mapping) -> tuple[Column, Column, Column, Column]:
     """Eligibility, base label, points with modifiers, and applied modifier labels of a row."""
     fields = F.col("fields")
-    value = F.try_element_at(fields, F.lit(spec["severity_field"]))
+    value = fields[spec["severity_field"]]
     label = F.lit(None).cast("string")
     base = F.lit(0)
     for v, text in spec["value_labels"].items():
@@ -129,7 +129,7 @@ def _points_column(spec: Mapping) -> tuple[Column, Column, Column, Column]:
     points, applied = base, []
     for name, wanted, text in spec.get("modifier_fields", []):
         pts = sc.points_for(text, spec["modifiers"])
-        has = F.coalesce(F.try_element_at(fields, F.lit(name)) == wanted, F.lit(False))
+        has = F.coalesce(fields[name] == wanted, F.lit(False))
         points = points + F.when(has, F.lit(pts)).otherwise(F.lit(0))
         if pts:
             applied.append(F.when(has, F.lit(text)))
@@ -160,7 +160,7 @@ def incidents(judged: DataFrame, policy: Mapping) -> DataFrame:
         *ENTITY,
         "review_id",
         F.lit(spec["severity_field"]).alias("field"),
-        F.try_element_at("fields", F.lit(spec["severity_field"])).alias("value"),
+        F.col("fields")[spec["severity_field"]].alias("value"),
         label.alias("label"),
         mods.alias("modifiers"),
         points.alias("points"),
@@ -171,7 +171,7 @@ def incidents(judged: DataFrame, policy: Mapping) -> DataFrame:
 
 def evidence_rows(judged: DataFrame, policy_id: str, field: str, values: Sequence[str]) -> DataFrame:
     """A14, row form: reviews whose evidence field holds an evidence value."""
-    get = lambda f: F.lower(F.trim(F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit(""))))
+    get = lambda f: F.lower(F.trim(F.coalesce(F.col("fields")[f], F.lit(""))))
     # The two modifiers that are looked for.
     mods = F.array_compact(
         F.array(
@@ -283,7 +283,7 @@ def score_breakdown(judged: DataFrame, spec: Mapping, year_rules=(), entities: D
     year), account type must be first-hand, and the cuisine modifier needs no incident.
     """
     fields = F.col("fields")
-    get = lambda f: F.try_element_at(fields, F.lit(f))
+    get = lambda f: fields[f]
     value = get(spec["severity_field"])
     eligible = F.coalesce(
         F.coalesce("is_relevant", F.lit(False)) & (get("account_type") == "firsthand") & (value != "none"),
