@@ -35,4 +35,4 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the maximal runs without white space; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
