@@ -15,9 +15,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -345,9 +346,9 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     return rows, spans
 
 
-def kept_bytes(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+def kept_bytes(text: bytes, spans: Sequence[dict] | None) -> tuple[bytes, int, int]:
     """What is left of a text, the number of removed bytes and of maximal removed runs."""
-    if not spans:
+    if spans is None or not len(spans):
         return text, 0, 0
     edges = np.zeros(len(text) + 1, dtype=np.int32)
     np.add.at(edges, [s["start"] for s in spans], 1)
@@ -384,3 +385,30 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cut, "id long, row long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     return cut_rows.withColumnRenamed("id", id_col)
+
+
+def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The documents with their repeated strings cut out, all columns kept.
+
+    A character goes if one of its bytes does.  ``length_col``, if there is one, becomes the number
+    of characters left.  A document goes if it had a text and nothing is left of it.
+    """
+    _, spans = removed_spans(docs, id_col, text_col)
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, removed in batches:
+            kept = (kept_bytes(t, s)[0].decode("utf-8", "ignore") if s is not None else None for t, s in zip(texts, removed))
+            yield pd.Series(list(kept), dtype=object)
+
+    columns = docs.columns
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("doc"))
+    text = F.col("doc")[text_col]
+    cut_rows = rows.join(spans, "row", "left").withColumn("kept", cut(text.cast("binary"), F.col("spans")))
+    left = cut_rows.where(F.col("spans").isNull() | (F.col("kept") != ""))
+    touched = F.col("spans").isNotNull()
+    new = {
+        text_col: F.when(touched, F.col("kept")).otherwise(text),
+        length_col: F.when(touched, F.length("kept")).otherwise(F.col("doc")[length_col]).cast("long") if length_col in columns else None,
+    }
+    return left.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in columns])
