@@ -30,7 +30,7 @@ from arbitra.llm.tables import written
 LENGTH, SEED_BYTES = 50, 16
 #: Rows are scanned in shards of this many bytes; runs are merged in chunks of about this many,
 #: each of so many transforms.
-SHARD_BYTES, CHUNK_BYTES, TRANSFORMS = 16 << 20, 1 << 20, 4
+SHARD_BYTES, CHUNK_BYTES, TRANSFORMS = 4 << 20, 1 << 20, 4
 KNOWN = np.uint32(0xFFFFFFFF)
 
 
