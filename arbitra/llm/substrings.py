@@ -287,17 +287,20 @@ def _search(found: DataFrame) -> DataFrame:
 
     def spans_of(chunk: list[tuple]) -> Iterator[tuple[int, int, int]]:
         least: dict[bytes, int] = {}
-        for _, run, key, _, _ in chunk:
+        names: dict[int, set[bytes]] = {}
+        for name, run, key, _, _ in chunk:
             if run not in least or key < least[run]:
                 least[run] = key
-        strings = list(least)
-        masks = dict(zip(strings, repeats(strings, np.array([least[s] for s in strings], dtype=np.int64))))
+            names.setdefault(name, set()).add(run)
+        # A name with one run is one string: its transform has no other to be merged with.
+        strings = sorted({run for found in names.values() if len(found) > 1 for run in found})
+        masks = dict(zip(strings, repeats(strings, np.array([least[s] for s in strings], dtype=np.int64)))) if strings else {}
         for _, run, key, row, start in chunk:
             if key > least[run]:
                 yield row, start, start + len(run)
                 continue
-            mask = masks[run]
-            if mask.any():
+            mask = masks.get(run)
+            if mask is not None and mask.any():
                 for a, b in np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist():
                     yield row, start + a, start + b + LENGTH - 1
 
