@@ -93,7 +93,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     ends = targets.select("source", upto.alias("upto"), "target", every.alias("all")).select(
         "source",
         F.ceil((F.col("upto") - F.col("target")) / block).alias("lo"), F.ceil(F.col("upto") / block).alias("hi"),
-        F.greatest(F.lit(1), F.length(F.bin(F.ceil(F.col("all") / block)))).alias("bits"),
+        F.length(F.bin(F.greatest(F.lit(0), F.ceil(F.col("all") / block) - 1))).alias("bits"),
     )
     cell = F.pow(F.lit(2), (F.col("bits") / 2).cast("int")).cast("long")
     cells = ends.where("hi > lo").withColumn("cell", cell).select(

@@ -105,7 +105,7 @@ def word_histogram(text: Column, vocabulary: Sequence[str] = VOCABULARY) -> Colu
 
 
 def distance(counts: Column, reference: Sequence[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of a histogram from a reference distribution."""
+    """Jensen-Shannon distance (base 2) of a histogram from a reference distribution; 0 if it is empty."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
 
     def half(a: Column, b: Column) -> Column:
@@ -114,7 +114,7 @@ def distance(counts: Column, reference: Sequence[float]) -> Column:
     def terms(n: Column) -> Column:
         return F.zip_with(counts, F.lit(list(reference)), lambda c, q: let(c / n, lambda p: (half(p, q) + half(q, p)) / 2))
 
-    sums = let(total, lambda n: F.aggregate(terms(n), F.lit(0.0), lambda a, b: a + b))
+    sums = let(total, lambda n: F.when(n > 0, F.aggregate(terms(n), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0))
     return F.sqrt(F.greatest(F.lit(0.0), sums))
 
 
@@ -159,8 +159,8 @@ def quality_rules(
     The references come from the rows with a configured ``lang``; a document is compared to all of
     them, and ``language`` is the nearest by the sum of both distances, so a wrong or null ``lang``
     does not matter.  A document that passes the base rules is kept if both distances from its
-    language are small; texts too short for a histogram pass that part, and without any reference
-    all do.  A null text is empty, with counts 0, and fails.  Repeated rows are judged one by one;
+    language are small; a text with too few characters or words for one of the histograms passes
+    that part, and without any reference all do.  A null text is empty, with counts 0, and fails.  Repeated rows are judged one by one;
     other columns are ignored; an empty table gives no rows.
     """
     base = base_counts(docs, id_col, text_col, keep=[F.col(lang_col).alias("llm_lang")])
@@ -178,9 +178,9 @@ def quality_rules(
         for c, w in [(distance(F.col("chars"), chars), distance(narrowed(F.col("common"), lang), own))]
     ]
     nearest = F.array_min(F.array(*each)) if each else F.lit(None).cast("struct<sum:double,language:string,chars:double,words:double>")
-    enough = (F.col("n_chars") >= MIN_CHARS) & (counted_words >= MIN_COUNTED_WORDS)
-    judged = features.withColumn("nearest", F.when(enough, nearest))
-    near = (F.col("nearest.chars") <= max_char_distance) & (F.col("nearest.words") <= max_word_distance)
+    judged = features.withColumn("nearest", F.when(F.col("n_chars") >= MIN_CHARS, nearest))
+    few = counted_words < MIN_COUNTED_WORDS
+    near = (F.col("nearest.chars") <= max_char_distance) & (few | (F.col("nearest.words") <= max_word_distance))
     return judged.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("nearest.language").alias("language"), F.col("nearest.chars").alias("char_distance"),

@@ -31,8 +31,8 @@ def _distance(counts: str, total: str, reference: str) -> str:
 
     p, r = f"({counts}[i] / {total})", f"{reference}[i]"
     return (
-        f"sqrt(greatest(0.0, list_sum(list_transform(range(1, len({counts}) + 1), "
-        f"lambda i: ({half(p, r)} + {half(r, p)}) / 2))))"
+        f"CASE WHEN {total} = 0 THEN 0.0 ELSE sqrt(greatest(0.0, list_sum(list_transform(range(1, len({counts}) + 1), "
+        f"lambda i: ({half(p, r)} + {half(r, p)}) / 2)))) END"
     )
 
 
@@ -83,11 +83,11 @@ WITH a AS (
     SELECT e.*, rc, rw, ref, list_sum(chars) AS tc, list_sum(common) AS tw,
         list_append(list_transform(own, lambda k: common[k]),
             list_sum(common) - list_sum(list_transform(own, lambda k: common[k]))) AS mine
-    FROM e, refs WHERE n_chars >= {q.MIN_CHARS} AND n_runs >= {q.MIN_COUNTED_WORDS}
+    FROM e, refs WHERE n_chars >= {q.MIN_CHARS}
 ), y AS (
-    SELECT doc_id, ref, {_distance("chars", "tc", "rc")} AS dc, {_distance("mine", "tw", "rw")} AS dw FROM x
+    SELECT doc_id, ref, tw, {_distance("chars", "tc", "rc")} AS dc, {_distance("mine", "tw", "rw")} AS dw FROM x
 ), z AS (
-    SELECT doc_id, arg_min(dc <= {q.MAX_CHAR_DISTANCE} AND dw <= {q.MAX_WORD_DISTANCE}, dc + dw) AS near
+    SELECT doc_id, arg_min(dc <= {q.MAX_CHAR_DISTANCE} AND (tw < {q.MIN_COUNTED_WORDS} OR dw <= {q.MAX_WORD_DISTANCE}), dc + dw) AS near
     FROM y GROUP BY doc_id
 )
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines,

@@ -92,7 +92,8 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def near_pairs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places with equal key (sorted), one of them at home, that differ in few bits."""
-    left, right = [], []
+    none = np.zeros(0, dtype=np.int64)
+    left, right = [none], [none]
     at, d = np.arange(len(key)), 1
     while len(at):
         at = at[at + d < len(key)]

@@ -27,7 +27,8 @@ from arbitra.llm.tables import written
 #: Bounds of the model: examples per class and terms.
 MAX_EXAMPLES, MAX_TERMS = 4000, 4096
 #: A term marks a class if it occurs in this many rows, its odds are this many times as high there
-#: as elsewhere, and the likelihood ratio is above the value of one chance in a thousand.
+#: as elsewhere, and the likelihood ratio is above the value of one chance in a thousand, raised by
+#: twice the logarithm of how many fifties of toxic rows there are, as so many more terms get the chance.
 MIN_ROWS, MIN_ODDS, MIN_EVIDENCE = 2, 3.0, 10.83
 NEIGHBOURS, BLOCK = 15, 256
 PRIOR_WEIGHT = 0.5
@@ -115,7 +116,10 @@ class Model:
                 s, e = cuts[b], cuts[b + 1]
                 sums[at[s:e] - b * BLOCK] += w * weight[s:e]
             sums = np.round(sums, 9)  # equal vectors are equally near, in whatever order they add up
-            best += [(float(sums[i]), int(b) * BLOCK + int(i)) for i in np.flatnonzero(sums)]
+            least = best[-1][0] if len(best) == k else 0.0
+            able = np.flatnonzero((sums >= least) & (sums > 0))
+            able = able[np.argsort(-sums[able], kind="stable")[:k]]
+            best += [(float(sums[i]), int(b) * BLOCK + int(i)) for i in able]
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
@@ -188,17 +192,18 @@ def learn(
 
     evidence = part(a, n, bad / total) + part(n - a, n, good / total)
     chosen = (
-        rows.withColumn("g", evidence).where((odds >= MIN_ODDS) & (F.col("g") >= MIN_EVIDENCE))
+        rows.withColumn("g", evidence).where((odds >= MIN_ODDS) & (F.col("g") >= MIN_EVIDENCE + 2 * float(np.log1p(bad / 50))))
         .orderBy(F.col("g").desc(), "term").limit(max_terms).collect()
     )
     idf = {r["term"]: float(np.log((1 + total) / (1 + r["n"])) + 1) for r in chosen} | {BACKGROUND: 1.0}
 
     picked = []
     for label in (0, 1):
-        picked += (
-            counted.where(F.col("toxic") == label).orderBy("order", "id").limit(max_examples)
-            .select("order", "id", "toxic", F.map_from_arrays("words", "counts").alias("own")).toLocalIterator()
-        )
+        own = counted.where(F.col("toxic") == label)
+        last = own.select("order", "id").orderBy("order", "id").limit(max_examples).agg(F.max(F.struct("order", "id"))).first()[0]
+        if last is not None:
+            upto = (F.col("order") < last["order"]) | ((F.col("order") == last["order"]) & (F.col("id") <= last["id"]))
+            picked += own.where(upto).select("order", "id", "toxic", F.map_from_arrays("words", "counts").alias("own")).toLocalIterator()
     starts = {t.rstrip("*")[: STEMS[0]] for t in idf}
     picked = [(r["order"], r["id"], r["toxic"], terms_of(r["own"], idf, starts)) for r in picked]
     picked.sort(key=lambda r: (r[0], str(r[1])))
