@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,10 +89,24 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
+@F.pandas_udf("binary")
+def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts as they travel to another task."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for texts in batches:
+        yield texts.map(squeeze)
+
+
 def _shards(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for begin, end in slices(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64), SHARD_BYTES):
+    """Parts of a batch with column text, or packed, and the texts of each."""
+    sizes = batch.column("n") if "n" in batch.schema.names else pc.binary_length(batch.column("text"))
+    for begin, end in slices(sizes.to_numpy(zero_copy_only=False).astype(np.int64), SHARD_BYTES):
         part = batch.slice(begin, end - begin)
-        yield part, part.column("text").to_pylist()
+        if "packed" in batch.schema.names:
+            unpack = zstandard.ZstdDecompressor().decompress
+            yield part, [unpack(t) for t in part.column("packed").to_pylist()]
+        else:
+            yield part, part.column("text").to_pylist()
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -344,7 +359,8 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
         .select("row", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
     )
     searched = names.join(copies.select("row"), "row", "left_anti")
-    found = _search(_cut_runs(named.join(searched, "row").select("row", "id", "text", "names")))
+    sent = named.select("row", "id", packed("text").alias("packed"), F.octet_length("text").alias("n"))
+    found = _search(_cut_runs(sent.join(searched, "row").select("row", "id", "packed", "n", "names")))
     spans = found.unionAll(copies).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return rows, spans
 
@@ -374,7 +390,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            unpack = zstandard.ZstdDecompressor().decompress
+            texts = [unpack(t) for t in batch.column("packed").to_pylist()]
             kept = [kept_bytes(t, s) for t, s in zip(texts, batch.column("spans").to_pylist())]
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column("id"), "row": batch.column("row"),
@@ -384,7 +401,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k, _, _ in kept]),
             })
 
-    cut_rows = rows.join(spans, "row", "left").select("row", "id", "text", "spans").mapInArrow(
+    sent = rows.select("row", "id", packed("text").alias("packed"))
+    cut_rows = sent.join(spans, "row", "left").mapInArrow(
         cut, "id long, row long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     return cut_rows.withColumnRenamed("id", id_col)
