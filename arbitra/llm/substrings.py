@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.llm.contamination import suffix_order
@@ -89,12 +89,16 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-@F.pandas_udf("binary")
-def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def packed(text: str) -> Column:
     """Texts as they travel to another task."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for texts in batches:
-        yield texts.map(squeeze)
+
+    @F.pandas_udf("binary")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for texts in batches:
+            yield texts.map(squeeze)
+
+    return pack(text)
 
 
 def _shards(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
