@@ -29,8 +29,8 @@ MAX_EXAMPLES, MAX_TERMS = 4000, 4096
 #: A term marks a class if it occurs in this many rows, its odds are this many times as high there
 #: as elsewhere, and the likelihood ratio is above the value of one chance in a thousand, raised by
 #: twice the logarithm of how many fifties of toxic rows there are, as so many more terms get the chance.
-MIN_ROWS, MIN_ODDS, MIN_EVIDENCE = 2, 3.0, 10.83
-NEIGHBOURS, BLOCK = 15, 256
+MIN_ROWS, MIN_ODDS, MIN_EVIDENCE = 2, 8.0, 10.83
+NEIGHBOURS, BLOCK = 15, 512
 PRIOR_WEIGHT = 0.5
 #: A vote weighs similarity over distance (1 - similarity), the latter softened by this much.
 SOFTEN = 0.05
@@ -51,10 +51,17 @@ def words_of(text: str | None) -> list[str]:
 def terms_of(words: dict[str, int], known: Collection[str], starts: Collection[str]) -> dict[str, int]:
     """Counts of the known terms; ``starts`` holds the first letters of all of them."""
     found: Counter = Counter()
+    others = 0
     for word, n in words.items():
-        own = [word, *(word[:k] + "*" for k in STEMS if len(word) > k)] if word[: STEMS[0]] in starts else []
-        for term in [t for t in own if t in known] or [BACKGROUND]:
-            found[term] += n
+        if word[: STEMS[0]] in starts:
+            own = [t for t in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if t in known]
+            for term in own:
+                found[term] += n
+            if own:
+                continue
+        others += n
+    if others:
+        found[BACKGROUND] = others
     return found
 
 
@@ -173,7 +180,8 @@ def learn(
         F.max(F.col(label_col).cast("int")).alias("toxic")
     )
     texts = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    labelled = texts.join(marks, F.col("id") == F.col("key")).select("id", "toxic", "text")
+    # The same join at every size: the labels are not known to be few.
+    labelled = texts.join(marks.hint("merge"), F.col("id") == F.col("key")).select("id", "toxic", "text")
     counted = written(_word_counts(labelled, "text").withColumn("order", F.md5(F.col("id").cast("string"))))
     sizes = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
