@@ -12,10 +12,6 @@ from arbitra.functions.ranking import newest, top_per_key
 from arbitra.functions.text import normalize, tokens
 from arbitra.functions.values import gate_hash, text_hash
 
-# Gate queries up to this many distinct tokens travel inside the plan as literals; a larger set
-# goes through a postings join, with the same result.
-LITERAL_TERMS = 200
-
 
 def query_terms(queries: Mapping[str, str]) -> dict[str, list[str]]:
     import re
@@ -39,81 +35,44 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: Mapping[str, str], id_col: str = "review_id") -> DataFrame:
-    """(query_id, id, score) of the documents that hold all terms of a query.
+    """(query_id, id, score) of the rows that hold all terms of a query.
 
-    Term counts are taken inside each row and document frequencies come from one aggregate, so
-    no posting is shuffled.  A repeated query term counts again; a document that lacks a term
-    of a several-term query scores 0 and is left out.
+    Term counts are taken inside each row, so only postings of query terms are joined with the
+    terms and their document frequencies.  A repeated query term counts again; a row that lacks a
+    term of a several-term query scores 0 and is left out.  Rows with the same id are scored one by one.
     """
+    spark = docs.sparkSession
     terms_of = {q: t for q, t in query_terms(queries).items() if t}
     vocabulary = sorted({t for ts in terms_of.values() for t in ts})
     if not vocabulary:
         return docs.select(F.lit("").alias("query_id"), id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    if len(vocabulary) > LITERAL_TERMS:
-        return _bm25_postings(docs, terms_of, id_col)
-
-    words = tokens(F.col("text"))
-    kept = docs.select(
-        id_col,
-        F.size(words).alias("dl"),
-        F.filter(words, lambda w: w.isin(vocabulary)).alias("hits"),
-    )
-    tf = lambda t: F.size(F.filter("hits", lambda w: w == t))
-    counted = kept.select(id_col, "dl", *[tf(t).alias(f"tf{i}") for i, t in enumerate(vocabulary)])
-    stats = kept.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("dl").alias("avg_len"),
-            F.array(*[F.count_if(F.array_contains("hits", t)) for t in vocabulary]).alias("df"),
-        ).alias("s")
-    )
-    # One row of statistics, read as a scalar subquery.
-    rows = counted.withColumn("s", stats.scalar())
-    index = {t: i for i, t in enumerate(vocabulary)}
-
-    def score(ts: Sequence[str]) -> Column:
-        total, every = F.lit(0.0), F.lit(True)
-        for t in ts:
-            i = index[t]
-            f = F.col(f"tf{i}")
-            gain = sc.idf(F.col("s.n"), F.col("s.df")[i]) * sc.bm25_weight(f, F.col("dl"), F.col("s.avg_len"))
-            total = total + F.when(f > 0, gain).otherwise(F.lit(0.0))
-            every = every & (f > 0)
-        return F.when(every, total)
-
-    scored = F.array(
-        *[F.struct(F.lit(q).alias("query_id"), score(ts).alias("score")) for q, ts in terms_of.items()]
-    )
-    return (
-        rows.select(id_col, F.explode(F.filter(scored, lambda s: s["score"].isNotNull())).alias("x"))
-        .select("x.query_id", id_col, "x.score")
-    )
-
-
-def _bm25_postings(docs: DataFrame, terms_of: Mapping[str, list[str]], id_col: str) -> DataFrame:
-    """The postings form: query terms as a table joined to the tokens of the documents."""
-    spark = docs.sparkSession
     wanted = spark.createDataFrame(
         [(q, t, ts.count(t), len(set(ts))) for q, ts in terms_of.items() for t in sorted(set(ts))],
         "query_id string, token string, times int, needed int",
     )
-    vocabulary = wanted.select("token").distinct()
-    # Token list and length first: beside an explode they would be computed once per token.
-    split = docs.select(id_col, tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    postings = (
-        split.select(id_col, "dl", F.explode("words").alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy("token", id_col, "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    words = tokens(F.col("text"))
+    kept = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+        F.size(words).alias("dl"), F.filter(words, lambda w: w.isin(vocabulary)).alias("hits"),
+    )
+    counted = F.transform(
+        F.array_distinct("hits"),
+        lambda t: F.struct(t.alias("token"), F.size(F.filter("hits", lambda w: w == t)).alias("tf")),
     )
+    postings = kept.select("row", "id", "dl", F.explode(counted).alias("p")).select("row", "id", "dl", "p.token", "p.tf")
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = split.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len")).alias("s"))
+    stats = docs.select(F.size(words).alias("dl")).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len")).alias("s")
+    )
     gain = F.col("times") * sc.idf(F.col("s.n"), F.col("df")) * sc.bm25_weight(F.col("tf"), F.col("dl"), F.col("s.avg_len"))
     return (
         postings.join(wanted.join(df, "token"), "token")
         .withColumn("s", stats.scalar())
-        .groupBy("query_id", id_col)
-        .agg(F.sum(gain).alias("score"), F.count(F.lit(1)).alias("found"), F.first("needed").alias("needed"))
+        .groupBy("query_id", "row")
+        .agg(
+            F.first("id").alias(id_col), F.sum(gain).alias("score"),
+            F.count(F.lit(1)).alias("found"), F.first("needed").alias("needed"),
+        )
         .where(F.col("found") == F.col("needed"))
         .select("query_id", id_col, "score")
     )

@@ -246,9 +246,9 @@ def _(spark, sf):
 
 @query("bm25_postings", ["bm25"], "SELECT query_id, review_id, ROUND(score, 5) AS score FROM bm25")
 def _(spark, sf):
-    """A20 through the postings join that large query sets take."""
-    terms = {q: t for q, t in rt.query_terms(cat.GATE_QUERIES).items()}
-    return rt._bm25_postings(ad.texts(spark, sf), terms, "review_id").select("query_id", "review_id", F.round("score", 5).alias("score"))
+    """A20 with the queries' terms in another order, which must not matter."""
+    queries = {q: " ".join(reversed(text.split())) for q, text in cat.GATE_QUERIES.items()}
+    return rt.bm25(ad.texts(spark, sf), queries).select("query_id", "review_id", F.round("score", 5).alias("score"))
 
 
 @query("bm25_topk", ["bm25"], """

@@ -273,9 +273,9 @@ def _(spark, sf):
 
 @query("formula_program", ["raw", "businesses"], """
     SELECT business_id, n_incidents, points, staff_points, severity_total, cuisine, ROUND((points + staff_points) * cuisine, 6) AS score,
-           CASE WHEN (points + staff_points) * cuisine >= 120 THEN 'Critical Risk' WHEN n_incidents >= 6 THEN 'High Risk' ELSE 'Low Risk' END AS verdict
+           CASE WHEN (points + staff_points) * cuisine >= 150 THEN 'Critical Risk' WHEN n_incidents >= 5 THEN 'High Risk' ELSE 'Low Risk' END AS verdict
     FROM (SELECT b.business_id, COUNT(*) FILTER (WHERE account_type = 'firsthand' AND incident_severity <> 'none') AS n_incidents,
-                 COALESCE(SUM(CASE incident_severity WHEN 'severe' THEN 15e0 WHEN 'moderate' THEN 8e0 WHEN 'mild' THEN 3e0 ELSE 0e0 END) FILTER (WHERE account_type = 'firsthand'), 0) AS points,
+                 COALESCE(SUM(CASE incident_severity WHEN 'severe' THEN 21e0 WHEN 'moderate' THEN 9e0 WHEN 'mild' THEN 4e0 ELSE 0e0 END) FILTER (WHERE account_type = 'firsthand'), 0) AS points,
                  COALESCE(SUM(CASE WHEN staff_response = 'dismissive' THEN 2e0 ELSE 0e0 END), 0) AS staff_points,
                  COALESCE(SUM(CASE incident_severity WHEN 'severe' THEN 4e0 WHEN 'moderate' THEN 2e0 ELSE 0e0 END), 0) AS severity_total,
                  CASE WHEN contains(lower(categories), 'thai') THEN 1.5e0 WHEN contains(lower(categories), 'bars') THEN 1.2e0 ELSE 1e0 END AS cuisine
@@ -291,9 +291,9 @@ def _(spark, sf):
 
 
 @query("triggered_rules", ["raw", "businesses"], """
-    SELECT business_id, CASE WHEN s >= 120 THEN 'Critical Risk' WHEN n >= 6 THEN 'N_INCIDENTS >= 6 (actual: N_INCIDENTS=' || n || ') → High Risk' ELSE 'else → Low Risk' END AS rule
+    SELECT business_id, CASE WHEN s >= 150 THEN 'Critical Risk' WHEN n >= 5 THEN 'N_INCIDENTS >= 5 (actual: N_INCIDENTS=' || n || ') → High Risk' ELSE 'else → Low Risk' END AS rule
     FROM (SELECT b.business_id, COUNT(*) FILTER (WHERE account_type = 'firsthand') AS n,
-                 COALESCE(SUM(CASE WHEN account_type <> 'firsthand' THEN 0e0 WHEN incident_severity = 'severe' THEN 15e0 WHEN incident_severity = 'moderate' THEN 8e0 ELSE 3e0 END
+                 COALESCE(SUM(CASE WHEN account_type <> 'firsthand' THEN 0e0 WHEN incident_severity = 'severe' THEN 21e0 WHEN incident_severity = 'moderate' THEN 9e0 ELSE 4e0 END
                               + CASE WHEN staff_response = 'dismissive' THEN 2e0 ELSE 0e0 END), 0)
                  * CASE WHEN contains(lower(categories), 'thai') THEN 1.5e0 WHEN contains(lower(categories), 'bars') THEN 1.2e0 ELSE 1e0 END AS s
           FROM businesses b LEFT JOIN (SELECT * FROM raw WHERE model = 'm-large' AND incident_severity <> 'none') r USING (business_id) GROUP BY b.business_id, categories)""")

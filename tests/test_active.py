@@ -165,14 +165,16 @@ def test_greedy_cover_matches_brute_force(spark, monkeypatch):
     assert [r["business_id"] for r in selection.greedy_cover(df, universe, 5).orderBy("pick").collect()] == want[:5]
 
 
-def test_bm25_forms_agree(spark, monkeypatch):
+def test_bm25_of_rows(spark):
     words = ["ab", "cd", "ef", "gh"]
     rng = random.Random(2)
     docs = spark.createDataFrame([(str(i), " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(40)], "review_id string, text string")
     queries = {"one": "ab", "two": "cd ef", "twice": "ab ab", "none": "zz", "empty": "!!"}
     a = {(r["query_id"], r["review_id"]): r["score"] for r in rt.bm25(docs, queries).collect()}
-    monkeypatch.setattr(rt, "LITERAL_TERMS", 0)
-    b = {(r["query_id"], r["review_id"]): r["score"] for r in rt.bm25(docs, queries).collect()}
-    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
     assert all(abs(a["twice", d] - 2 * s) < 1e-9 for (q, d), s in a.items() if q == "one")
-    assert F is not None
+    # Many other queries beside change nothing, and rows with one id keep their own scores.
+    many = queries | {f"q{i}": f"x{i} y{i}" for i in range(300)}
+    b = {(r["query_id"], r["review_id"]): r["score"] for r in rt.bm25(docs, many).collect()}
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    same = rt.bm25(docs.withColumn("review_id", F.lit("1")), {"one": "ab"}).collect()
+    assert sorted(round(r["score"], 9) for r in same) == sorted(round(s, 9) for (q, _), s in a.items() if q == "one")
