@@ -104,8 +104,11 @@ def prefix_totals(
 
 
 def rank_normalize(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Tie-averaged rank scaled to [0, 1]; 0.5 everywhere on an all-equal column."""
-    table = prefix_totals(df, keys, value, {"_n": F.count(F.lit(1))})
+    """Tie-averaged rank scaled to [0, 1]; 0.5 everywhere on an all-equal column.
+
+    Rows with a null value or key stay and have no rank.
+    """
+    table = prefix_totals(df.where(F.col(value).isNotNull()), keys, value, {"_n": F.count(F.lit(1))})
     ranks = table.select(
         *keys,
         value,
@@ -114,14 +117,14 @@ def rank_normalize(df: DataFrame, keys: Sequence[str], value: str, out: str) ->
             / F.greatest(F.col("total__n") - 1, F.lit(1))
         ).alias(out),
     )
-    return df.join(ranks, [*keys, value])
+    return df.join(ranks, [*keys, value], "left")
 
 
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per (keys, p)."""
-    table = prefix_totals(df, keys, value, {"_n": F.count(F.lit(1))})
+    table = prefix_totals(df.where(F.col(value).isNotNull()), keys, value, {"_n": F.count(F.lit(1))})
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     last = F.col("total__n") - 1
     # 0-based positions below and above p * (n - 1); keep the values that sit on them.
@@ -150,12 +153,13 @@ def quantile_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int) ->
 
 
 def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, out: str) -> DataFrame:
-    """Number of inner edges below the value."""
+    """Number of inner edges below the value; null for a null value or key."""
     if bins <= 1:
         return df.withColumn(out, F.lit(0))
     edges = quantile_edges(df, keys, value, bins)
-    return df.join(edges, list(keys)).withColumn(
-        out, F.size(F.filter("edges", lambda e: e < F.col(value)))
+    below = F.size(F.filter("edges", lambda e: e < F.col(value)))
+    return df.join(edges, list(keys), "left" if keys else "inner").withColumn(
+        out, F.when(F.col(value).isNotNull() & F.col("edges").isNotNull(), below)
     ).drop("edges")
 
 

@@ -411,7 +411,7 @@ def discovery_examples(tags: DataFrame, z: DataFrame, reviews: DataFrame, n: int
         .join(at, "primitive_id")
         .where(F.col("z") >= F.col("threshold"))
         .join(reviews.select("review_id", "text"), "review_id")
-        .select("primitive_id", "review_id", F.lit("negative").alias("kind"), F.substring("text", 1, 200).alias("snippet"))
+        .select("primitive_id", "review_id", F.lit("negative").alias("kind"), F.col("text").alias("snippet"))
     )
     both = positive.unionByName(negative)
     return top_per_key(both, ["primitive_id", "kind"], [F.col("review_id"), F.col("snippet")], n)

@@ -94,12 +94,17 @@ def rendered_context(nested: DataFrame) -> DataFrame:
     )
 
 
-def path_value(record: str, path: str, limit: int = 3000):
-    """value at a dotted path such as ``reviews.0.text`` of a JSON column."""
+def path_value(record: str, path: str, limit: int | None = None):
+    """value at a dotted path such as ``reviews.0.text`` of a JSON column.
+
+    With a limit, longer objects and arrays are cut there and say so.
+    """
     parts = [p for p in path.replace("[", ".").replace("]", ".").split(".") if p]
     json_path = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in parts)
     value = F.get_json_object(record, json_path)
     missing = F.lit(f"Error: path '{path}' not found")
+    if limit is None:
+        return F.when(value.isNull(), missing).otherwise(value)
     cut = F.concat(
         F.substring(value, 1, limit), F.lit("\n... (truncated, use more specific path)")
     )
@@ -110,10 +115,11 @@ def path_value(record: str, path: str, limit: int = 3000):
     )
 
 
-def keyword_positions(reviews_column: str, keyword: str, limit: int = 20):
-    """0-based positions of the first reviews whose text holds the keyword."""
+def keyword_positions(reviews_column: str, keyword: str, limit: int | None = None):
+    """0-based positions of the reviews (with a limit, the first) whose text holds the keyword."""
     hit = F.transform(
         reviews_column,
         lambda r, i: F.when(F.contains(F.lower(r["text"]), F.lit(keyword.lower())), i),
     )
-    return F.slice(F.array_compact(hit), 1, limit)
+    found = F.array_compact(hit)
+    return found if limit is None else F.slice(found, 1, limit)

@@ -52,7 +52,14 @@ def capped_per_business(reviews: DataFrame, cap: int = 500, position: str = "pos
     return top_per_key(reviews, ["business_id"], [F.col(position)], cap, "_rn").drop("_rn")
 
 
-def keyword_hits(reviews: DataFrame, patterns: Mapping[str, Sequence[str]]) -> DataFrame:
+def start_of(column: str, length: int | None) -> Column:
+    """The whole text, or with a length its beginning."""
+    return F.col(column) if length is None else F.substring(column, 1, length)
+
+
+def keyword_hits(
+    reviews: DataFrame, patterns: Mapping[str, Sequence[str]], snippet_length: int | None = None
+) -> DataFrame:
     """One row per (topic, review) whose text matches the topic's alternation."""
     found = F.explode(
         F.array(
@@ -67,7 +74,7 @@ def keyword_hits(reviews: DataFrame, patterns: Mapping[str, Sequence[str]]) -> D
         .select("*", "_hit.*")
         .drop("_hit")
         .where(F.col("match").isNotNull())
-        .withColumn("snippet", F.substring("text", 1, 200))
+        .withColumn("snippet", start_of("text", snippet_length))
     )
 
 
@@ -228,7 +235,9 @@ def severity_lists(scores: DataFrame) -> DataFrame:
     )
 
 
-def sample_reviews(scored: DataFrame, kind: str, n: int = 5, position: str = "pos") -> DataFrame:
+def sample_reviews(
+    scored: DataFrame, kind: str, n: int = 5, position: str = "pos", snippet_length: int | None = None
+) -> DataFrame:
     """Best n reviews per (topic, business) by ``critical`` or ``high`` score."""
     score = F.col(f"{kind}_score")
     best = top_per_key(
@@ -236,7 +245,7 @@ def sample_reviews(scored: DataFrame, kind: str, n: int = 5, position: str = "po
     )
     return best.select(
         "topic", "business_id", "rn", "review_id", score.alias("score"),
-        F.col(f"{kind}_matches").alias("matches"), F.substring("text", 1, 300).alias("snippet"),
+        F.col(f"{kind}_matches").alias("matches"), start_of("text", snippet_length).alias("snippet"),
     )
 
 

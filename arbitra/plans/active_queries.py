@@ -230,7 +230,7 @@ def _(spark, sf):
 @query("discovery_examples", ["tags", "z", "reviews"], """
     SELECT primitive_id, kind, snippet FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY primitive_id, kind ORDER BY review_id) AS rn FROM (
         SELECT primitive_id, review_id, 'positive' AS kind, 'event of ' || review_id AS snippet FROM tags WHERE y > 0
-        UNION ALL SELECT primitive_id, review_id, 'negative', substring(text, 1, 200) FROM tags JOIN z USING (primitive_id, review_id)
+        UNION ALL SELECT primitive_id, review_id, 'negative', text FROM tags JOIN z USING (primitive_id, review_id)
             JOIN (SELECT primitive_id, quantile_cont(z, 0.7) AS t FROM z GROUP BY primitive_id) USING (primitive_id) JOIN reviews USING (review_id) WHERE y = 0 AND z >= t)) WHERE rn <= 5""")
 def _(spark, sf):
     """T8."""

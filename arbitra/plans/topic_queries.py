@@ -97,7 +97,7 @@ def _(spark, sf):
     """F19."""
     nested = datasets.nested_datasets(ad.businesses(spark, sf), ad.reviews(spark, sf), [10])
     rows = nested.withColumn("record", F.to_json(F.struct("business", "reviews")))
-    found = datasets.keyword_positions("reviews", "thing")
+    found = datasets.keyword_positions("reviews", "thing", 20)
     return rows.select(
         "business_id", datasets.path_value("record", "business.name").alias("name"),
         datasets.path_value("record", "reviews.1.stars").alias("second_stars"),

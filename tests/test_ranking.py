@@ -76,3 +76,11 @@ def test_large_limits_are_salted_and_whole(spark):
     rows = ranking.top_per_key(df, ["k"], [F.desc("v")], 1500).collect()
     assert sorted(r["v"] for r in rows) == list(range(4500, 6000))
     assert all(r["rn"] == 6000 - r["v"] for r in rows)
+
+
+def test_null_values_and_keys_stay(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), (None, 2.0)], "k string, v double")
+    ranks = {(r["k"], r["v"]): r["r"] for r in ranking.rank_normalize(df, ["k"], "v", "r").collect()}
+    assert ranks == {("a", 1.0): 0.0, ("a", 3.0): 1.0, ("a", None): None, (None, 2.0): None}
+    bins = {(r["k"], r["v"]): r["b"] for r in ranking.quantile_bins(df, ["k"], "v", 2, "b").collect()}
+    assert bins == {("a", 1.0): 0, ("a", 3.0): 1, ("a", None): None, (None, 2.0): None}
