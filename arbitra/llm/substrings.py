@@ -31,7 +31,7 @@ from arbitra.llm.tables import written
 LENGTH, SEED_BYTES = 50, 16
 #: Rows are scanned in shards of this many bytes; runs are merged in chunks of about this many,
 #: each of so many transforms.
-SHARD_BYTES, CHUNK_BYTES, TRANSFORMS = 4 << 20, 1 << 20, 4
+SHARD_BYTES, CHUNK_BYTES, TRANSFORMS = 4 << 20, 1 << 18, 8
 KNOWN = np.uint32(0xFFFFFFFF)
 
 
@@ -349,7 +349,10 @@ def _search(found: DataFrame) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (row, id, text as bytes) and, for those that lose bytes, row and spans."""
+    """The rows (row, id, packed text, bytes n) and, for those that lose bytes, row and spans.
+
+    Both the search and the caller join the same packed rows, so one exchange serves both.
+    """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
@@ -363,10 +366,10 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
         .select("row", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
     )
     searched = names.join(copies.select("row"), "row", "left_anti")
-    sent = named.select("row", "id", packed("text").alias("packed"), F.octet_length("text").alias("n"))
+    sent = rows.select("row", "id", packed("text").alias("packed"), F.octet_length("text").cast("long").alias("n"))
     found = _search(_cut_runs(sent.join(searched, "row").select("row", "id", "packed", "n", "names")))
     spans = found.unionAll(copies).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows, spans
+    return sent, spans
 
 
 def kept_bytes(text: bytes, spans: Sequence[dict] | None) -> tuple[bytes, int, int]:
@@ -390,7 +393,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take nothing from others.  Ids are numbers.  Other columns are ignored; an empty table gives
     no rows.  ``docs`` must be a table that is read in the same order each time, as files are.
     """
-    rows, spans = removed_spans(docs, id_col, text_col)
+    sent, spans = removed_spans(docs, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,12 +403,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column("id"), "row": batch.column("row"),
                 "kept": pa.array([k for k, _, _ in kept], pa.binary()),
-                "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+                "n_bytes": batch.column("n"),
                 "n_removed": pa.array([n for _, n, _ in kept], pa.int64()), "n_spans": pa.array([n for _, _, n in kept], pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k, _, _ in kept]),
             })
 
-    sent = rows.select("row", "id", packed("text").alias("packed"))
     cut_rows = sent.join(spans, "row", "left").mapInArrow(
         cut, "id long, row long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
