@@ -13,8 +13,11 @@ speed only.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,37 +26,81 @@ from pyspark.sql import functions as F
 
 from arbitra.functions.ranking import global_row_number
 from arbitra.llm.tables import written
+from arbitra.llm.tokens import byte_symbols
 
 MAX_TOKENS = 4096
 KEPT_WORD = 24
 KEPT_WORDS = 400_000
+#: A word of letters and then marks that no rule of the vocabulary joins with letters.
+PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*&%#]*)")
 #: Bytes of a text that are split into words at a time, and of ids in a batch of pieces.
 SLICE = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
 class Words:
-    """Ids of words as little-endian unsigned 32-bit numbers."""
+    """Ids of words as little-endian unsigned 32-bit numbers.
+
+    Short words are kept in two generations: when the young one is full it replaces the old one.
+    """
 
     def __init__(self, path: str):
+        # Spark runs a worker on every core; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
-
-    def _packed(self, words: list[bytes]) -> Iterator[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4").tobytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.symbols = byte_symbols()
+
+    def run(self, run: str) -> bytes:
+        """Ids of one run of letters or of marks, straight from the merges of the library."""
+        found = self.runs.get(run)
+        if found is None:
+            symbols = "".join([self.symbols[b] for b in run.encode("utf-8")])
+            ids = [t.id for t in self.library.model.tokenize(symbols)]
+            found = self.runs[run] = pack("<%dI" % len(ids), *ids)
+        return found
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not kept; of those too long to keep they are returned.
+
+        Letters of Latin-1, which normalising leaves as they are, and marks behind them need the
+        library's merges only; all other words go through the whole library.
+        """
+        if len(self.runs) > KEPT_WORDS:
+            self.runs.clear()
+        young, long, rest = self.young, {}, []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            plain = PLAIN_WORD.fullmatch(text) if len(word) <= KEPT_WORD else None
+            if plain is None:
+                rest.append((word, text))
+            else:
+                letters, marks = plain.groups()
+                young[word] = (self.run(letters.lower()) + self.run(marks)) if marks else self.run(letters.lower())
+        if rest:
+            found = self.library.encode_batch_fast([text for _, text in rest], add_special_tokens=False)
+            for (word, _), made in zip(rest, found):
+                ids = made.ids
+                (young if len(word) <= KEPT_WORD else long)[word] = pack("<%dI" % len(ids), *ids)
+        return long
 
     def ids(self, words: list[bytes]) -> bytes:
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        new = list({w for w in words if w not in kept})
-        found = dict(zip(new, self._packed(new))) if new else {}
-        kept.update((w, x) for w, x in found.items() if len(w) <= KEPT_WORD)
-        return b"".join([kept[w] if w in kept else found[w] for w in words])
+        if len(self.young) > KEPT_WORDS:
+            self.old, self.young = self.young, {}
+        young = self.young
+        new = set(words).difference(young)
+        if not new:
+            return b"".join(map(young.__getitem__, words))
+        old = self.old
+        young.update([(w, old[w]) for w in new if w in old])
+        long = self.learn([w for w in new if w not in old])
+        if not long:
+            return b"".join(map(young.__getitem__, words))
+        return b"".join([young[w] if w in young else long[w] for w in words])
 
     def text_ids(self, text: bytes) -> bytes:
         """The ids of a whole text, a slice that ends with a word at a time."""
