@@ -1,11 +1,12 @@
 """Centroid clustering of vectors with lower bounds from Ptolemy's inequality.
 
 For points q, c and pivots a, b of a Euclidean space, d(q,c) * d(a,b) is at least
-|d(q,a) * d(c,b) - d(q,b) * d(c,a)|.  The distances of all vectors to a few fixed pivots are
-computed once and written with the vectors; a round computes those of the centroids and bounds the
-distance of each vector to each centroid from below.  Centroids whose bound exceeds an exact
-distance are out; all others are compared exactly, in whole numbers.  Bounds are lowered by more
-than the rounding error of their floating-point terms, so they never drop a nearest centroid.
+|d(q,a) * d(c,b) - d(q,b) * d(c,a)|.  Pivots are the centroids of an early round: each centroid is
+bounded by fixed pairs of the pivot nearest to it and of pivots far from that one.  The distances of
+all vectors to the pivots are computed once and written with the vectors; a round computes those of
+the centroids.  Centroids whose bound exceeds an exact distance are out; all others are compared
+exactly, in whole numbers.  Bounds are lowered by more than the rounding error of their
+floating-point terms, so they never drop a nearest centroid.
 
 Vectors stay in the shared folder.  A task sends one row of sums per cluster, and only the centroids
 (``k`` rows) reach the driver.
@@ -26,9 +27,10 @@ from arbitra.llm.tables import written
 
 #: Components up to this size keep every squared distance within 64 bits at up to 64 components.
 LARGEST = 1 << 27
-PIVOTS = 8
-#: Relative error allowed for each term of a bound; a product of two roots is within a few 2^-53.
-SLACK = 1e-14
+#: Pivots at most, and the pairs that bound each centroid.
+PIVOTS, PAIRS = 64, 8
+#: Relative error allowed for each term of a bound: distances to pivots are kept as 32-bit floats.
+SLACK = 4e-7
 #: Bounds held at once by a task.
 BLOCK = 1 << 20
 
@@ -68,14 +70,18 @@ def distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
 def ptolemaic_bounds(to_pivots: np.ndarray, centroids_to_pivots: np.ndarray, apart: np.ndarray) -> np.ndarray:
     """Lower bounds of squared distances, points by centroids; 0 where there is no pair of pivots."""
     low = np.zeros((len(to_pivots), len(centroids_to_pivots)))
-    for a, b in combinations(range(len(apart)), 2):
-        one = to_pivots[:, a, None] * centroids_to_pivots[None, :, b]
-        two = to_pivots[:, b, None] * centroids_to_pivots[None, :, a]
+    every = np.arange(len(centroids_to_pivots))
+    near = centroids_to_pivots.argmin(1)
+    far = np.argsort(-apart[near], axis=1, kind="stable")[:, : min(PAIRS, len(apart) - 1)]
+    to_near = to_pivots[:, near]
+    for other in far.T:
+        one = to_pivots[:, other] * centroids_to_pivots[every, near]
+        two = to_near * centroids_to_pivots[every, other]
         bound = np.abs(one - two)
         bound -= SLACK * (one + two)
-        bound *= (1 - SLACK) / apart[a, b]
+        bound *= (1 - SLACK) / apart[near, other]
         np.maximum(low, bound, out=low)
-    low *= low * (1 - SLACK)
+    low *= low
     return low
 
 
@@ -109,7 +115,7 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def with_pivots(kept: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """id, v, to_pivots: the distances that every round uses."""
+    """id, v, to_pivots: the distances that the next rounds use."""
 
     def cached(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +126,9 @@ def with_pivots(kept: DataFrame, pivots: np.ndarray) -> DataFrame:
                 raise ValueError(f"a component is beyond {LARGEST}: its squared distances leave 64 bits")
             d = distances(v, pivots)
             at = pa.array(np.arange(len(v) + 1) * d.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(d.ravel()))], ["id", "v", "to_pivots"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(d.ravel().astype(np.float32)))], ["id", "v", "to_pivots"])
 
-    return kept.mapInArrow(cached, f"id {kept.schema['id'].dataType.simpleString()}, v array<long>, to_pivots array<double>")
+    return kept.select("id", "v").mapInArrow(cached, f"id {kept.schema['id'].dataType.simpleString()}, v array<long>, to_pivots array<float>")
 
 
 def _totals(centroids: np.ndarray, pivots: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -172,10 +178,14 @@ def clusters(
     kind = kept.schema["id"].dataType.simpleString()
     if not len(centroids):
         return kept.where("false").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("cluster"), F.lit(0).cast("long").alias("distance")), centroids
-    pivots = far_apart(centroids, n_pivots)
-    table = written(with_pivots(kept, pivots))
-    for _ in range(rounds):
-        centroids = moved(table, centroids, pivots)
+    table = kept
+    for r in range(rounds + 1):
+        # Centroids move most at first; later ones stay near their pivots for longer.
+        if r < 2 or r % 3 == 0:
+            pivots = far_apart(centroids, n_pivots)
+            table = written(with_pivots(table, pivots))
+        if r < rounds:
+            centroids = moved(table, centroids, pivots)
 
     def assigned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
