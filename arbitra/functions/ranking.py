@@ -121,10 +121,14 @@ def rank_normalize(df: DataFrame, keys: Sequence[str], value: str, out: str) ->
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], weight: str | None = None
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles, one row per (keys, p)."""
-    table = prefix_totals(df.where(F.col(value).isNotNull()), keys, value, {"_n": F.count(F.lit(1))})
+    """Exact linear-interpolation quantiles, one row per (keys, p).
+
+    With ``weight`` a row stands for so many rows with its value.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    table = prefix_totals(df.where(F.col(value).isNotNull()), keys, value, {"_n": n})
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     last = F.col("total__n") - 1
     # 0-based positions below and above p * (n - 1); keep the values that sit on them.
@@ -141,10 +145,10 @@ def quantiles(
     )
 
 
-def quantile_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
+def quantile_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int, weight: str | None = None) -> DataFrame:
     """Inner bin edges per key as one sorted array (bins - 1 values)."""
     inner = [i / bins for i in range(1, bins)]
-    found = quantiles(df, keys, value, inner)
+    found = quantiles(df, keys, value, inner, weight)
     return found.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("p", "quantile"))), lambda e: e["quantile"]).alias(
             "edges"

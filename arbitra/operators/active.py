@@ -2,7 +2,8 @@
 
 Long tables: ``gates`` (gate_id, primitive_ids, modality, polarity), ``gate_scores`` (gate_id,
 review_id, score), ``pool`` (review_id, business_id), ``z`` (primitive_id, review_id, z[, bin]),
-``tags`` (review_id, business_id, primitive_id, y).  ``primitives`` is configuration: a list of
+``tags`` (review_id, business_id, primitive_id, y).  Wherever a ``z`` is taken it may also be a
+``SparseScores``, which has no rows for pairs that no gate has found.  ``primitives`` is configuration: a list of
 ``{"primitive_id", "label", "conditions", "min_count", "logic"}``; ``rules`` a list of
 ``{"label", "connective", "primitive_ids"}``.
 """
@@ -17,13 +18,11 @@ from pyspark.sql import functions as F
 
 from arbitra.functions import scoring as sc
 from arbitra.functions.conditions import event_matches
-from arbitra.functions.ranking import (
-    prefix_totals, quantile_bins, quantiles, rank_normalize, top_per_key,
-)
+from arbitra.functions.ranking import prefix_totals, quantile_bins, quantiles, top_per_key
+from arbitra.operators.sparse_scores import SparseScores, as_sparse
+from arbitra.operators.sparse_scores import contrast as sparse_contrast
 from arbitra.session import dimension, materialize
 
-POOLS = [("bm25", "pos"), ("bm25", "neg"), ("emb", "pos"), ("emb", "neg")]
-
 
 def _literal_rows(*structs: Column) -> Column:
     return F.explode(F.array(*structs))
@@ -42,57 +41,43 @@ def max_pool(gates: DataFrame, gate_scores: DataFrame) -> DataFrame:
 def contrast(
     gates: DataFrame, gate_scores: DataFrame, pool: DataFrame, primitive_ids: Sequence[str], gamma: float = 0.5
 ) -> DataFrame:
-    """z = max(rank of positive pools) - gamma * max(rank of negative pools).
+    """Z of every (primitive, review) pair, written out from its sparse form."""
+    return sparse_contrast(gates, gate_scores, pool, primitive_ids, gamma).dense()
 
-    Every review takes part in every pool, with 0 where no gate scored it, so an empty pool
-    ranks 0.5 throughout.
-    """
-    members = gates.select("gate_id", "modality", "polarity", F.explode("primitive_ids").alias("primitive_id"))
-    is_pool = lambda m, p: (F.col("modality") == m) & (F.col("polarity") == p)
-    best = gate_scores.join(members, "gate_id").groupBy("primitive_id", "review_id").agg(
-        *[F.max(F.when(is_pool(m, p), F.col("score"))).alias(f"{p}_{m}") for m, p in POOLS]
-    )
-    everywhere = pool.select("review_id", _literal_rows(*[F.lit(p) for p in primitive_ids]).alias("primitive_id"))
-    wide = everywhere.join(best, ["primitive_id", "review_id"], "left")
-    long = wide.select(
-        "primitive_id",
-        "review_id",
-        _literal_rows(
-            *[
-                F.struct(F.lit(f"{p}_{m}").alias("pool"), F.coalesce(f"{p}_{m}", F.lit(0.0)).alias("score"))
-                for m, p in POOLS
-            ]
-        ).alias("s"),
-    ).select("primitive_id", "review_id", "s.pool", "s.score")
-    ranked = rank_normalize(long, ["primitive_id", "pool"], "score", "r")
-    polarity = F.substring("pool", 1, 3)
-    side = lambda p: F.max(F.when(polarity == p, F.col("r")))
-    return ranked.groupBy("primitive_id", "review_id").agg((side("pos") - gamma * side("neg")).alias("z"))
-
-
-def binned(z: DataFrame, bins: int) -> DataFrame:
+
+def binned(z: DataFrame | SparseScores, bins: int) -> DataFrame | SparseScores:
     """W7 per primitive."""
-    return quantile_bins(z, ["primitive_id"], "z", bins, "bin")
+    return z.binned(bins) if isinstance(z, SparseScores) else quantile_bins(z, ["primitive_id"], "z", bins, "bin")
 
 
-def score_statistics(z: DataFrame) -> DataFrame:
+def score_statistics(z: DataFrame | SparseScores) -> DataFrame:
     """Min, mean, p50, p90, max of z per primitive."""
-    plain = z.groupBy("primitive_id").agg(F.min("z").alias("z_min"), F.avg("z").alias("z_mean"), F.max("z").alias("z_max"))
-    q = quantiles(z, ["primitive_id"], "z", [0.5, 0.9]).groupBy("primitive_id").agg(
+    every = as_sparse(z).weighted()
+    plain = every.groupBy("primitive_id").agg(
+        F.min("z").alias("z_min"), (F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("z_mean"), F.max("z").alias("z_max")
+    )
+    q = quantiles(every, ["primitive_id"], "z", [0.5, 0.9], "w").groupBy("primitive_id").agg(
         F.max(F.when(F.col("p") == 0.5, F.col("quantile"))).alias("z_p50"),
         F.max(F.when(F.col("p") == 0.9, F.col("quantile"))).alias("z_p90"),
     )
     return plain.join(q, "primitive_id")
 
 
-def top_reviews(z: DataFrame, n: int = 10) -> DataFrame:
+def top_reviews(z: DataFrame | SparseScores, n: int = 10) -> DataFrame:
     """T4."""
-    return top_per_key(z, ["primitive_id"], [F.desc("z"), F.col("review_id")], n, "rank")
+    z = as_sparse(z)
+    rows = z.scored.select("primitive_id", "review_id", "z")
+    if z.rest is not None:
+        rows = rows.unionByName(z.first_unscored(n, [F.col("review_id")]).select(*rows.columns))
+    return top_per_key(rows, ["primitive_id"], [F.desc("z"), F.col("review_id")], n, "rank")
 
 
-def entity_ranks(z: DataFrame, pool: DataFrame) -> DataFrame:
+def entity_ranks(z: DataFrame | SparseScores, pool: DataFrame) -> DataFrame:
     """Rank of each entity by its best z, per primitive; equal scores share a rank."""
-    best = z.join(pool.select("review_id", "business_id"), "review_id").groupBy("primitive_id", "business_id").agg(F.max("z").alias("max_z"))
+    if isinstance(z, SparseScores):
+        best = z.per_entity().groupBy("primitive_id", "business_id").agg(F.max("z").alias("max_z"))
+    else:
+        best = z.join(pool.select("review_id", "business_id"), "review_id").groupBy("primitive_id", "business_id").agg(F.max("z").alias("max_z"))
     keyed = best.withColumn("_neg", -F.col("max_z"))
     table = prefix_totals(keyed, ["primitive_id"], "_neg", {"_n": F.count(F.lit(1))})
     ranks = table.select("primitive_id", "_neg", (F.col("before__n") + 1).alias("rank"))
@@ -104,7 +89,7 @@ def positive_entities(truth: DataFrame) -> DataFrame:
     return truth.where(~F.col("verdict").isin("Low Risk", "Unknown"))
 
 
-def positive_ranks(z: DataFrame, pool: DataFrame, truth: DataFrame) -> DataFrame:
+def positive_ranks(z: DataFrame | SparseScores, pool: DataFrame, truth: DataFrame) -> DataFrame:
     """Ranks of the entities with a positive true verdict."""
     return entity_ranks(z, pool).join(positive_entities(truth).select("business_id", "verdict"), "business_id")
 
@@ -141,14 +126,14 @@ def verdict_evidence(tags: DataFrame, verdicts: DataFrame, rules: Sequence[Mappi
 
 
 def calibrate(
-    tags: DataFrame, z: DataFrame, primitive_ids: Sequence[str], bins: int, delta: float | None = None
+    tags: DataFrame, z: DataFrame | SparseScores, primitive_ids: Sequence[str], bins: int, delta: float | None = None
 ) -> DataFrame:
     """A23 + J21: Beta counts per (primitive, bin) with the current bins of verified reviews.
 
     theta is the mean; with ``delta`` an upper confidence bound ``u`` is added (X24), otherwise
     ``u`` is theta.  Bins without tags keep the uniform prior.
     """
-    current = tags.join(z.select("primitive_id", "review_id", "bin"), ["primitive_id", "review_id"])
+    current = as_sparse(z).looked_up(tags.select("primitive_id", "review_id", "y"), ["bin"])
     counted = current.groupBy("primitive_id", "bin").agg(
         F.count_if(F.col("y") > 0).alias("pos"), F.count_if(F.col("y") <= 0).alias("neg")
     )
@@ -219,24 +204,27 @@ def rule_verdicts(entities: DataFrame, counts: DataFrame, rules, primitives) ->
     ).select("business_id", F.when(F.col("_any"), F.col("_l")).alias("verdict"))
 
 
-def unverified(z: DataFrame, tags: DataFrame) -> DataFrame:
-    """(primitive, review) rows of reviews without any tag."""
-    return z.join(tags.select("review_id").distinct(), "review_id", "left_anti")
+def unverified(z: DataFrame | SparseScores, tags: DataFrame) -> DataFrame | SparseScores:
+    """Scores of reviews without any tag."""
+    verified = tags.select("review_id").distinct()
+    return z.without(verified) if isinstance(z, SparseScores) else z.join(verified, "review_id", "left_anti")
 
 
-def bin_counts(open_z: DataFrame, pool: DataFrame) -> DataFrame:
+def bin_counts(open_z: DataFrame | SparseScores, pool: DataFrame) -> DataFrame:
     """Unverified reviews per (entity, primitive, bin)."""
+    key = ["business_id", "primitive_id", "bin"]
+    if isinstance(open_z, SparseScores):
+        return open_z.per_entity().groupBy(*key).agg(F.sum("n").alias("n"))
     placed = open_z.join(pool.select("review_id", "business_id"), "review_id")
-    return placed.groupBy("business_id", "primitive_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bin_counts_all(open_z: DataFrame, pool: DataFrame) -> DataFrame:
+def bin_counts_all(open_z: DataFrame | SparseScores, pool: DataFrame) -> DataFrame:
     """A27 in one pass: per entity and over all entities (business_id null)."""
-    placed = open_z.join(pool.select("review_id", "business_id"), "review_id")
-    return placed.groupingSets(
+    return bin_counts(open_z, pool).groupingSets(
         [[F.col("primitive_id"), F.col("bin"), F.col("business_id")], [F.col("primitive_id"), F.col("bin")]],
         F.col("primitive_id"), F.col("bin"), F.col("business_id"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(F.sum("n").alias("n"))
 
 
 def default_bound(
@@ -276,7 +264,7 @@ def stop_check(verdicts: DataFrame, bounds: DataFrame, default_label: str, epsil
 
 
 def candidate_scores(
-    open_z: DataFrame, pool: DataFrame, counts: DataFrame, calibration: DataFrame,
+    open_z: DataFrame | SparseScores, pool: DataFrame, counts: DataFrame, calibration: DataFrame,
     primitives: Sequence[Mapping], label_order: Sequence[str],
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0), mask: DataFrame | None = None,
 ) -> DataFrame:
@@ -284,11 +272,15 @@ def candidate_scores(
 
     hunt: best positive z of an unmet clause of the most severe label; local and global: share
     of the review's bin in its entity and overall, times the expected variance drop.
+
+    A review starts from its entity's sums over the bins of unfound reviews and corrects them for
+    the primitives whose gates have found it.  ``top_primitive`` has the largest z, of equal ones
+    the least id.
     """
     rank = {label: i for i, label in enumerate(label_order)}
     worst = min(rank.get(p["label"], 999) for p in primitives)
     dims = dimension(
-        open_z.sparkSession,
+        pool.sparkSession,
         [
             (p["primitive_id"], p.get("min_count") or 1, rank.get(p["label"], 999) == worst,
              math.exp(-rank.get(p["label"], 999)))
@@ -296,13 +288,13 @@ def candidate_scores(
         ],
         "primitive_id string, min_count int, top boolean, w double",
     )
-    placed = open_z.join(pool.select("review_id", "business_id"), "review_id")
-    local = placed.groupBy("business_id", "primitive_id", "bin").agg(F.count(F.lit(1)).alias("c_local"))
+    z = as_sparse(open_z)
+    reviews = z.pool if z.rest is not None else pool.join(z.scored.select("review_id").distinct(), "review_id", "left_semi")
+    reviews = reviews.select("review_id", "business_id")
+    local = materialize(bin_counts(open_z, pool).withColumnRenamed("n", "c_local"))
     overall = local.groupBy("primitive_id", "bin").agg(F.sum("c_local").alias("c_all"))
-    # Rows of one primitive count the reviews: the pool holds every review under each of them.
-    one = local.where(F.col("primitive_id") == primitives[0]["primitive_id"])
-    per_entity = one.groupBy("business_id").agg(F.sum("c_local").alias("open_local"))
-    total = per_entity.agg(F.sum("open_local")).scalar()
+    per_entity = reviews.groupBy("business_id").agg(F.count(F.lit(1)).alias("open_local"))
+    total = reviews.agg(F.count(F.lit(1))).scalar()
     drop = calibration.select("primitive_id", "bin", sc.variance_drop(F.col("alpha"), F.col("beta")).alias("dv"))
     cells = (
         local.join(overall, ["primitive_id", "bin"])
@@ -312,19 +304,50 @@ def candidate_scores(
         .join(counts, ["business_id", "primitive_id"], "left")
     )
     unmet = F.col("top") & (F.col("min_count") > F.coalesce("n", F.lit(0)))
-    cells = cells.select(
+    cells = materialize(cells.select(
         "business_id", "primitive_id", "bin",
         F.when(unmet, F.col("w")).otherwise(F.lit(0.0)).alias("hunt_w"),
         (F.col("c_local") / F.col("open_local") * F.col("dv")).alias("v_local"),
         (F.col("c_all") / F.greatest(total, F.lit(1)) * F.col("dv")).alias("v_global"),
+    ))
+    hunt = F.greatest(F.lit(0.0), F.col("z")) * F.col("hunt_w")
+    own = z.scored.join(reviews, "review_id").join(cells, ["business_id", "primitive_id", "bin"]).withColumn("v_hunt", hunt)
+    none = F.lit(0.0)
+    if z.rest is None:
+        own = own.withColumns({"rest_local": none, "rest_global": none})
+    else:
+        others = z.rest.drop("n").join(cells, ["primitive_id", "bin"]).withColumn("v_hunt", hunt)
+        taken_back = others.select("business_id", "primitive_id", F.col("v_local").alias("rest_local"), F.col("v_global").alias("rest_global"))
+        own = own.join(taken_back, ["business_id", "primitive_id"], "left")
+        # One entry per primitive: the best hunt first.
+        base = others.groupBy("business_id").agg(
+            F.sum("v_local").alias("base_local"), F.sum("v_global").alias("base_global"),
+            F.array_sort(F.collect_list(F.struct((-F.col("v_hunt")).alias("h"), "primitive_id"))).alias("hunts"),
+        )
+        tops = z.rest.agg(F.array_sort(F.collect_list(F.struct((-F.col("z")).alias("z"), F.col("primitive_id").alias("p"))))).scalar()
+    mine = own.groupBy("review_id").agg(
+        F.max("v_hunt").alias("own_hunt"), F.sum("v_local").alias("own_local"), F.sum("v_global").alias("own_global"),
+        F.sum(F.coalesce("rest_local", none)).alias("less_local"), F.sum(F.coalesce("rest_global", none)).alias("less_global"),
+        F.collect_set("primitive_id").alias("found"), F.min(F.struct((-F.col("z")).alias("z"), F.col("primitive_id").alias("p"))).alias("own_top"),
     )
+    rows = reviews.join(mine, "review_id", "inner" if z.rest is None else "left")
+    if z.rest is None:
+        scored = rows.select(
+            "review_id", "business_id", F.col("own_hunt").alias("v_hunt"), F.col("own_local").alias("v_local"),
+            F.col("own_global").alias("v_global"), F.col("own_top.p").alias("top_primitive"),
+        )
+    else:
+        rows = rows.join(base, "business_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+        # Of a sorted list, the first entry that is not found is among the first size(found) + 1.
+        first = lambda entries, of: F.get(F.filter(F.slice(entries, 1, F.size("found") + 1), lambda e: ~F.array_contains("found", of(e))), 0)
+        other_hunt = -first(F.col("hunts"), lambda e: e["primitive_id"])["h"]
+        value = lambda c: F.coalesce(f"base_{c}", none) - F.coalesce(f"less_{c}", none) + F.coalesce(f"own_{c}", none)
+        scored = rows.withColumn("_tops", tops).select(
+            "review_id", "business_id", F.coalesce(F.greatest(F.col("own_hunt"), other_hunt), none).alias("v_hunt"),
+            value("local").alias("v_local"), value("global").alias("v_global"),
+            F.least(F.col("own_top"), first(F.col("_tops"), lambda e: e["p"]))["p"].alias("top_primitive"),
+        )
     h, lo, g = weights
-    scored = placed.join(cells, ["business_id", "primitive_id", "bin"]).groupBy("review_id", "business_id").agg(
-        F.max(F.greatest(F.lit(0.0), F.col("z")) * F.col("hunt_w")).alias("v_hunt"),
-        F.sum("v_local").alias("v_local"),
-        F.sum("v_global").alias("v_global"),
-        F.max_by("primitive_id", F.col("z")).alias("top_primitive"),
-    )
     score = h * F.col("v_hunt") + lo * F.col("v_local") + g * F.col("v_global")
     if mask is not None:
         scored = scored.join(mask, "review_id", "left")
@@ -332,68 +355,81 @@ def candidate_scores(
     return scored.withColumn("score", score)
 
 
+def _first_per_bin(z: SparseScores, free: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """primitive_id, bin, reviews: the first k free reviews of each bin."""
+    key = ["primitive_id", "bin"]
+    rows = z.scored.select(*key, "review_id").join(free, "review_id")
+    if z.rest is not None:
+        unfound = SparseScores(z.scored, z.rest, free).first_unscored(k, order)
+        rows = rows.unionByName(unfound.select(*key, "review_id").join(free, "review_id"))
+    listed = top_per_key(rows, key, order, k)
+    return listed.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "review_id"))), lambda r: r["review_id"]).alias("reviews"))
+
+
+def _one_per_bin(lists: DataFrame, bins: DataFrame, order: Column, n: Column | int) -> DataFrame:
+    """place, review_id: bins in order each give their first review that no bin before took, up to n.
+
+    One row holds the lists: primitives x bins x the k reviews of each, whatever the data.
+    """
+    rows = lists.join(bins, ["primitive_id", "bin"]).select(F.struct(order.alias("o"), "primitive_id", "bin", "reviews").alias("b"))
+    limit = n if isinstance(n, Column) else F.lit(n)
+    one = rows.agg(F.array_sort(F.collect_list("b")).alias("bins")).withColumn("n", limit)
+    nothing = F.array().cast("array<string>")
+    grown = lambda taken, b: F.when(F.size(taken) >= F.col("n"), taken).otherwise(
+        F.concat(taken, F.slice(F.filter(b["reviews"], lambda r: ~F.array_contains(taken, r)), 1, 1))
+    )
+    return one.select(F.posexplode(F.aggregate("bins", nothing, grown)).alias("place", "review_id"))
+
+
 def select_batch(
-    scores: DataFrame, open_z: DataFrame, calibration: DataFrame, max_reviews: int,
+    scores: DataFrame, open_z: DataFrame | SparseScores, calibration: DataFrame, max_reviews: int,
     explore_frac: float = 0.2, coverage: int = 5, seed: int = 0, focus_business: str | None = None,
 ) -> DataFrame:
     """The next reviews to check, as (pick, review_id, stage).
 
     Stages in order: closeout of one stalled business, coverage of the bins with most expected
     variance drop, exploit by score, explore of sparse bins in hash order.  A pick excludes the
-    review from later stages.  Only the first ``max_reviews`` rows per (primitive, bin) and
-    overall can ever be picked, so the driver sees at most that many per head list.
+    review from later stages.  Each stage is a query over the reviews that the written picks of
+    the stages before leave free; picks never pass through the driver.
     """
     spark = scores.sparkSession
-    # Each head list below reads these two, so they are written once.
+    z = as_sparse(open_z)
     scores = materialize(scores.select("review_id", "business_id", "score"))
-    per_bin = materialize(open_z.select("review_id", "primitive_id", "bin").join(scores, "review_id"))
     by_score = [F.desc("score"), F.col("review_id")]
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), "review_id"))
+    hashed = [F.md5(F.concat_ws(":", F.lit(str(seed)), "review_id")), F.col("review_id")]
     key = ["primitive_id", "bin"]
-    best = top_per_key(per_bin, key, by_score, coverage + max(1, max_reviews // 4)).select(*key, "rn", "review_id")
-    sparse = top_per_key(per_bin, key, [hashed, F.col("review_id")], max_reviews).select(*key, "rn", "review_id")
-    drop = calibration.select(*key, sc.variance_drop(F.col("alpha"), F.col("beta")).alias("dv"))
-    sizes = per_bin.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(drop, key)
-
-    def heads(df: DataFrame) -> dict[tuple, list[str]]:
-        out: dict[tuple, list[str]] = {}
-        for r in df.orderBy(*key, "rn").collect():
-            out.setdefault((r["primitive_id"], r["bin"]), []).append(r["review_id"])
-        return out
-
-    bins = [(r["primitive_id"], r["bin"], r["n"], r["dv"]) for r in sizes.collect()]
-    picks: dict[str, str] = {}
+    dv = sc.variance_drop(F.col("alpha"), F.col("beta"))
+    bins = materialize(z.bin_sizes().join(calibration.select(*key, dv.alias("dv")), key))
+    schema = "stage_no int, place int, review_id string, stage string"
+    picks = spark.createDataFrame([], schema)
+
+    def picked(rows: DataFrame, number: int, stage: str) -> DataFrame:
+        named = rows.select(F.lit(number).alias("stage_no"), F.col("place").cast("int").alias("place"), "review_id", F.lit(stage).alias("stage"))
+        return materialize(picks.unionByName(named))
+
+    def free() -> DataFrame:
+        return scores.join(picks.select("review_id"), "review_id", "left_anti")
+
+    def head(rows: DataFrame, n: int) -> DataFrame:
+        """The first n by score, numbered: the window sees n rows."""
+        return rows.orderBy(*by_score).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*by_score)))
+
+    left = lambda n: F.lit(n) - picks.agg(F.count(F.lit(1))).scalar()
     if focus_business is not None:
-        own = scores.where(F.col("business_id") == focus_business).orderBy(*by_score)
-        for r in own.limit(max(1, max_reviews // 4)).collect():
-            picks[r["review_id"]] = "closeout"
-    covered = 0
-    by_bin = heads(best)
-    for p, b, *_ in sorted(bins, key=lambda x: (-x[2] * x[3], x[0], x[1])):
-        if covered >= coverage:
-            break
-        free = next((r for r in by_bin.get((p, b), []) if r not in picks), None)
-        if free is not None:
-            picks[free] = "coverage"
-            covered += 1
+        picks = picked(head(scores.where(F.col("business_id") == focus_business), max(1, max_reviews // 4)), 0, "closeout")
+    if coverage:
+        lists = _first_per_bin(z, free(), by_score, coverage)
+        picks = picked(_one_per_bin(lists, bins, -F.col("n") * F.col("dv"), coverage), 1, "coverage")
     n_explore = int(max_reviews * explore_frac)
-    for r in scores.orderBy(*by_score).limit(max_reviews).collect():
-        if len(picks) >= max_reviews - n_explore:
-            break
-        picks.setdefault(r["review_id"], "exploit")
+    picks = picked(head(free(), max_reviews).where(F.col("place") <= left(max_reviews - n_explore)), 2, "exploit")
     if n_explore:
-        loose = heads(sparse)
-        for p, b, *_ in sorted(bins, key=lambda x: (x[2], x[0], x[1])):
-            if len(picks) >= max_reviews:
-                break
-            free = next((r for r in loose.get((p, b), []) if r not in picks), None)
-            if free is not None:
-                picks[free] = "explore"
-    rows = [(i + 1, r, s) for i, (r, s) in enumerate(picks.items())][:max_reviews]
-    return spark.createDataFrame(rows, "pick int, review_id string, stage string")
-
-
-def discovery_examples(tags: DataFrame, z: DataFrame, reviews: DataFrame, n: int = 5, q: float = 0.7) -> DataFrame:
+        lists = _first_per_bin(z, free(), hashed, n_explore)
+        picks = picked(_one_per_bin(lists, bins, F.col("n"), left(max_reviews)), 3, "explore")
+    in_order = Window.orderBy("stage_no", "place")
+    return picks.withColumn("pick", F.row_number().over(in_order)).where(F.col("pick") <= max_reviews).select("pick", "review_id", "stage")
+
+
+def discovery_examples(tags: DataFrame, z: DataFrame | SparseScores, reviews: DataFrame, n: int = 5, q: float = 0.7) -> DataFrame:
     """Up to n positive snippets and n hard-negative texts per primitive.
 
     Hard negatives are verified negatives whose z reaches the q-quantile.
@@ -404,10 +440,10 @@ def discovery_examples(tags: DataFrame, z: DataFrame, reviews: DataFrame, n: int
         .where(F.coalesce(F.col("e.snippet"), F.lit("")) != "")
         .select("primitive_id", "review_id", F.lit("positive").alias("kind"), F.col("e.snippet").alias("snippet"))
     )
-    at = quantiles(z, ["primitive_id"], "z", [q]).select("primitive_id", F.col("quantile").alias("threshold"))
+    z = as_sparse(z)
+    at = quantiles(z.weighted(), ["primitive_id"], "z", [q], "w").select("primitive_id", F.col("quantile").alias("threshold"))
     negative = (
-        tags.where(F.col("y") == 0)
-        .join(z.select("primitive_id", "review_id", "z"), ["primitive_id", "review_id"])
+        z.looked_up(tags.where(F.col("y") == 0).select("primitive_id", "review_id"), ["z"])
         .join(at, "primitive_id")
         .where(F.col("z") >= F.col("threshold"))
         .join(reviews.select("review_id", "text"), "review_id")

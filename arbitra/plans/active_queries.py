@@ -8,15 +8,14 @@ from arbitra.operators import active as ac
 from arbitra.plans import adapters as ad
 from arbitra.plans import catalog as cat
 from arbitra.plans.registry import longs, query, r6
-from arbitra.session import materialize
 
 
 def z_table(spark, sf):
-    return materialize(ad.z_scores(spark, sf))
+    return ad.sparse_z(spark, sf)
 
 
 def binned(spark, sf):
-    return materialize(ac.binned(z_table(spark, sf), cat.BINS))
+    return ac.binned(z_table(spark, sf), cat.BINS).written()
 
 
 def tags(spark, sf):
@@ -43,7 +42,7 @@ def _(spark, sf):
 @query("contrast_score", ["z"], "SELECT primitive_id, review_id, ROUND(z, 6) AS z FROM z")
 def _(spark, sf):
     """A22, W6."""
-    return ad.z_scores(spark, sf).select("primitive_id", "review_id", r6("z"))
+    return z_table(spark, sf).dense().select("primitive_id", "review_id", r6("z"))
 
 
 @query("quantile_bins", [], """
@@ -59,7 +58,7 @@ def _(spark, sf):
 @query("score_bins", ["zb"], "SELECT primitive_id, bin, COUNT(*) AS n FROM zb GROUP BY primitive_id, bin")
 def _(spark, sf):
     """W7 over z."""
-    return binned(spark, sf).groupBy("primitive_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return binned(spark, sf).bin_sizes()
 
 
 @query("score_statistics", ["z"], """
@@ -71,10 +70,11 @@ def _(spark, sf):
 
 
 @query("top_reviews_by_score", ["z"], """
-    SELECT primitive_id, rank, ROUND(z, 6) AS z FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY primitive_id ORDER BY z DESC) AS rank FROM z) WHERE rank <= 10""")
+    SELECT primitive_id, rank, review_id, ROUND(z, 6) AS z FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY primitive_id ORDER BY z DESC, review_id) AS rank FROM z) WHERE rank <= 10""")
 def _(spark, sf):
     """T4."""
-    return ac.top_reviews(z_table(spark, sf)).select("primitive_id", *longs("rank"), r6("z"))
+    return ac.top_reviews(z_table(spark, sf)).select("primitive_id", *longs("rank"), "review_id", r6("z"))
 
 
 @query("entity_ranks", ["z", "reviews"], """
@@ -196,11 +196,11 @@ def _(spark, sf):
     return ac.stop_check(v, bound(spark, sf), "Low Risk", 0.9).select("business_id", "verdict", "stop_reason")
 
 
-def candidates(spark, sf, zb=None):
+def candidates(spark, sf, zb=None, open_z=None, calibrated=None):
     z = binned(spark, sf) if zb is None else zb
     t = tags(spark, sf)
     return ac.candidate_scores(
-        ac.unverified(z, t), ad.pool(spark, sf), ac.positive_counts(t), calibration(spark, sf, z), cat.PRIMITIVES,
+        open_z or ac.unverified(z, t), ad.pool(spark, sf), ac.positive_counts(t), calibrated or calibration(spark, sf, z), cat.PRIMITIVES,
         ["Critical Risk", "High Risk", "Low Risk"],
     )
 
@@ -219,12 +219,70 @@ def _(spark, sf):
     return candidates(spark, sf).select("review_id", *[F.round(c, 5).alias(c) for c in ("v_hunt", "v_local", "v_global")])
 
 
-@query("select_batch")
-def _(spark, sf):
-    """T6."""
+_SCORES = """SELECT review_id, any_value(business_id) AS business_id, ROUND(MAX(CASE WHEN top = 1 AND deficit > 0 THEN greatest(0, z) * exp(-ord_of_label) ELSE 0 END) + SUM(o.n / rest * dv) + SUM(a.n / total * dv), 9) AS score
+    FROM open_z JOIN (SELECT *, CASE label WHEN 'Critical Risk' THEN 0 WHEN 'High Risk' THEN 1 ELSE 999 END AS ord_of_label FROM deficits) USING (business_id, primitive_id)
+    JOIN (SELECT business_id, primitive_id, bin, n FROM open_bins) o USING (business_id, primitive_id, bin)
+    JOIN (SELECT primitive_id, bin, SUM(n) AS n FROM open_bins GROUP BY primitive_id, bin) a USING (primitive_id, bin)
+    JOIN (SELECT business_id, COUNT(*) AS rest FROM (SELECT DISTINCT business_id, review_id FROM open_z) GROUP BY business_id) USING (business_id)
+    JOIN drops USING (primitive_id, bin), (SELECT COUNT(DISTINCT review_id) AS total FROM open_z)
+    GROUP BY review_id"""
+_DROPS = """SELECT primitive_id, bin, greatest(0, alpha * beta / (n * n * (n + 1)) - (alpha / n * (alpha + 1) * beta + (1 - alpha / n) * alpha * (beta + 1)) / ((n + 1) * (n + 1) * (n + 2))) AS dv
+    FROM (SELECT *, alpha + beta AS n FROM calib)"""
+
+
+def _one_per_bin(name, order, by, taken, limit):
+    """Bins in order, each with its first review (by an order) that is not taken, as a recursion."""
+    return f"""
+{name}_bins AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {order}, primitive_id, bin) AS i, primitive_id, bin FROM sizes),
+{name}_lists AS MATERIALIZED (SELECT i, list(review_id ORDER BY {by}, review_id) AS found FROM {name}_bins JOIN open_z USING (primitive_id, bin) JOIN scores USING (review_id) GROUP BY i),
+{name}_steps AS (
+  SELECT 0::BIGINT AS i, {taken} AS taken, []::VARCHAR[] AS own
+  UNION ALL
+  SELECT b.i, s.taken, CASE WHEN len(s.own) >= {limit} THEN s.own
+    ELSE list_concat(s.own, list_filter(b.found, lambda r: NOT list_contains(s.taken, r) AND NOT list_contains(s.own, r))[1:1]) END
+  FROM {name}_steps s JOIN {name}_lists b ON b.i = s.i + 1),
+{name} AS MATERIALIZED (SELECT own FROM {name}_steps ORDER BY i DESC LIMIT 1)"""
+
+
+def _batch_sql(size, explore, coverage, seed, focus=None):
+    closeout = f"SELECT * FROM scores WHERE business_id = '{focus}' ORDER BY score DESC, review_id LIMIT {max(1, size // 4)}" if focus else "SELECT * FROM scores WHERE false"
+    n = int(size * explore)
+    return f"""
+drops AS MATERIALIZED ({_DROPS}),
+scores AS MATERIALIZED ({_SCORES}),
+sizes AS MATERIALIZED (SELECT primitive_id, bin, COUNT(*) AS n, any_value(dv) AS dv FROM open_z JOIN drops USING (primitive_id, bin) GROUP BY primitive_id, bin),
+closeout AS MATERIALIZED (SELECT coalesce(list(review_id ORDER BY score DESC, review_id), []) AS own FROM ({closeout})),
+{_one_per_bin("coverage", "-n * dv", "score DESC", "(SELECT own FROM closeout)", coverage)},
+before AS MATERIALIZED (SELECT list_concat((SELECT own FROM closeout), (SELECT own FROM coverage)) AS own),
+exploit AS MATERIALIZED (SELECT coalesce(list(review_id ORDER BY score DESC, review_id), []) AS own FROM (
+  SELECT *, row_number() OVER (ORDER BY score DESC, review_id) AS place FROM scores WHERE NOT list_contains((SELECT own FROM before), review_id))
+  WHERE place <= {size - n} - (SELECT len(own) FROM before)),
+{_one_per_bin("explore", "n", f"md5('{seed}:' || review_id)", "list_concat((SELECT own FROM before), (SELECT own FROM exploit))", f"{size} - len(s.taken)")}
+SELECT row_number() OVER (ORDER BY stage_no, place) AS pick, review_id, stage FROM (
+  SELECT 0 AS stage_no, 'closeout' AS stage, unnest(own) AS review_id, unnest(range(len(own))) AS place FROM closeout
+  UNION ALL SELECT 1, 'coverage', unnest(own), unnest(range(len(own))) FROM coverage
+  UNION ALL SELECT 2, 'exploit', unnest(own), unnest(range(len(own))) FROM exploit
+  UNION ALL SELECT 3, 'explore', unnest(own), unnest(range(len(own))) FROM explore) QUALIFY pick <= {size}"""
+
+
+def batch(spark, sf, size, explore, coverage, seed, focus=None):
     zb = binned(spark, sf)
     open_z = ac.unverified(zb, tags(spark, sf))
-    return ac.select_batch(candidates(spark, sf, zb), open_z, calibration(spark, sf, zb), 20, 0.2, 5, seed=1)
+    c = calibration(spark, sf, zb)
+    scored = candidates(spark, sf, zb, open_z, c).withColumn("score", F.round("score", 9))
+    return ac.select_batch(scored, open_z, c, size, explore, coverage, seed, focus).select(*longs("pick"), "review_id", "stage")
+
+
+@query("select_batch", ["open_z", "open_bins", "calib", "deficits"], _batch_sql(20, 0.2, 5, 1), recursive=True)
+def _(spark, sf):
+    """Coverage, exploit and explore stages."""
+    return batch(spark, sf, 20, 0.2, 5, 1)
+
+
+@query("select_batch_focus", ["open_z", "open_bins", "calib", "deficits"], _batch_sql(40, 0.3, 4, 7, "src3"), recursive=True)
+def _(spark, sf):
+    """All four stages, with a stalled business to close out."""
+    return batch(spark, sf, 40, 0.3, 4, 7, "src3")
 
 
 @query("discovery_examples", ["tags", "z", "reviews"], """

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbitra.operators import datasets, judgments
+from arbitra.operators.sparse_scores import SparseScores, contrast
 from arbitra.plans import catalog as cat
 from arbitra.session import dimension, materialize, spread
 
@@ -214,9 +215,7 @@ def pool(spark: SparkSession, sf: str) -> DataFrame:
     return reviews(spark, sf).select("review_id", "business_id")
 
 
-def z_scores(spark: SparkSession, sf: str) -> DataFrame:
-    from arbitra.operators.active import contrast
-
+def sparse_z(spark: SparkSession, sf: str) -> SparseScores:
     return contrast(gates(spark), gate_scores(spark, sf), pool(spark, sf), cat.PRIMITIVE_IDS, cat.GAMMA)
 
 

@@ -260,7 +260,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
 }
 
 
-def sql(needs: Sequence[str], body: str) -> str:
+def sql(needs: Sequence[str], body: str, recursive: bool = False) -> str:
     """The body after a WITH clause of everything it needs, in dependency order."""
     ordered: list[str] = []
 
@@ -272,6 +272,8 @@ def sql(needs: Sequence[str], body: str) -> str:
 
     for n in needs:
         add(n)
+    if recursive:
+        return "WITH RECURSIVE " + ",\n".join([f"{n} AS MATERIALIZED ({FRAGMENTS[n][1]})" for n in ordered] + [body])
     if not ordered:
         return body
     return "WITH " + ",\n".join(f"{n} AS ({FRAGMENTS[n][1]})" for n in ordered) + "\n" + body

@@ -15,8 +15,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, needs: Sequence[str] = (), body: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``body`` is its SQL over the named oracle fragments."""
+def query(name: str, needs: Sequence[str] = (), body: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
+    """Register a query; ``body`` is its SQL over the named oracle fragments.
+
+    A recursive body begins with common table expressions of its own, which may refer to themselves.
+    """
 
     def add(fn: Query) -> Query:
         def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def query(name: str, needs: Sequence[str] = (), body: str | None = None) -> Call
         prepared.__name__ = name
         QUERIES[name] = prepared
         if body is not None:
-            ORACLE[name] = sql(needs, body)
+            ORACLE[name] = sql(needs, body, recursive)
         return fn
 
     return add
