@@ -11,6 +11,7 @@ from arbitra.functions import scoring as sc
 from arbitra.functions.ranking import newest, top_per_key
 from arbitra.functions.text import normalize, tokens
 from arbitra.functions.values import gate_hash, text_hash
+from arbitra.session import dimension, materialize
 
 
 def query_terms(queries: Mapping[str, str]) -> dict[str, list[str]]:
@@ -37,36 +38,34 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: Mapping[str, str], id_col: str = "review_id") -> DataFrame:
     """(query_id, id, score) of the rows that hold all terms of a query.
 
-    Term counts are taken inside each row, so only postings of query terms are joined with the
-    terms and their document frequencies.  A repeated query term counts again; a row that lacks a
-    term of a several-term query scores 0 and is left out.  Rows with the same id are scored one by one.
+    Texts are read and cut into tokens once: a row's length and its counts of query terms are
+    written, and corpus statistics, document frequencies and scores come from that narrow table.  A
+    repeated query term counts again; a row that lacks a term of a several-term query scores 0 and
+    is left out.  Rows with the same id are scored one by one.
     """
     spark = docs.sparkSession
     terms_of = {q: t for q, t in query_terms(queries).items() if t}
     vocabulary = sorted({t for ts in terms_of.values() for t in ts})
     if not vocabulary:
         return docs.select(F.lit("").alias("query_id"), id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    wanted = spark.createDataFrame(
-        [(q, t, ts.count(t), len(set(ts))) for q, ts in terms_of.items() for t in sorted(set(ts))],
+    wanted = dimension(
+        spark, [(q, t, ts.count(t), len(set(ts))) for q, ts in terms_of.items() for t in sorted(set(ts))],
         "query_id string, token string, times int, needed int",
     )
-    words = tokens(F.col("text"))
-    kept = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-        F.size(words).alias("dl"), F.filter(words, lambda w: w.isin(vocabulary)).alias("hits"),
-    )
+    cut = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), tokens(F.col("text")).alias("words"))
+    kept = cut.select("row", "id", F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(vocabulary)).alias("hits"))
     counted = F.transform(
         F.array_distinct("hits"),
         lambda t: F.struct(t.alias("token"), F.size(F.filter("hits", lambda w: w == t)).alias("tf")),
     )
-    postings = kept.select("row", "id", "dl", F.explode(counted).alias("p")).select("row", "id", "dl", "p.token", "p.tf")
+    rows = materialize(kept.select("row", "id", "dl", counted.alias("counted")))
+    postings = rows.select("row", "id", "dl", F.explode("counted").alias("p")).select("row", "id", "dl", "p.token", "p.tf")
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = docs.select(F.size(words).alias("dl")).agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len")).alias("s")
-    )
+    stats = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len")).alias("s"))
     gain = F.col("times") * sc.idf(F.col("s.n"), F.col("df")) * sc.bm25_weight(F.col("tf"), F.col("dl"), F.col("s.avg_len"))
     return (
-        postings.join(wanted.join(df, "token"), "token")
+        # No more rows than the queries have terms.
+        postings.join(F.broadcast(wanted.join(df, "token")), "token")
         .withColumn("s", stats.scalar())
         .groupBy("query_id", "row")
         .agg(

@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.functions.ranking import global_row_number, top_per_key
 from arbitra.session import materialize
 
-# Up to this many candidate rows the picks are made on the driver; beyond it every pick is one
-# distributed aggregate over the materialised candidates, with the same result.
-DRIVER_CANDIDATES = 20_000
-
-
 def cells_per_business(hits: DataFrame) -> DataFrame:
     """Sorted cell list, counts and total value per business.
 
@@ -74,87 +69,92 @@ def with_rank(selected: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
-def greedy_cover(cells: DataFrame, all_cells: Sequence[tuple[str, str]], target: int = 100) -> DataFrame:
+def greedy_cover(cells: DataFrame, all_cells: Sequence[tuple[str, str]], target: int = 100, window: int = 2_000) -> DataFrame:
     """T5: layered greedy cover; returns (pick, business_id, level) in pick order.
 
     Level n wants every cell to be held by n picks.  Each pick takes the business that helps
     the most cells still short of the level, then the larger value, then the smaller id; a
     level that nobody can help is left behind.
 
-    Of businesses with the same cells only the next unpicked one by (value, id) can win, so
-    ``target`` rows per cell set are an exact reduction, made in Spark.  At most ``target``
-    picks follow.
+    Lazy greedy: within a level the gain of a business only falls, so its gain at some point bounds
+    all later ones.  A query takes the first ``window`` businesses by gain, value and id; picks are
+    made among those, in Spark, while they stay ahead of what the last of them had at that point.
+    Then the next query starts from the gains as they are by then.  Of businesses with the same
+    cells only the next unpicked one by (value, id) can win, so ``target`` rows per cell set are an
+    exact reduction.  Picks are written after each query; the driver sees how many cells each of
+    the dictionary's cells is short of, no candidates.
     """
     spark = cells.sparkSession
-    universe = {f"{t}|{s}" for t, s in all_cells}
-    signature = F.array_join(
-        F.transform("cells", lambda c: F.concat_ws("|", c["topic"], c["severity"])), ","
+    names = [f"{t}|{s}" for t, s in dict.fromkeys(all_cells)]
+    place = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.lit(None).cast("map<string,int>")
+    own = F.array_sort(F.array_compact(F.transform("cells", lambda c: place[F.concat_ws("|", c["topic"], c["severity"])])))
+    order = [F.desc("total_value"), F.col("business_id")]
+    useful = cells.select("business_id", "total_value", F.array_distinct(own).alias("own")).where(F.size("own") > 0)
+    keyed = useful.withColumn("_sig", F.array_join(F.col("own").cast("array<string>"), ","))
+    heads = materialize(top_per_key(keyed, ["_sig"], order, target).select("business_id", "total_value", "own"))
+
+    schema = "pick int, business_id string, level int"
+    picks, done, held, level = spark.createDataFrame([], schema), 0, [0] * len(names), 1
+    while names and done < target and level <= target:
+        rest = heads.join(picks.select("business_id"), "business_id", "left_anti")
+        short = F.array(*[F.lit(n < level) for n in held])
+        gain = F.size(F.filter("own", lambda c: F.get(short, c)))
+        first = rest.withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), *order).limit(window)
+        found = materialize(_cover_steps(first, held, level, target - done, window))
+        state = found.select("held", "all_seen", F.size("taken").alias("n")).first()
+        if state is not None and state["n"]:
+            new = found.select(F.posexplode("taken").alias("i", "business_id"), F.lit(level).alias("level"))
+            picks = materialize(picks.unionByName(new.select((F.col("i") + done + 1).cast("int").alias("pick"), "business_id", "level")))
+            done, held = done + state["n"], list(state["held"])
+            if state["all_seen"]:
+                level += 1
+            continue
+        # Nobody helps at this level: the next one at which an unpicked business does.
+        lowest = F.array_min(F.transform("own", lambda c: F.get(F.array(*[F.lit(n) for n in held]), c)))
+        ahead = rest.agg(F.min(lowest).alias("n")).first()["n"]
+        if ahead is None:
+            break
+        level = max(level + 1, ahead + 1)
+    return picks
+
+
+def _cover_steps(first: DataFrame, held: list[int], level: int, wanted: int, window: int):
+    """One row: taken (ids in order), held after them, and whether the level has no more to give.
+
+    Candidates stand in the order of gain, value and id, so of equal gains the first by value and id
+    is found by its place in that second order.
+    """
+    ranked = first.agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("g"), (-F.col("total_value")).alias("v"), F.col("business_id").alias("id"), "own"))).alias("c")
     )
-    heads = materialize(
-        top_per_key(
-            cells.select(signature.alias("sig"), "business_id", "total_value"),
-            ["sig"],
-            [F.desc("total_value"), F.col("business_id")],
-            target,
-        ).drop("rn")
+    # The order among equal gains: by value, then id.
+    by_value = F.transform(F.array_sort(F.transform("c", lambda x: F.struct(x["v"].alias("v"), x["id"].alias("id"), x["own"].alias("own")))), lambda x: F.struct(x["id"].alias("id"), x["own"].alias("own"), x["v"].alias("v")))
+    rows = ranked.where(F.size("c") > 0).select(
+        by_value.alias("c"), F.when(F.size("c") >= window, F.element_at("c", -1)).alias("bound"),
+    )
+    start = F.struct(
+        F.array().cast("array<string>").alias("taken"), F.array(*[F.lit(n) for n in held]).cast("array<int>").alias("held"),
+        F.lit(True).alias("going"), F.lit(False).alias("all_seen"),
     )
-    small = heads.count() <= DRIVER_CANDIDATES
-    chooser = _driver_chooser(heads) if small else _spark_chooser(heads)
-
-    held = dict.fromkeys(universe, 0)
-    picks: list[tuple[int, str, int]] = []
-    taken: list[str] = []
-    for level in range(1, target + 1):
-        while len(picks) < target:
-            needy = {c for c, n in held.items() if n < level}
-            best = chooser(needy, taken) if needy else None
-            if best is None:
-                break
-            business, own = best
-            taken.append(business)
-            picks.append((len(picks) + 1, business, level))
-            for c in own:
-                if c in held:
-                    held[c] += 1
-        if len(picks) >= target:
-            break
-    return spark.createDataFrame(picks, "pick int, business_id string, level int")
-
-
-def _driver_chooser(heads: DataFrame):
-    queues: dict[str, list[tuple[float, str]]] = {}
-    for row in heads.collect():
-        queues.setdefault(row["sig"], []).append((-row["total_value"], row["business_id"]))
-    for q in queues.values():
-        q.sort(reverse=True)
-
-    def choose(needy: set[str], taken: list[str]):
-        scored = [
-            (-len(needy.intersection(sig.split(","))), *q[-1], sig) for sig, q in queues.items() if q
-        ]
-        best = min(scored, default=None)
-        if best is None or best[0] == 0:
-            return None
-        queues[best[3]].pop()
-        return best[2], best[3].split(",")
-
-    return choose
-
-
-def _spark_chooser(heads: DataFrame):
-    def choose(needy: set[str], taken: list[str]):
-        wanted = F.array(*[F.lit(c) for c in sorted(needy)])
-        helped = F.size(F.array_intersect(F.split("sig", ","), wanted))
-        rows = heads.where(~F.col("business_id").isin(taken)) if taken else heads
-        best = (
-            rows.select("sig", "business_id", "total_value", helped.alias("helped"))
-            .where(F.col("helped") > 0)
-            .orderBy(F.desc("helped"), F.desc("total_value"), "business_id")
-            .first()
-        )
-        return None if best is None else (best["business_id"], best["sig"].split(","))
 
-    return choose
+    def step(state: Column, _: Column) -> Column:
+        helped = lambda x: F.size(F.filter(x["own"], lambda c: F.get(state["held"], c) < level))
+        # The least of (falling gain, place by value and id); taken ones help no more.
+        best = F.array_min(F.transform("c", lambda x, i: F.struct(
+            F.when(F.array_contains(state["taken"], x["id"]), 0).otherwise(-helped(x)).alias("g"), i.alias("i"))))
+        chosen = F.get("c", best["i"])
+        ahead = F.col("bound").isNull() | (
+            F.struct(best["g"], chosen["v"], chosen["id"]) <= F.struct(F.col("bound.g"), F.col("bound.v"), F.col("bound.id"))
+        )
+        some = best["g"] < 0
+        grown = F.transform(state["held"], lambda n, i: n + F.array_contains(chosen["own"], i.cast("int")).cast("int"))
+        took = F.struct(F.concat(state["taken"], F.array(chosen["id"])).alias("taken"), grown.alias("held"), F.lit(True).alias("going"), F.lit(False).alias("all_seen"))
+        stopped = F.struct(state["taken"].alias("taken"), state["held"].alias("held"), F.lit(False).alias("going"), (~some & F.col("bound").isNull()).alias("all_seen"))
+        return F.when(~state["going"], state).when(some & ahead, took).otherwise(stopped)
+
+    most = min(wanted, len(held)) + 1
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda s, i: F.when(F.size(s["taken"]) >= wanted, s).otherwise(step(s, i)))
+    return rows.select(folded.alias("s")).select("s.taken", "s.held", "s.all_seen")
 
 
 def sample_slice(

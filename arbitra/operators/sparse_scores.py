@@ -168,4 +168,4 @@ def contrast(gates: DataFrame, gate_scores: DataFrame, pool: DataFrame, primitiv
     rest = every.select("primitive_id", *[F.col(f"_{kind}").alias(kind) for kind in KINDS], "_held").select(
         "primitive_id", z, (n - F.coalesce("_held", F.lit(0))).alias("n")
     )
-    return SparseScores(scored, materialize(rest), materialize(pool.select("review_id", "business_id")))
+    return SparseScores(scored, materialize(rest), pool.select("review_id", "business_id"))

@@ -153,7 +153,7 @@ def brute_cover(businesses, universe, target):
     return picks
 
 
-def test_greedy_cover_matches_brute_force(spark, monkeypatch):
+def test_greedy_cover_matches_brute_force(spark):
     rng = random.Random(11)
     universe = [(t, s) for t in "abcd" for s in ("critical", "high")]
     businesses = {f"b{i:03d}": (set(rng.sample(universe, rng.randint(1, 3))), float(rng.randint(1, 6))) for i in range(80)}
@@ -161,8 +161,10 @@ def test_greedy_cover_matches_brute_force(spark, monkeypatch):
     want = brute_cover(businesses, universe, 25)
     got = [r["business_id"] for r in selection.greedy_cover(df, universe, 25).orderBy("pick").collect()]
     assert got == want
-    monkeypatch.setattr(selection, "DRIVER_CANDIDATES", 0)
-    assert [r["business_id"] for r in selection.greedy_cover(df, universe, 5).orderBy("pick").collect()] == want[:5]
+    # With few candidates at a time old gains decide when new ones are needed.
+    for window in (1, 4):
+        assert [r["business_id"] for r in selection.greedy_cover(df, universe, 12, window).orderBy("pick").collect()] == want[:12]
+    assert selection.greedy_cover(df, [("z", "high")], 5).collect() == [] and selection.greedy_cover(df, [], 5).collect() == []
 
 
 def test_bm25_of_rows(spark):
