@@ -262,7 +262,21 @@ def _(spark, sf):
     return ranked.select("business_id", joined.alias("cells"), *longs("cell_count", "topic_count"), r6("total_value"), *longs("global_rank"))
 
 
-@query("greedy_cover")
+@query("greedy_cover", ["cells"], """
+biz AS MATERIALIZED (
+  SELECT business_id, string_split(cells, ',') AS own, row_number() OVER (ORDER BY total_value DESC, business_id) AS r,
+         row_number() OVER (ORDER BY cell_count DESC, total_value DESC, business_id) AS global_rank FROM cells),
+steps AS (
+  SELECT 0 AS n, 1 AS level, []::VARCHAR[] AS held, []::VARCHAR[] AS taken, NULL::VARCHAR AS business_id
+  UNION ALL
+  SELECT n + 1, CASE WHEN best IS NULL THEN level + 1 ELSE level END, CASE WHEN best IS NULL THEN held ELSE list_concat(held, best.own) END,
+         CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.id) END, best.id
+  FROM (SELECT n, level, held, taken, arg_max({'id': id, 'own': own}, helped * 1000000 - r) FILTER (helped > 0 AND NOT list_contains(taken, id)) AS best
+        FROM (SELECT s.n, s.level, s.held, s.taken, b.business_id AS id, b.own, b.r,
+                     len(list_filter(b.own, lambda c: len(list_filter(s.held, lambda h: h = c)) < s.level)) AS helped
+              FROM steps s, biz b WHERE len(s.taken) < 10 AND s.level <= 10)
+        GROUP BY n, level, held, taken))
+SELECT len(taken) AS pick, business_id, level, global_rank FROM steps JOIN biz USING (business_id)""", recursive=True)
 def _(spark, sf):
     """T5, T7, J17."""
     c = cells(spark, sf)
