@@ -231,9 +231,13 @@ def _(spark, sf):
         F.expr("concat_ws('::', 'policy', topic, business_id, review_id, model, concat('run', run)) AS custom_id"),
         F.struct(F.struct(F.array(F.struct(F.struct(answer.alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response"),
     )
-    # Two deliveries: the large model and first runs, then the rest with the first runs again.
-    for part in ("run = 1", "run >= 1"):
-        late.where(part).select(F.to_json(line).alias("value")).write.mode("append").text(folder)
+    # Two deliveries: the large model and first runs, then the rest with the first runs again; the
+    # second has each line twice.
+    for part, times in (("run = 1", 1), ("run >= 1", 2)):
+        lines = late.where(part).select(F.to_json(line).alias("value"))
+        for _ in range(1, times):
+            lines = lines.unionAll(lines)
+        lines.write.mode("append").text(folder)
     raw, voted = stores.raw_judgments(scratch(spark, "raw")), stores.aggregated_judgments(scratch(spark, "voted"))
     job = jobs.vote_stream(
         jobs.response_stream(spark, folder), ad.reviews(spark, sf), cat.TOPIC, cat.FIELDS, cat.QUOTA, cat.WEIGHTS, raw, voted, scratch(spark, "ck")

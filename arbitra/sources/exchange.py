@@ -66,10 +66,11 @@ def write_requests(chunked: DataFrame, path: str) -> None:
     chunked.select("model", "chunk", "value").write.partitionBy("model", "chunk").text(path)
 
 
-def parse_envelopes(lines: DataFrame) -> DataFrame:
-    """Response lines (column ``value``) with id parts, error and content."""
-    e = lines.select(F.from_json("value", ENVELOPE).alias("e"))
+def parse_envelopes(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Response lines (column ``value``) with id parts, error and content; ``keep`` columns stay."""
+    e = lines.select(F.from_json("value", ENVELOPE).alias("e"), *keep)
     return e.select(
+        *keep,
         "e.custom_id",
         parse_request_id(F.col("e.custom_id")).alias("id"),
         F.col("e.error").alias("error"),
@@ -85,8 +86,10 @@ def response_errors(envelopes: DataFrame, topic: str) -> DataFrame:
     )
 
 
-def ingest(envelopes: DataFrame, reviews: DataFrame, topic: str, schema: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Raw judgements of a topic.
+def ingest(
+    envelopes: DataFrame, reviews: DataFrame, topic: str, schema: Mapping[str, Sequence[str]], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Raw judgements of a topic; ``keep`` columns of the envelopes stay.
 
     Lines of another topic, with an error, without content, of an unknown review or without a
     readable answer drop out.  Illegal values of relevant answers become the first legal one.
@@ -96,7 +99,7 @@ def ingest(envelopes: DataFrame, reviews: DataFrame, topic: str, schema: Mapping
     )
     # As a generator the answer is parsed once per line; a filter on it would parse it again.
     readable = F.explode(F.array_compact(F.array(string_map(unfenced(F.col("content"))))))
-    answers = usable.select("id.*", readable.alias("a"))
+    answers = usable.select("id.*", readable.alias("a"), *keep)
     known = reviews.select("business_id", "review_id", "date", "stars", "useful")
     relevant = F.coalesce(
         F.try_element_at("a", F.lit("is_relevant")).try_cast("boolean"),
@@ -107,7 +110,7 @@ def ingest(envelopes: DataFrame, reviews: DataFrame, topic: str, schema: Mapping
     fields = F.map_filter("a", lambda k, _: ~k.isin(meta))
     return answers.join(known, ["business_id", "review_id"]).select(
         "topic", "business_id", "review_id", "model", "run", relevant.alias("is_relevant"),
-        repair_judgment(fields, relevant, schema).alias("fields"), "date", "stars", "useful",
+        repair_judgment(fields, relevant, schema).alias("fields"), "date", "stars", "useful", *keep,
     )
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from arbitra.operators.judgments import RAW_KEY, aggregate, quota_complete
+from arbitra.operators.judgments import RAW_KEY, aggregate
+from arbitra.session import materialize
 from arbitra.sources.exchange import ingest, parse_envelopes
 from arbitra.sources.stores import KeyedStore
 
@@ -23,41 +26,103 @@ def response_stream(spark: SparkSession, folder: str, max_files: int = 100) -> D
 
 
 def deduplicated_envelopes(lines: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """ST1: each custom id once inside the watermark; the store upsert catches later repeats."""
-    ids = F.get_json_object("value", "$.custom_id")
+    """ST1: repeats of a line go, inside the watermark.
+
+    A custom id may come with two different answers; both pass, and the ballots decide.
+    """
     return (
-        lines.withColumn("custom_id", ids)
+        lines.withColumn("line_hash", F.sha2("value", 256))
         .withWatermark("arrived_at", lateness)
-        .dropDuplicatesWithinWatermark(["custom_id"])
+        .dropDuplicatesWithinWatermark(["line_hash"])
+    )
+
+
+BALLOTS = "topic string, review_id string, model string, run int, payload string, fresh boolean, complete boolean"
+BALLOT_STATE = "models array<string>, runs array<int>, arrived array<double>, payloads array<string>"
+
+
+def ballots_of(quota: Mapping[str, int], keep_ms: int):
+    """ST2: the state of one (topic, review): its answers, one per model and run.
+
+    Of two answers with one id the later arrival wins, and of equal arrivals the one that sorts
+    last, in whatever batches they come.  New answers leave as fresh; once the quota is complete,
+    every change sends out all ballots to be counted again.  A review is forgotten once the
+    watermark is ``keep_ms`` past its last answer; later answers to it are stored but only a batch
+    vote counts them.
+    """
+    wanted = [(m, r) for m, n in quota.items() for r in range(1, n + 1)]
+    columns = ["topic", "review_id", "model", "run", "payload", "fresh", "complete"]
+
+    def step(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = {}
+        if state.exists:
+            models, runs, arrived, payloads = state.get
+            held = {(m, int(r)): (float(t), p) for m, r, t, p in zip(models, runs, arrived, payloads)}
+        changed = {}
+        for frame in frames:
+            for model, run, arrived, payload in zip(frame.model, frame.run, frame.arrived, frame.payload):
+                of, new, old = (model, int(run)), (arrived.timestamp(), payload), held.get((model, int(run)))
+                if old is None or new > old:
+                    held[of] = new
+                    if old is None or old[1] != payload:
+                        changed[of] = payload
+        order = sorted(held)
+        state.update(([m for m, _ in order], [r for _, r in order], [held[o][0] for o in order], [held[o][1] for o in order]))
+        last = int(1000 * max(t for t, _ in held.values()))
+        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+        if not changed:
+            return
+        complete = all(of in held for of in wanted)
+        out = [(*key, *of, held[of][1], of in changed, complete) for of in order if complete or of in changed]
+        yield pd.DataFrame(out, columns=columns)
+
+    return step
+
+
+def ballot_stream(judged: DataFrame, quota: Mapping[str, int], keep_ms: int = 30 * 24 * 3_600_000) -> DataFrame:
+    """ST2: fresh and countable ballots of a stream of (topic, review_id, model, run, arrived, payload)
+    with a watermark on ``arrived``."""
+    return judged.groupBy("topic", "review_id").applyInPandasWithState(
+        ballots_of(quota, keep_ms), BALLOTS, BALLOT_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
+PAYLOAD = "business_id string, is_relevant boolean, fields map<string,string>, date string, stars double, useful long"
+
+
 def vote_stream(
     lines: DataFrame, reviews: DataFrame, topic: str, schema: Mapping[str, Sequence[str]],
     quota: Mapping[str, int], weights: Mapping[str, int], raw: KeyedStore, voted: KeyedStore,
-    checkpoint: str,
+    checkpoint: str, lateness: str = "1 day",
 ) -> DataStreamWriter:
-    """ST2: per micro-batch, store raw judgements and vote on reviews that are now complete.
+    """ST1, ST2: store raw judgements as they arrive and vote on reviews that are complete.
 
-    Both stores keep the newest version per key, and a batch is written under its own version,
-    so a replayed batch changes nothing.
+    Ballots live in keyed state, so no micro-batch reads a store.  Both stores keep the newest
+    version per key, and a batch is written under its own version, so a replayed batch changes
+    nothing.  Of equal weights the first ballot by model and run decides.
     """
+    distinct = deduplicated_envelopes(lines, lateness)
+    new = ingest(parse_envelopes(distinct, ["arrived_at"]), reviews, topic, schema, ["arrived_at"])
+    payload = F.to_json(F.struct(
+        "business_id", "is_relevant", "fields", F.col("date").cast("string").alias("date"),
+        F.col("stars").cast("double").alias("stars"), F.col("useful").cast("long").alias("useful"),
+    ))
+    judged = new.select("topic", "review_id", "model", F.col("run").cast("int").alias("run"), F.col("arrived_at").alias("arrived"), payload.alias("payload"))
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = ingest(parse_envelopes(batch.select("value")), reviews, topic, schema)
+        batch = materialize(batch)
         version = F.lit(batch_id).cast("long")
-        # Votes count in order of arrival; inside a batch by model and run.
-        order = F.struct(version.alias("batch"), F.col("model"), F.col("run"))
-        raw.append(new.withColumn("extracted_at", version).withColumn("ord", order))
-        # Votes look only at reviews touched by this batch.
-        stored = raw.read(spark).where(F.col("topic") == topic)
-        touched = stored.where(F.col("extracted_at") == batch_id).select("topic", "review_id").distinct()
-        mine = stored.join(touched, ["topic", "review_id"], "left_semi")
-        ready = mine.join(quota_complete(mine, quota), ["topic", "review_id"], "left_semi")
-        votes = aggregate(ready, schema, weights)
-        voted.append(votes.withColumn("aggregated_at", F.lit(batch_id).cast("long")))
+        rows = batch.withColumn("p", F.from_json("payload", PAYLOAD)).select("topic", "review_id", "model", "run", "p.*", "fresh", "complete")
+        ordered = rows.withColumn("ord", F.struct("model", "run"))
+        raw.append(ordered.where("fresh").drop("fresh", "complete").withColumn("extracted_at", version))
+        votes = aggregate(ordered.where("complete"), schema, weights)
+        voted.append(votes.withColumn("aggregated_at", version))
 
-    return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    stream = ballot_stream(judged, quota).writeStream.outputMode("update")
+    return stream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
 def usage_windows(usage: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -86,4 +151,4 @@ def _totals(grouped) -> DataFrame:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in out.columns if c != "w"])
 
 
-__all__ = ["RAW_KEY", "deduplicated_envelopes", "response_stream", "usage_sessions", "usage_windows", "vote_stream"]
+__all__ = ["RAW_KEY", "ballot_stream", "ballots_of", "deduplicated_envelopes", "response_stream", "usage_sessions", "usage_windows", "vote_stream"]
