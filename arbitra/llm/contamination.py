@@ -242,16 +242,22 @@ def contamination(
     window in the document, ``spans`` the hit words of each pass, ``longest`` the length of the
     longest match of at least a window.  A null or wordless text has no words and is not
     contaminated; items without words match nothing.  Repeated rows are searched one by one; other
-    columns are ignored; either table may be empty.  ``docs`` must be a table that is read in the
-    same order each time, as files are.
+    columns are ignored; either table may be empty.  If the benchmark takes several passes, the
+    numbered rows are written first and every pass reads that table, so rows keep their numbers
+    however the passes split it.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
-    passes = [
-        written(_search(rows, block, window)) for block in item_blocks(benchmark, item_id_col, item_text_col, BLOCK_BYTES)
-    ] or [written(_search(rows, [], window))]
+    blocks = item_blocks(benchmark, item_id_col, item_text_col, BLOCK_BYTES)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is not None:
+        rows = written(rows)
+    passes = [written(_search(rows, block, window))]
+    while after is not None:
+        passes.append(written(_search(rows, after, window)))
+        after = next(blocks, None)
     found = passes[0]
     for other in passes[1:]:
         found = found.unionAll(other)

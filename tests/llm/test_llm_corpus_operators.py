@@ -215,6 +215,34 @@ def test_contamination(spark, block_bytes, monkeypatch):
     assert contamination.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_when_files_are_split_otherwise_in_each_pass(spark, tmp_path, monkeypatch):
+    """What a lost or added executor does to the splits of a scan."""
+    rng = random.Random(8)
+    ws = [f"w{i}" for i in range(5)]
+    items = [(k, " ".join(rng.choice(ws) for _ in range(14))) for k in range(6)]
+    texts = ["" if i % 7 == 0 else " ".join(rng.choice(ws) for _ in range(rng.randint(0, 60))) + (" " + items[i % 6][1] if i % 3 else "") for i in range(60)]
+    path = f"{tmp_path}/docs"
+    documents(spark, list(enumerate(texts))).repartition(5).write.parquet(path)
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", 60)
+    search, sizes = contamination._search, iter([1 << 27, 4096, 1 << 14, 1 << 27, 2048, 1 << 20])
+
+    def other_splits(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        return search(*args)
+
+    monkeypatch.setattr(contamination, "_search", other_splits)
+    try:
+        out = contamination.contamination(spark.read.parquet(path), spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(out) == len(texts)
+    for r in out:
+        n, hit, found, longest = brute_hits(texts[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], r["items"]) == (n, hit, sorted(map(str, set(found))))
+
+
 def test_suffix_order_is_sorted():
     words = np.random.default_rng(1).integers(0, 4, 500)
     order = contamination.suffix_order(words, 40)
