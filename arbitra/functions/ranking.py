@@ -187,3 +187,20 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str) -> DataF
         .withColumn(out, pos + F.col("_offset") + 1)
         .drop("_id", "_part", "_offset")
     )
+
+
+def number_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """1-based position of each row inside its key, for keys of any size.
+
+    Rows are numbered over the whole table in the order of keys and then of ``order``; a row's
+    position in its key is its number less that of the key's first row.  The first numbers fold
+    map-side, and a join with a hot key is one that Spark splits; no window holds a key.  A null
+    key is a key like any other.
+    """
+    numbered = global_row_number(df, [*[F.asc_nulls_first(k) for k in keys], *order], "_g")
+    first = numbered.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.min("_g").alias("_first"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = numbered.join(first, same)
+    return joined.withColumn(out, F.col("_g") - F.col("_first") + 1).drop("_g", "_first", *[f"_of_{k}" for k in keys])

@@ -224,8 +224,9 @@ def triggered_rule(results: DataFrame, program: Mapping) -> Column:
 
 
 def evidence(extractions: DataFrame, program: Mapping) -> DataFrame:
-    """one row per enum field with a non-none value; ids E1.. inside each business."""
-    from pyspark.sql import Window
+    """one row per enum field with a non-none value; ids E1.. inside each business, in the order
+    of reviews and fields.  A business may hold any share of the rows."""
+    from arbitra.functions.ranking import number_per_key
 
     none_values = program.get("extract", {}).get("none_values", ["none", "n/a"])
     skip = {"account_type", "description"}
@@ -237,18 +238,16 @@ def evidence(extractions: DataFrame, program: Mapping) -> DataFrame:
         ]
     )
     rows = extractions.withColumn("e", F.explode(F.filter(entries, lambda e: ~is_none_value(e["value"], none_values))))
-    order = Window.partitionBy("business_id").orderBy("review_id", "e.i")
-    return rows.select(
-        "business_id", "review_id", "e.field", F.lower("e.value").alias("judgement"),
-        F.concat(F.lit("E"), F.row_number().over(order).cast("string")).alias("evidence_id"),
-    )
+    flat = rows.select("business_id", "review_id", "e.field", F.lower("e.value").alias("judgement"), F.col("e.i").alias("_i"))
+    numbered = number_per_key(flat, ["business_id"], [F.col("review_id"), F.col("_i")], "_n")
+    return numbered.withColumn("evidence_id", F.concat(F.lit("E"), F.col("_n").cast("string"))).drop("_i", "_n")
 
 
 def direct_evidence(evidence_rows: DataFrame, n: int = 5) -> DataFrame:
     """Ids of the first n evidence rows of each business."""
     from arbitra.functions.ranking import top_per_key
 
-    order = [F.substring("evidence_id", 2, 20).cast("int")]
+    order = [F.substring("evidence_id", 2, 20).cast("long")]
     few = top_per_key(evidence_rows, ["business_id"], order, n)
     return few.groupBy("business_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rn", "evidence_id"))), lambda e: e["evidence_id"]).alias(

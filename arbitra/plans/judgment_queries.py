@@ -306,25 +306,26 @@ def _(spark, sf):
 
 
 _EVIDENCE = """SELECT business_id, review_id, field, judgement, ROW_NUMBER() OVER (PARTITION BY business_id ORDER BY review_id, i) AS n FROM (
-        SELECT business_id, review_id, 0 AS i, 'incident_severity' AS field, incident_severity AS judgement FROM judged WHERE k = 50 AND incident_severity <> 'none'
-        UNION ALL SELECT business_id, review_id, 2, 'staff_response', staff_response FROM judged WHERE k = 50 AND incident_severity <> 'none' AND staff_response <> 'none')"""
+        SELECT business_id, review_id, 0 AS i, 'incident_severity' AS field, incident_severity AS judgement FROM judg JOIN reviews USING (review_id) WHERE incident_severity <> 'none'
+        UNION ALL SELECT business_id, review_id, 2, 'staff_response', staff_response FROM judg JOIN reviews USING (review_id) WHERE incident_severity <> 'none' AND staff_response <> 'none')"""
 
 
-def _recent_incidents(spark, sf):
-    """Evidence is numbered inside a business, so it is taken from its K most recent reviews."""
-    return ad.judged(spark, sf).where("k = 50 AND fields['incident_severity'] <> 'none'")
+def _incidents(spark, sf):
+    """All reviews with an incident by their votes."""
+    where = ad.reviews(spark, sf).select("review_id", "business_id")
+    return ad.voted(spark, sf).where("fields['incident_severity'] <> 'none'").join(where, "review_id")
 
 
-@query("field_evidence", ["judged"], f"SELECT business_id, review_id, field, judgement, 'E' || n AS evidence_id FROM ({_EVIDENCE})")
+@query("field_evidence", ["judg", "reviews"], f"SELECT business_id, review_id, field, judgement, 'E' || n AS evidence_id FROM ({_EVIDENCE})")
 def _(spark, sf):
     """F20."""
-    return formula.evidence(_recent_incidents(spark, sf), cat.PROGRAM)
+    return formula.evidence(_incidents(spark, sf), cat.PROGRAM)
 
 
-@query("direct_evidence", ["judged"], f"SELECT business_id, string_agg('E' || n, ',' ORDER BY n) AS ids FROM ({_EVIDENCE}) WHERE n <= 5 GROUP BY business_id")
+@query("direct_evidence", ["judg", "reviews"], f"SELECT business_id, string_agg('E' || n, ',' ORDER BY n) AS ids FROM ({_EVIDENCE}) WHERE n <= 5 GROUP BY business_id")
 def _(spark, sf):
     """P7."""
-    rows = formula.evidence(_recent_incidents(spark, sf), cat.PROGRAM)
+    rows = formula.evidence(_incidents(spark, sf), cat.PROGRAM)
     return formula.direct_evidence(rows).select("business_id", F.array_join("direct_evidence", ",").alias("ids"))
 
 

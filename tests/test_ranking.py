@@ -84,3 +84,19 @@ def test_null_values_and_keys_stay(spark):
     assert ranks == {("a", 1.0): 0.0, ("a", 3.0): 1.0, ("a", None): None, (None, 2.0): None}
     bins = {(r["k"], r["v"]): r["b"] for r in ranking.quantile_bins(df, ["k"], "v", 2, "b").collect()}
     assert bins == {("a", 1.0): 0, ("a", 3.0): 1, ("a", None): None, (None, 2.0): None}
+
+
+def test_number_per_key_with_a_hot_and_a_null_key(spark):
+    import random
+
+    from arbitra.functions.ranking import number_per_key
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.randrange(40), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(5)
+    got = {(r.k, r.n): (r.v, r.i) for r in number_per_key(df, ["k"], [F.col("v"), F.desc("i")], "n").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for n, (_, v, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], -r[2])), 1):
+            want[k, n] = (v, i)
+    assert got == want and number_per_key(df.limit(0), ["k"], [F.col("v")], "n").collect() == []
