@@ -123,7 +123,15 @@ def _(spark, sf):
     return calibration(spark, sf).select("primitive_id", *longs("bin"), "alpha", "beta", r6("theta"))
 
 
-@query("calibration_upper_bound")
+@query("calibration_upper_bound", ["calib"], """
+narrowed AS (
+  SELECT primitive_id, bin, alpha, beta, 0e0 AS lo, 1e0 AS hi, 0 AS i FROM calib
+  UNION ALL
+  SELECT primitive_id, bin, alpha, beta, CASE WHEN tail < 0.95 THEN mid ELSE lo END, CASE WHEN tail < 0.95 THEN hi ELSE mid END, i + 1
+  FROM (SELECT *, list_sum(list_transform(range(alpha::BIGINT, (alpha + beta)::BIGINT),
+                     lambda j: exp(lgamma(alpha + beta) - lgamma(j + 1) - lgamma(alpha + beta - j) + j * ln(mid) + (alpha + beta - 1 - j) * ln(1 - mid)))) AS tail
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM narrowed WHERE i < 45)))
+SELECT primitive_id, bin, ROUND(alpha / (alpha + beta), 6) AS theta, ROUND((lo + hi) / 2, 6) AS u FROM narrowed WHERE i = 45""", recursive=True)
 def _(spark, sf):
     """A23 with X24."""
     return calibration(spark, sf, delta=0.05).select("primitive_id", *longs("bin"), r6("theta"), r6("u"))
