@@ -349,11 +349,29 @@ def process_score(components: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_counts(predictions: DataFrame, truth: DataFrame, claims: DataFrame, verdicts: Sequence[str]) -> DataFrame:
+    """(metric, value) rows of n_samples (all results), n_with_gt (those that are compared) and
+    n_structured (those with an evidence list).
+
+    A boolean column ``structured`` of the results decides the last, if there is one: a result with an
+    empty list has no claims.  Without it a result counts whose entity has a claim.
+    """
+    if "structured" in predictions.columns:
+        lists = predictions.where("structured")
+    else:
+        lists = predictions.join(claims.select("business_id").distinct(), "business_id", "left_semi")
+    sizes = {"n_samples": predictions, "n_with_gt": scored_pairs(predictions, truth, verdicts), "n_structured": lists}
+    return reduce(
+        DataFrame.unionByName,
+        [df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("metric"), "value") for name, df in sizes.items()],
+    )
+
+
 def evaluation_report(
     predictions: DataFrame, truth: DataFrame, claims: DataFrame, incidents: DataFrame,
     reviews: DataFrame, verdicts: Sequence[str],
 ) -> DataFrame:
-    """The seven metrics as (metric, value) rows."""
+    """The seven metrics and what they were measured on, as (metric, value) rows."""
     pairs = scored_pairs(predictions, truth, verdicts)
     by_entity = evidence_by_entity(predictions, claims, incidents)
     checks = judgement_checks(claims, incidents)
@@ -379,5 +397,6 @@ def evaluation_report(
         row(snippet_validity(snippet_checks(claims, reviews)), "snippet_validity", "snippet_validity"),
         row(checks.agg(F.avg(F.col("correct").cast("int")).alias("a")), "a", "judgement_accuracy"),
         row(verdict_consistency(predictions, verdicts), "verdict_consistency", "verdict_consistency"),
+        evaluation_counts(predictions, truth, claims, verdicts),
     ]
     return reduce(DataFrame.unionByName, parts)

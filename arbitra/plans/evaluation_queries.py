@@ -210,6 +210,17 @@ def _(spark, sf):
     return report.select("metric", r6("value"))
 
 
+@query("evaluation_counts", ["raw", "verdicts"], """
+    SELECT metric, value FROM (
+        SELECT 'n_samples' AS metric, COUNT(DISTINCT business_id)::DOUBLE AS value FROM raw WHERE model = 'm-large'
+        UNION ALL SELECT 'n_with_gt', COUNT(DISTINCT business_id)::DOUBLE FROM raw JOIN verdicts USING (business_id) WHERE model = 'm-large' AND policy_id = 'S1V4' AND k = 25
+        UNION ALL SELECT 'n_structured', COUNT(DISTINCT business_id)::DOUBLE FROM raw WHERE model = 'm-large' AND incident_severity <> 'none')""")
+def _(spark, sf):
+    """What the metrics are measured on."""
+    truth = ad.verdict_table(spark, sf).where("policy_id = 'S1V4' AND k = 25").select("business_id", "verdict")
+    return ev.evaluation_counts(ad.business_predictions(spark, sf), truth, ad.claims(spark, sf), cat.VERDICTS)
+
+
 @query("verdict_text_fallback", ["reviews"], """
     SELECT review_id, CASE useful % 3 WHEN 0 THEN 'Low Risk' WHEN 1 THEN 'Critical Risk' END AS verdict, CASE WHEN useful % 3 = 1 THEN stars END AS risk_score FROM reviews""")
 def _(spark, sf):
