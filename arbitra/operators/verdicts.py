@@ -308,7 +308,7 @@ def score_breakdown(judged: DataFrame, spec: Mapping, year_rules=(), entities: D
     cuisine = F.lit(0.0)
     if entities is not None:
         out = entities.join(out, ENTITY, "left").fillna(0)
-        pts = float(max(0, sc.points_for("high-risk cuisine", spec["modifiers"])))
+        pts = float(max(0, sc.points_for(spec.get("cuisine_label", "High-risk cuisine"), spec["modifiers"])))
         cuisine = F.when(high_risk_cuisine(F.col("categories")), F.lit(pts)).otherwise(F.lit(0.0))
     return out.withColumn("cuisine_points", cuisine).withColumn(
         "total_score", F.col("severity_points") + F.col("modifier_points") + F.col("cuisine_points")

@@ -173,8 +173,8 @@ def _(spark, sf):
 
 
 @query("text_recency_score", ["judged", "entities"], """
-    SELECT k, business_id, COALESCE(s, 0) + CASE WHEN contains(lower(categories), 'thai') AND s IS NOT NULL THEN 2 ELSE 0 END AS score
-    FROM entities LEFT JOIN (SELECT k, business_id, CAST(SUM(trunc(points * CASE WHEN age <= 2 THEN 1e0 WHEN age > 2 AND age <= 3 THEN 0.5e0 WHEN age > 3 THEN 0.25e0 ELSE 1e0 END)) AS BIGINT) AS s
+    SELECT k, business_id, COALESCE(s, 0) + CASE WHEN contains(lower(categories), 'thai') AND s IS NOT NULL THEN 7 ELSE 0 END AS score
+    FROM entities LEFT JOIN (SELECT k, business_id, CAST(SUM(trunc(points * CASE WHEN age <= 1 THEN 1e0 WHEN age > 1 AND age <= 2 THEN 0.5e0 WHEN age > 2 THEN 0.25e0 ELSE 1e0 END)) AS BIGINT) AS s
         FROM judged WHERE scored GROUP BY k, business_id) USING (k, business_id)""")
 def _(spark, sf):
     """A10 with X26."""
@@ -208,8 +208,8 @@ def _(spark, sf):
 
 
 @query("score_incidents", ["judged"], """
-    SELECT k, review_id, incident_severity AS value, points, CAST(trunc(points * CASE WHEN age <= 2 THEN 1e0 WHEN age <= 3 THEN 0.5e0 ELSE 0.25e0 END) AS BIGINT) AS weighted_points,
-           CAST(assurance_claim = 'true' AS BIGINT) + CAST(staff_response = 'dismissive' AS BIGINT) AS n_modifiers FROM judged WHERE scored""")
+    SELECT k, review_id, staff_response AS value, points, CAST(trunc(points * CASE WHEN age <= 1 THEN 1e0 WHEN age <= 2 THEN 0.5e0 ELSE 0.25e0 END) AS BIGINT) AS weighted_points,
+           CAST(incident_severity IN ('mild', 'severe') AS BIGINT) AS n_modifiers FROM judged WHERE scored""")
 def _(spark, sf):
     """A10, incident rows."""
     rows = verdicts.incidents(ad.judged(spark, sf), cat.RECENCY_POLICY)
@@ -217,17 +217,20 @@ def _(spark, sf):
 
 
 @query("score_breakdown", ["judged", "entities"], """
-    SELECT k, business_id, COALESCE(n_mild, 0) AS n_mild, COALESCE(n_severe, 0) AS n_severe, ROUND(COALESCE(base, 0), 6) AS severity_points, COALESCE(mods, 0) AS modifier_points,
-           ROUND(COALESCE(base, 0) + COALESCE(mods, 0) + CASE WHEN contains(lower(categories), 'thai') THEN 2 ELSE 0 END, 6) AS total_score
+    SELECT k, business_id, COALESCE(n_granted, 0) AS n_granted, COALESCE(n_waved, 0) AS n_waved, ROUND(COALESCE(base, 0), 6) AS severity_points, COALESCE(mods, 0) AS modifier_points,
+           ROUND(COALESCE(base, 0) + COALESCE(mods, 0) + CASE WHEN contains(lower(categories), 'thai') THEN 7 ELSE 0 END, 6) AS total_score
     FROM entities LEFT JOIN (
-        SELECT k, business_id, COUNT(*) FILTER (WHERE incident_severity = 'mild') AS n_mild, COUNT(*) FILTER (WHERE incident_severity = 'severe') AS n_severe,
-               SUM(CASE incident_severity WHEN 'severe' THEN 15 WHEN 'moderate' THEN 5 ELSE 2 END * CASE WHEN y <= 2 THEN 1e0 WHEN y <= 4 THEN 0.5e0 ELSE 0.25e0 END) AS base,
-               SUM(CASE WHEN assurance_claim = 'true' THEN 5e0 ELSE 0 END + CASE WHEN staff_response = 'dismissive' THEN 3e0 ELSE 0 END) AS mods
+        SELECT k, business_id, COUNT(*) FILTER (WHERE staff_response = 'accommodated') AS n_granted, COUNT(*) FILTER (WHERE staff_response = 'dismissive') AS n_waved,
+               SUM(CASE staff_response WHEN 'dismissive' THEN 9 ELSE 1 END * CASE WHEN y <= 2 THEN 1e0 WHEN y <= 4 THEN 0.5e0 ELSE 0.25e0 END) AS base,
+               SUM(CASE incident_severity WHEN 'severe' THEN 12e0 WHEN 'mild' THEN 4e0 ELSE 0 END) AS mods
         FROM (SELECT *, 2022 - CAST(substr(date, 1, 4) AS INTEGER) AS y FROM judged) WHERE scored GROUP BY k, business_id) USING (k, business_id)""")
 def _(spark, sf):
     """A11, X27."""
     out = verdicts.score_breakdown(ad.judged(spark, sf), cat.SCORE_POLICY["scoring"], cat.YEAR_RULES, ad.entities(spark, sf))
-    return out.select("k", "business_id", *longs("n_mild", "n_severe"), r6("severity_points"), r6("modifier_points"), r6("total_score"))
+    return out.select(
+        "k", "business_id", F.col("n_accommodated").cast("long").alias("n_granted"), F.col("n_dismissive").cast("long").alias("n_waved"),
+        r6("severity_points"), r6("modifier_points"), r6("total_score"),
+    )
 
 
 @query("evidence_lists", ["judged"], """
@@ -271,42 +274,41 @@ def _(spark, sf):
     return verdicts.variant_difference(ad.verdict_table(spark, sf), "S1P1", "S1P3")
 
 
-@query("formula_program", ["raw", "businesses"], """
-    SELECT business_id, n_incidents, points, staff_points, severity_total, cuisine, ROUND((points + staff_points) * cuisine, 6) AS score,
-           CASE WHEN (points + staff_points) * cuisine >= 150 THEN 'Critical Risk' WHEN n_incidents >= 5 THEN 'High Risk' ELSE 'Low Risk' END AS verdict
-    FROM (SELECT b.business_id, COUNT(*) FILTER (WHERE account_type = 'firsthand' AND incident_severity <> 'none') AS n_incidents,
-                 COALESCE(SUM(CASE incident_severity WHEN 'severe' THEN 21e0 WHEN 'moderate' THEN 9e0 WHEN 'mild' THEN 4e0 ELSE 0e0 END) FILTER (WHERE account_type = 'firsthand'), 0) AS points,
-                 COALESCE(SUM(CASE WHEN staff_response = 'dismissive' THEN 2e0 ELSE 0e0 END), 0) AS staff_points,
-                 COALESCE(SUM(CASE incident_severity WHEN 'severe' THEN 4e0 WHEN 'moderate' THEN 2e0 ELSE 0e0 END), 0) AS severity_total,
-                 CASE WHEN contains(lower(categories), 'thai') THEN 1.5e0 WHEN contains(lower(categories), 'bars') THEN 1.2e0 ELSE 1e0 END AS cuisine
-          FROM businesses b LEFT JOIN (SELECT * FROM raw WHERE model = 'm-large' AND incident_severity <> 'none') r USING (business_id) GROUP BY b.business_id, categories)""")
+_PROGRAM = """SELECT *, goodwill - harshness * trade AS balance FROM (
+        SELECT b.business_id, COUNT(*) FILTER (WHERE assurance_claim = 'true' AND staff_response <> 'dismissive') AS kept,
+               COUNT(*) FILTER (WHERE assurance_claim = 'true' AND incident_severity IN ('moderate', 'severe')) AS broken,
+               COALESCE(SUM(CASE staff_response WHEN 'accommodated' THEN 3e0 ELSE 1e0 END) FILTER (WHERE incident_severity IN ('none', 'mild')), 0) AS goodwill,
+               COALESCE(SUM(CASE WHEN review_id IS NULL THEN 0e0 WHEN staff_response = 'dismissive' THEN 2.5e0 ELSE 0.5e0 END), 0) AS harshness,
+               CASE WHEN contains(lower(categories), 'shop') THEN 0.5e0 WHEN contains(lower(categories), 'food') THEN 2e0 ELSE 1e0 END AS trade
+        FROM businesses b LEFT JOIN (SELECT * FROM raw WHERE model = 'm-large' AND (incident_severity <> 'none' OR staff_response <> 'none' OR assurance_claim = 'true')) r
+            USING (business_id) GROUP BY b.business_id, categories)"""
+
+
+@query("formula_program", ["raw", "businesses"], f"""
+    SELECT business_id, kept, broken, goodwill, harshness, trade, ROUND(balance, 6) AS balance,
+           CASE WHEN balance > 6 THEN 'Low Risk' WHEN broken > kept THEN 'Critical Risk' ELSE 'High Risk' END AS verdict FROM ({_PROGRAM})""")
 def _(spark, sf):
     """P1-P6, F14, UD5."""
     kept = formula.incidents_only(ad.large_model(spark, sf), cat.PROGRAM)
     out = formula.run_program(kept, cat.PROGRAM, ad.businesses(spark, sf), ["categories"])
-    return out.select(
-        "business_id", F.col("N_INCIDENTS").alias("n_incidents"), F.col("POINTS").alias("points"), F.col("STAFF_POINTS").alias("staff_points"),
-        F.col("SEVERITY_TOTAL").alias("severity_total"), F.col("CUISINE").alias("cuisine"), F.round("SCORE", 6).alias("score"), F.col("VERDICT").alias("verdict"),
-    )
+    names = ["KEPT", "BROKEN", "GOODWILL", "HARSHNESS", "TRADE", "VERDICT"]
+    return out.select("business_id", *[F.col(n).alias(n.lower()) for n in names], F.round("BALANCE", 6).alias("balance"))
 
 
-@query("triggered_rules", ["raw", "businesses"], """
-    SELECT business_id, CASE WHEN s >= 150 THEN 'Critical Risk' WHEN n >= 5 THEN 'N_INCIDENTS >= 5 (actual: N_INCIDENTS=' || n || ') → High Risk' ELSE 'else → Low Risk' END AS rule
-    FROM (SELECT b.business_id, COUNT(*) FILTER (WHERE account_type = 'firsthand') AS n,
-                 COALESCE(SUM(CASE WHEN account_type <> 'firsthand' THEN 0e0 WHEN incident_severity = 'severe' THEN 21e0 WHEN incident_severity = 'moderate' THEN 9e0 ELSE 4e0 END
-                              + CASE WHEN staff_response = 'dismissive' THEN 2e0 ELSE 0e0 END), 0)
-                 * CASE WHEN contains(lower(categories), 'thai') THEN 1.5e0 WHEN contains(lower(categories), 'bars') THEN 1.2e0 ELSE 1e0 END AS s
-          FROM businesses b LEFT JOIN (SELECT * FROM raw WHERE model = 'm-large' AND incident_severity <> 'none') r USING (business_id) GROUP BY b.business_id, categories)""")
+@query("triggered_rules", ["raw", "businesses"], f"""
+    SELECT business_id, CASE WHEN balance > 6 THEN 'BALANCE > 6 (actual: BALANCE=' || CAST(balance AS VARCHAR) || ') → Low Risk'
+                             WHEN broken > kept THEN 'BROKEN > KEPT (actual: KEPT=' || kept || ', BROKEN=' || broken || ') → Critical Risk'
+                             ELSE 'else → High Risk' END AS rule FROM ({_PROGRAM})""")
 def _(spark, sf):
-    """P7; the score text of critical rules is left to the unit tests."""
+    """P7, the text of every rule."""
     kept = formula.incidents_only(ad.large_model(spark, sf), cat.PROGRAM)
     out = formula.run_program(kept, cat.PROGRAM, ad.businesses(spark, sf), ["categories"])
-    rule = formula.triggered_rule(out, cat.PROGRAM)
-    return out.select("business_id", F.when(F.col("VERDICT") == "Critical Risk", F.col("VERDICT")).otherwise(rule).alias("rule"))
+    return out.select("business_id", formula.triggered_rule(out, cat.PROGRAM).alias("rule"))
 
 
 _EVIDENCE = """SELECT business_id, review_id, field, judgement, ROW_NUMBER() OVER (PARTITION BY business_id ORDER BY review_id, i) AS n FROM (
         SELECT business_id, review_id, 0 AS i, 'incident_severity' AS field, incident_severity AS judgement FROM judg JOIN reviews USING (review_id) WHERE incident_severity <> 'none'
+        UNION ALL SELECT business_id, review_id, 1, 'assurance_claim', assurance_claim FROM judg JOIN reviews USING (review_id) WHERE incident_severity <> 'none' AND assurance_claim = 'true'
         UNION ALL SELECT business_id, review_id, 2, 'staff_response', staff_response FROM judg JOIN reviews USING (review_id) WHERE incident_severity <> 'none' AND staff_response <> 'none')"""
 
 

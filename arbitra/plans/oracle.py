@@ -106,9 +106,9 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     "kreviews": (["ranked"], f"SELECT k, ranked.* FROM ranked JOIN (VALUES {_SCALES}) t(k) ON rn <= k"),
     "judged": (["kreviews", "judg"], f"""
         SELECT kreviews.*, judg.* EXCLUDE (review_id),
-               {POINTS.format(c='incident_severity')} + CASE WHEN assurance_claim = 'true' THEN 5 ELSE 0 END
-               + CASE WHEN staff_response = 'dismissive' THEN 3 ELSE 0 END AS points,
-               is_relevant AND account_type = 'firsthand' AND incident_severity <> 'none' AS scored,
+               CASE staff_response WHEN 'dismissive' THEN 9 WHEN 'accommodated' THEN 1 ELSE 0 END
+               + CASE incident_severity WHEN 'severe' THEN 12 WHEN 'mild' THEN 4 ELSE 0 END AS points,
+               is_relevant AND account_type = 'firsthand' AND staff_response <> 'none' AS scored,
                date_diff('day', CAST(date AS DATE), DATE '2022-01-01') / 365.25e0 AS age
         FROM kreviews LEFT JOIN judg USING (review_id)"""),
     "entities": (["businesses"], f"SELECT business_id, categories, k FROM businesses, (VALUES {_SCALES}) t(k)"),
@@ -121,7 +121,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
                COUNT(*) FILTER (WHERE rel AND incident_severity = 'mild' AND staff_response = 'dismissive') AS c_staff,
                COUNT(*) FILTER (WHERE scored) AS n_inc,
                COALESCE(SUM(points) FILTER (WHERE scored), 0) AS s_plain,
-               COALESCE(SUM(CAST(trunc(points * CASE WHEN age <= 2 THEN 1e0 WHEN age <= 3 THEN 0.5e0 ELSE 0.25e0 END) AS BIGINT)) FILTER (WHERE scored), 0) AS s_recent
+               COALESCE(SUM(CAST(trunc(points * CASE WHEN age <= 1 THEN 1e0 WHEN age <= 2 THEN 0.5e0 ELSE 0.25e0 END) AS BIGINT)) FILTER (WHERE scored), 0) AS s_recent
         FROM (SELECT e.*, j.* EXCLUDE (k, business_id), COALESCE(j.is_relevant, FALSE) AS rel
               FROM entities e LEFT JOIN judged j USING (k, business_id))
         GROUP BY k, business_id, categories"""),
@@ -141,12 +141,12 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
                CASE WHEN c_assured >= 1 THEN 'Critical Risk' WHEN c_staff >= 1 THEN 'High Risk' ELSE 'Low Risk' END,
                CASE WHEN c_assured >= 1 THEN 'CRITICAL' WHEN c_staff >= 1 THEN 'HIGH' ELSE 'LOW' END, NULL, NULL FROM counts
         UNION ALL SELECT policy_id, k, business_id,
-               CASE WHEN s >= CASE k WHEN 10 THEN 25 ELSE 60 END THEN 'Critical Risk'
-                    WHEN s >= CASE k WHEN 10 THEN 9 ELSE 20 END THEN 'High Risk' ELSE 'Low Risk' END,
+               CASE WHEN s >= CASE k WHEN 10 THEN 30 ELSE 70 END THEN 'Critical Risk'
+                    WHEN s >= CASE k WHEN 10 THEN 11 ELSE 24 END THEN 'High Risk' ELSE 'Low Risk' END,
                NULL, CAST(s AS BIGINT), n_inc
         FROM (SELECT p AS policy_id, k, business_id, n_inc,
                      CASE p WHEN 'S1V3' THEN s_plain ELSE s_recent END
-                     + CASE WHEN contains(lower(categories), 'thai') AND n_inc > 0 THEN 2 ELSE 0 END AS s
+                     + CASE WHEN contains(lower(categories), 'thai') AND n_inc > 0 THEN 7 ELSE 0 END AS s
               FROM counts, (VALUES ('S1V3'), ('S1V4')) v(p))"""),
     "overrides": ([], """
         SELECT CAST(doc_id AS VARCHAR) AS review_id, CASE WHEN toxic = 1 THEN 'read by hand' ELSE 'keyword' END AS reason, toxic

@@ -111,20 +111,21 @@ def test_verdict_for_score_bounds(spark):
 
 def test_truncation_recency_and_cuisine(spark):
     rows = [
-        (200, "a", True, f("mild", assurance_claim="true"), "2018-05-01"),       # (2 + 5) / 4 -> 1
-        (200, "a", True, f("moderate"), "2019-06-01"),                            # 5 / 2 -> 2
-        (200, "a", False, f("severe"), "2021-06-01"), (200, "a", True, f("severe", "secondhand"), "2021-06-01"),
-        (200, "a", True, {"incident_severity": "mild"}, None),                    # no account, no date: 2
-        (200, "b", True, f("none"), "2021-01-01"),
+        (200, "a", True, f("severe", staff_response="accommodated"), "2018-05-01"),  # (1 + 12) / 4 -> 3
+        (200, "a", True, f("none", staff_response="dismissive"), "2020-06-01"),      # 9 / 2 -> 4
+        (200, "a", False, f("severe", staff_response="dismissive"), "2021-06-01"),
+        (200, "a", True, f("severe", "secondhand", staff_response="dismissive"), "2021-06-01"),
+        (200, "a", True, {"staff_response": "accommodated"}, None),                  # no account, no date: 1
+        (200, "b", True, f("severe", staff_response="none"), "2021-01-01"),
     ]
     entities = spark.createDataFrame([(200, "a", "Thai"), (200, "b", "Thai"), (200, "c", None)], "k int, business_id string, categories string")
     got = {r["business_id"]: r for r in vd.policy_verdicts(judged(spark, rows), [cat.RECENCY_POLICY], entities).collect()}
-    assert (got["a"]["score"], got["a"]["n_incidents"]) == (1 + 2 + 2 + 2, 3)
+    assert (got["a"]["score"], got["a"]["n_incidents"]) == (3 + 4 + 1 + 7, 3)
     assert (got["b"]["score"], got["c"]["score"], got["c"]["verdict"]) == (0, 0, "Low Risk")
 
 
 def test_recency_dialects(spark):
-    dates = ["2021-06-01", "2019-06-01", "2017-01-01", "bad", None]
+    dates = ["2021-06-01", "2020-06-01", "2018-06-01", "2017-01-01", "bad", None]
     df = spark.createDataFrame([(d,) for d in dates], "d string")
     rules = cat.RECENCY_POLICY["scoring"]["recency_rules"]
     out = df.select(
@@ -132,9 +133,9 @@ def test_recency_dialects(spark):
         sc.recency_by_year(F.col("d"), cat.YEAR_RULES).alias("y"),
         sc.recency_from_text(F.col("d"), [{"age": "Within 6 months", "weight": "full"}, {"age": "6 months to 1 year", "weight": "half"}]).alias("u"),
     ).collect()
-    assert [r["t"] for r in out] == [1.0, 0.5, 0.25, 1.0, 1.0]
-    assert [r["m"] for r in out] == [1.0, 0.5, 0.25, 1.0, 1.0]
-    assert [r["y"] for r in out] == [1.0, 0.5, 0.25, 1.0, 1.0]
+    assert [r["t"] for r in out] == [1.0, 0.5, 0.25, 0.25, 1.0, 1.0]
+    assert [r["m"] for r in out] == [1.0, 0.5, 0.25, 0.25, 1.0, 1.0]
+    assert [r["y"] for r in out] == [1.0, 1.0, 0.5, 0.25, 1.0, 1.0]
     assert {r["u"] for r in out} == {1.0}
 
 
