@@ -2,9 +2,9 @@
 
 A window without a partition key sends the whole table to one task, and an exact percentile
 aggregate keeps all distinct values of a group in memory.  The helpers here split the ordered
-domain into buckets by approximate quantiles, total the buckets, and add the totals of the
-earlier buckets to the running totals inside each bucket.  The approximation only decides
-where buckets end; the results are exact.
+domain into buckets (by approximate quantiles per key, or the range partitions of a whole table),
+total the buckets, and add the totals of the earlier buckets to the running totals inside each
+bucket.  The approximation only decides where buckets end; the results are exact.
 """
 
 from __future__ import annotations
@@ -63,16 +63,14 @@ def prefix_totals(
     row per task.
     """
     keys = list(keys)
+    if not keys:
+        return _totals_of_table(df, value, sums)
     per_value = df.groupBy(*keys, value).agg(*[e.alias(n) for n, e in sums.items()])
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = per_value.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, steps, 1000)).alias("_bounds")
     )
-    # Without keys the bounds are one row, read as a scalar subquery.
-    joined = (
-        per_value.join(bounds, keys) if keys else per_value.withColumn("_bounds", bounds.scalar())
-    )
-    placed = joined.withColumn(
+    placed = per_value.join(bounds, keys).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     ).drop("_bounds")
 
@@ -103,6 +101,37 @@ def prefix_totals(
     )
 
 
+def _totals_of_table(df: DataFrame, value: str, sums: Mapping[str, Column]) -> DataFrame:
+    """``prefix_totals`` over the whole table.
+
+    The distinct values are range-partitioned and written once; a partition is a bucket, so their
+    number follows the size of the shuffle.  The sums of the earlier partitions are one map, with
+    an entry per partition, that is read as a scalar subquery.  A null value comes first, like
+    any other value.
+    """
+    per_value = df.groupBy(value).agg(*[e.alias(n) for n, e in sums.items()])
+    placed = materialize(
+        per_value.repartitionByRange(F.asc_nulls_first(value)).withColumn("_bucket", F.spark_partition_id())
+    )
+    by_bucket = placed.groupBy("_bucket").agg(*[F.sum(n).alias(n) for n in sums])
+    listed = by_bucket.agg(F.collect_list(F.struct("_bucket", *sums)).alias("b"))
+    earlier = lambda b, x: F.filter("b", lambda e: e["_bucket"] < b["_bucket"])[x]
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+    entry = lambda b: F.struct(
+        b["_bucket"], F.struct(*[total(earlier(b, n)).alias(f"before_{n}") for n in sums], *[total(F.col("b")[n]).alias(f"total_{n}") for n in sums])
+    )
+    offsets = listed.select(F.map_from_entries(F.transform("b", entry)).alias("o")).scalar()
+    inside = Window.partitionBy("_bucket").orderBy(F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, -1)
+    running = placed.select(
+        "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in sums]
+    ).withColumn("_o", offsets[F.col("_bucket")])
+    return running.select(
+        value, *sums,
+        *[(F.col("_o")[f"before_{n}"] + F.col(f"_in_{n}")).alias(f"before_{n}") for n in sums],
+        *[F.col("_o")[f"total_{n}"].alias(f"total_{n}") for n in sums],
+    )
+
+
 def rank_normalize(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Tie-averaged rank scaled to [0, 1]; 0.5 everywhere on an all-equal column.
 

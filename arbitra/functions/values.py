@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -49,6 +50,22 @@ def lit_array(values: Sequence) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def spelled(word: Column, spellings: Mapping[str, str]) -> Column:
+    """What a word stands for in a map of spellings, null for any other word.
+
+    The map is one literal, so the word is computed once however many spellings there are.
+    """
+    if not spellings:
+        return F.lit(None).cast("string")
+    pairs = [F.lit(x) for pair in spellings.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), word)
+
+
+def has_fragment(text: Column, fragments: Sequence[str]) -> Column:
+    """Does the text contain a literal?  One pattern instead of a test for each."""
+    return text.rlike("|".join(re.escape(f) for f in fragments))
+
+
 def field(fields: Column, name: str) -> Column:
     """Value of a map key: exact, lower, upper, then any case."""
     choices = [fields[n] for n in dict.fromkeys((name, name.lower(), name.upper()))]
@@ -95,25 +112,19 @@ def normalize_enum(value: Column, legal: Sequence[str]) -> Column:
     """Exact, then synonym, then (severity enums) fragment match; otherwise unchanged."""
     v = F.lower(F.trim(value))
     by_lower = {x.lower(): x for x in legal}
-    out = F.when(value.isNull(), value)
-    for low, original in by_lower.items():
-        out = out.when(v == low, F.lit(original))
+    spellings = dict(by_lower)
     for level, wordings in SEVERITY_SYNONYMS.items():
         if level in by_lower:
-            out = out.when(v.isin(wordings), F.lit(by_lower[level]))
+            spellings = {w: by_lower[level] for w in wordings} | spellings
+    choices = [spelled(v, spellings)]
     if set(by_lower) & set(SEVERITY_SYNONYMS):
-        def has(fragments: Sequence[str]) -> Column:
-            hit = F.lit(False)
-            for f in fragments:
-                hit = hit | v.contains(f)
-            return hit
-
         if "none" in by_lower:
-            out = out.when(has(NONE_FRAGMENTS) & ~has(LEVEL_FRAGMENTS), F.lit("none"))
+            blank = has_fragment(v, NONE_FRAGMENTS) & ~has_fragment(v, LEVEL_FRAGMENTS)
+            choices.append(F.when(blank, F.lit("none")))
         for level, fragments in SEVERITY_FRAGMENTS:
             if level in by_lower:
-                out = out.when(has(fragments), F.lit(level))
-    return out.otherwise(value)
+                choices.append(F.when(has_fragment(v, fragments), F.lit(level)))
+    return F.coalesce(*choices, value)
 
 
 def strict_enum(value: Column, legal: Sequence[str]) -> Column:
@@ -161,18 +172,13 @@ def normalize_verdict(label: Column, verdicts: Sequence[str] | None = None) -> C
     if not verdicts:
         return clean
     key = F.replace(F.lower(clean), F.lit("_"), F.lit(" "))
-    out = None
-    for v in verdicts:
-        out = F.when(key == v.lower(), F.lit(v)) if out is None else out.when(key == v.lower(), F.lit(v))
-    return out.otherwise(clean)
+    return F.coalesce(spelled(key, {v.lower(): v for v in reversed(verdicts)}), clean)
 
 
 def verdict_ordinal(label: Column, verdicts: Sequence[str]) -> Column:
     """M4: position in the ordered verdict list (lowest 0), null for an unknown label."""
-    out = None
-    for i, v in enumerate(verdicts):
-        out = F.when(label == v, F.lit(i)) if out is None else out.when(label == v, F.lit(i))
-    return out
+    place = F.array_position(lit_array(verdicts), label)
+    return (F.nullif(place, F.lit(0)) - 1).cast("int")
 
 
 def verdict_from_rule(rule: Column) -> Column:

@@ -104,15 +104,27 @@ def average_precision(scored: DataFrame, keys: Sequence[str], score: str, positi
 
 
 def ordinal_auprc(pairs: DataFrame, levels: Sequence[int] = (1, 2)) -> DataFrame:
-    """M2: average precision at "at least level" for each level, and their mean."""
-    each = F.explode(F.array(*[F.lit(v) for v in levels]))
-    spread = pairs.withColumn("level", each)
-    ap = average_precision(spread, ["level"], "risk_score", F.col("y_true") >= F.col("level"))
-    at = lambda v: F.max(F.when(F.col("level") == v, F.col("average_precision")))
-    return ap.agg(
-        at(levels[0]).alias("auprc_ge_high"),
-        at(levels[1]).alias("auprc_ge_critical"),
-        F.avg("average_precision").alias("ordinal_auprc"),
+    """M2: average precision at "at least level" for each level, and their mean.
+
+    All levels share one ranking of the scores, so a pair is one row however many there are.
+    A level with no or only positives has none, and the mean leaves it out.
+    """
+    hits = {f"_tp{v}": F.sum((F.col("y_true") >= v).cast("long")) for v in levels}
+    ranked = pairs.select("y_true", (-F.col("risk_score")).alias("_neg"))
+    table = prefix_totals(ranked, [], "_neg", {"_n": F.count(F.lit(1)), **hits})
+    seen = F.col("before__n") + F.col("_n")
+
+    def precision(tp: str) -> Column:
+        step = F.col(tp) / F.col(f"total_{tp}") * ((F.col(f"before_{tp}") + F.col(tp)) / seen)
+        mixed = (F.col(f"total_{tp}") > 0) & (F.col(f"total_{tp}") < F.col("total__n"))
+        return F.sum(F.when(mixed, step))
+
+    per_level = table.agg(*[precision(tp).alias(tp) for tp in hits])
+    found = F.array_compact(F.array(*hits))
+    mean = F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(found), F.lit(0))
+    first, second = list(hits)[:2]
+    return per_level.select(
+        F.col(first).alias("auprc_ge_high"), F.col(second).alias("auprc_ge_critical"), mean.alias("ordinal_auprc")
     )
 
 

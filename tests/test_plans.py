@@ -54,3 +54,17 @@ def test_rank_buckets_reuse_their_exchange(spark):
     out = rank_normalize(df, [], "v", "r")
     out.collect()
     assert "ReusedExchange" in plan(out) or "ResultQueryStage" in plan(out)
+
+
+@pytest.mark.parametrize("name", ["scored_pairs", "macro_f1", "ordinal_auprc", "rich_filter", "formula_program"])
+def test_generated_code_compiles(name, spark, sf):
+    """Without the fallback a method over 64 KB is an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        QUERIES[name](spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_average_precision_of_all_levels_takes_five_exchanges(spark, sf):
+    assert plan(QUERIES["ordinal_auprc"](spark, sf)).count("Exchange") <= 5

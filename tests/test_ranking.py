@@ -100,3 +100,21 @@ def test_number_per_key_with_a_hot_and_a_null_key(spark):
         for n, (_, v, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], -r[2])), 1):
             want[k, n] = (v, i)
     assert got == want and number_per_key(df.limit(0), ["k"], [F.col("v")], "n").collect() == []
+
+
+def test_totals_of_a_table_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    values = [None, None, *np.round(rng.normal(size=900), 2).tolist(), *[0.25] * 600]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v double, w int").repartition(7)
+    got = ranking.prefix_totals(df, [], "v", {"_n": F.count(F.lit(1)), "_w": F.sum("w")}).collect()
+    order = lambda v: float("-inf") if v is None else v
+    rows = [(order(v), i % 3) for i, v in enumerate(values)]
+    assert len(got) == len(set(values))
+    for r in got:
+        at = order(r["v"])
+        assert (r["_n"], r["before__n"], r["total__n"]) == (sum(v == at for v, _ in rows), sum(v < at for v, _ in rows), len(rows))
+        assert (r["before__w"], r["total__w"]) == (sum(w for v, w in rows if v < at), sum(w for _, w in rows))
+
+
+def test_totals_of_an_empty_table(spark):
+    assert ranking.prefix_totals(spark.createDataFrame([], "v double"), [], "v", {"_n": F.count(F.lit(1))}).collect() == []
