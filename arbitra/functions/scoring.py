@@ -178,37 +178,92 @@ def variance_drop(alpha: Column, beta: Column) -> Column:
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function, by its continued fraction, over arrays."""
-    from math import lgamma
+    """Regularised incomplete beta function over arrays, by its continued fraction.
 
+    Every row takes as many terms as it needs, whatever rows stand beside it.
+    """
     x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
     flip = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
     y = np.clip(y, 1e-300, 1.0)
-    lg = np.vectorize(lgamma, otypes=[float])
-    front = np.exp(p * np.log(y) + q * np.log1p(-np.minimum(y, 1 - 1e-16)) + lg(p + q) - lg(p) - lg(q)) / p
-    # Evaluated from the far end, so no rescaling of partial numerators is needed.
-    tail = np.ones_like(y)
-    terms = min(20_000, int(200 + 4 * np.sqrt(np.max(a + b)))) if a.size else 0
-    for m in range(terms, 0, -1):
-        half = m // 2
-        if m % 2:
-            coeff = -(p + half) * (p + q + half) * y / ((p + m - 1) * (p + m))
-        else:
-            coeff = half * (q - half) * y / ((p + m - 1) * (p + m))
-        tail = 1 + coeff / tail
-    value = np.clip(front / tail, 0.0, 1.0)
+    front = np.exp(p * np.log(y) + q * np.log1p(-np.minimum(y, 1 - 1e-16)) - _log_beta(p, q)) / p
+    value = np.clip(front * _beta_fraction(p, q, y), 0.0, 1.0)
     return np.where(flip, 1 - value, value)
 
 
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    from math import lgamma
+
+    each = np.vectorize(lgamma, otypes=[float])
+    return each(a) + each(b) - each(a + b)
+
+
+def _beta_fraction(p: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The continued fraction from its near end; a row leaves when a pair of terms changes nothing.
+
+    Each pair of terms multiplies the value by the ratio of two tails, which are kept away from 0.
+    """
+    shape, (p, q, y) = p.shape, (v.ravel() for v in (p, q, y))
+    out = np.full(p.shape, np.nan)
+    open_rows = np.flatnonzero(np.isfinite(p) & np.isfinite(q) & np.isfinite(y) & (p > 0) & (q > 0))
+    p, q, y = p[open_rows], q[open_rows], y[open_rows]
+    away = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    upper, lower = np.ones_like(p), 1 / away(1 - (p + q) * y / (p + 1))
+    value, m = lower.copy(), 0
+    while open_rows.size:
+        m += 1
+        before = value
+        for term in (
+            m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)),
+            -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)),
+        ):
+            lower = 1 / away(1 + term * lower)
+            upper = away(1 + term / upper)
+            value = value * upper * lower
+        done = ~(np.abs(value - before) > 4e-16 * np.abs(value))
+        if done.any():
+            out[open_rows[done]] = value[done]
+            open_rows, p, q, y, upper, lower, value = (
+                v[~done] for v in (open_rows, p, q, y, upper, lower, value)
+            )
+    return out.reshape(shape)
+
+
 def beta_quantiles(a: np.ndarray, b: np.ndarray, q: float) -> np.ndarray:
-    """Bisection on the distribution function, all rows at once."""
-    lo, hi = np.zeros(len(a)), np.ones(len(a))
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        below = beta_cdf(mid, a, b) < q
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
+    """Newton steps from the normal approximation, held inside a shrinking bracket.
+
+    A step that leaves the bracket, or is not half of the one before, is a bisection instead.  Rows
+    converge by themselves; a null or a parameter that is not positive gives NaN.
+    """
+    from statistics import NormalDist
+
+    a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+    good = np.isfinite(a) & np.isfinite(b) & (a > 0) & (b > 0)
+    out = np.full(a.shape, np.nan)
+    if q <= 0 or q >= 1:
+        out[good] = min(max(q, 0.0), 1.0)
+        return out
+    rows = np.flatnonzero(good)
+    a, b = a[rows], b[rows]
+    mean, n = a / (a + b), a + b
+    sd = np.sqrt(mean * (1 - mean) / (n + 1))
+    lo, hi = np.zeros_like(a), np.ones_like(a)
+    x = np.clip(mean + NormalDist().inv_cdf(q) * sd, mean * 1e-3, 1 - (1 - mean) * 1e-3)
+    last = np.ones_like(a)
+    scale = _log_beta(a, b)
+    while rows.size:
+        gap = beta_cdf(x, a, b) - q
+        lo, hi = np.where(gap < 0, x, lo), np.where(gap < 0, hi, x)
+        with np.errstate(all="ignore"):
+            step = gap / np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - scale)
+        newton = x - step
+        inside = (newton > lo) & (newton < hi) & (2 * np.abs(step) <= last)
+        new = np.where(inside, newton, (lo + hi) / 2)
+        last = np.abs(new - x)
+        done = (gap == 0) | (last <= 1e-15 * x + 1e-18)
+        out[rows[done]] = np.where(gap == 0, x, new)[done]
+        rows, a, b, lo, hi, x, last, scale = (v[~done] for v in (rows, a, b, lo, hi, new, last, scale))
+    return out
 
 
 def beta_upper(alpha: Column, beta: Column, delta: float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +33,11 @@ QUANTIFIERS = [
 ]
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Lower case, white space runs collapsed to one blank, ends trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), WHITESPACE, " "))
@@ -88,14 +93,12 @@ def segments(quote: Column, min_length: int = 10) -> Column:
     def long_enough(parts: Column) -> Column:
         return F.filter(F.transform(parts, normalize), lambda s: F.length(s) >= min_length)
 
-    by_sentence = long_enough(sentences(quote))
-    by_ellipsis = long_enough(F.split(quote, r"\.\.\."))
-    whole = long_enough(F.array(quote))
-    return (
-        F.when(F.size(by_sentence) > 0, by_sentence)
-        .when(F.contains(quote, F.lit("...")) & (F.size(by_ellipsis) > 0), by_ellipsis)
-        .otherwise(whole)
-    )
+    def or_else(parts: Column, allowed: Column, other: Column) -> Column:
+        return bind(parts, lambda p: F.when(allowed & (F.size(p) > 0), p).otherwise(other))
+
+    pieces = F.contains(quote, F.lit("..."))
+    by_ellipsis = or_else(long_enough(F.split(quote, r"\.\.\.")), pieces, long_enough(F.array(quote)))
+    return or_else(long_enough(sentences(quote)), F.lit(True), by_ellipsis)
 
 
 def quote_check(
@@ -103,66 +106,80 @@ def quote_check(
 ) -> Column:
     """Is the quote found in the source, and how?
 
+    Both texts are normalised once and the segments walked once, from left to right.
     Tiers: the whole normalised quote; enough segments in reading order; enough shared words
     (quotes of three distinct words or more).  Returns struct(valid, match_type,
     segments_found, segments_total, match_ratio, positions), positions 0-based, -1 if absent.
     """
-    q, s = normalize(quote), normalize(source)
-    parts = segments(quote, min_length)
-
-    def position(piece: Column) -> Column:
-        bare = F.regexp_replace(piece, r"[.,!?;:]+$", "")
-        direct = F.instr(s, piece)
-        return F.when(direct > 0, direct).otherwise(F.instr(s, bare)) - 1
-
-    found_at = F.transform(parts, position)
-    present = F.filter(found_at, lambda p: p >= 0)
-    total, found = F.size(parts), F.size(present)
-    # Reading order: every present position lies after the largest one before it.
-    ordered = F.aggregate(
-        present,
-        F.struct(F.lit(-1).alias("last"), F.lit(True).alias("ok")),
-        lambda acc, p: F.struct(
-            F.greatest(acc["last"], p).alias("last"),
-            (acc["ok"] & (p > acc["last"])).alias("ok"),
-        ),
-    )["ok"]
-    ratio = F.when(total > 0, found / total).otherwise(F.lit(0.0))
-    q_words = F.array_distinct(F.split(q, " "))
-    overlap = F.size(F.array_intersect(q_words, F.split(s, " "))) / F.size(q_words)
-    usable = (q != "") & (s != "")
-
-    def verdict(valid: bool, kind: str, n_found: Column, n_total: Column, r: Column, pos: Column):
+    def answer(valid: bool, kind: str, found: Column, total: Column, ratio: Column, positions: Column):
         return F.struct(
             F.lit(valid).alias("valid"),
             F.lit(kind).alias("match_type"),
-            n_found.cast("int").alias("segments_found"),
-            n_total.cast("int").alias("segments_total"),
-            r.cast("double").alias("match_ratio"),
-            pos.cast("array<int>").alias("positions"),
+            found.cast("int").alias("segments_found"),
+            total.cast("int").alias("segments_total"),
+            ratio.cast("double").alias("match_ratio"),
+            positions.cast("array<int>").alias("positions"),
         )
 
-    nothing = F.array().cast("array<int>")
-    one = F.lit(1)
-    return (
-        F.when(
-            ~F.coalesce(usable, F.lit(False)),
-            verdict(False, "no_match", F.lit(0), F.lit(0), F.lit(0.0), nothing),
+    def walk(parts: Column, s: Column) -> Column:
+        """Places of the segments, how many there are, and whether they stand in reading order:
+        each after the largest place before it."""
+        start = F.struct(
+            F.array().cast("array<int>").alias("at"), F.lit(0).alias("found"),
+            F.lit(-1).alias("last"), F.lit(True).alias("ordered"),
         )
-        .when(
-            F.contains(s, q),
-            verdict(True, "exact", one, one, F.lit(1.0), F.array(F.instr(s, q) - 1)),
-        )
-        .when(
-            (total > 0) & (ratio >= threshold) & ordered,
-            verdict(True, "multi_span", found, total, ratio, found_at),
-        )
-        .when(
-            (F.size(q_words) >= 3) & (overlap >= 0.8),
-            verdict(True, "word_overlap", found, total, overlap, found_at),
+
+        def place(piece: Column) -> Column:
+            bare = F.regexp_replace(piece, r"[.,!?;:]+$", "")
+            return bind(F.instr(s, piece), lambda d: F.when(d > 0, d).otherwise(F.instr(s, bare)) - 1)
+
+        def add(acc: Column, piece: Column) -> Column:
+            return bind(place(piece), lambda p: F.struct(
+                F.concat(acc["at"], F.array(p)).alias("at"),
+                (acc["found"] + (p >= 0).cast("int")).alias("found"),
+                F.greatest(acc["last"], p).alias("last"),
+                (acc["ordered"] & ((p < 0) | (p > acc["last"]))).alias("ordered"),
+            ))
+
+        return F.aggregate(parts, start, add)
+
+    def by_words(v: Column, w: Column, ratio: Column) -> Column:
+        words = F.array_distinct(F.split(v["q"], " "))
+        overlap = bind(words, lambda x: F.when(
+            F.size(x) >= 3, F.size(F.array_intersect(x, F.split(v["s"], " "))) / F.size(x)
+        ))
+        total = F.size(v["parts"])
+        return bind(overlap, lambda o: F.when(
+            o >= 0.8, answer(True, "word_overlap", w["found"], total, o, w["at"])
+        ).otherwise(answer(False, "no_match", w["found"], total, ratio, w["at"])))
+
+    def by_segments(v: Column) -> Column:
+        total = F.size(v["parts"])
+
+        def judge(w: Column) -> Column:
+            ratio = F.when(total > 0, w["found"] / total).otherwise(F.lit(0.0))
+            return F.when(
+                (total > 0) & (ratio >= threshold) & w["ordered"],
+                answer(True, "multi_span", w["found"], total, ratio, w["at"]),
+            ).otherwise(by_words(v, w, ratio))
+
+        return bind(walk(v["parts"], v["s"]), judge)
+
+    nothing, one = F.array().cast("array<int>"), F.lit(1)
+
+    def judge_texts(v: Column) -> Column:
+        whole = answer(True, "exact", one, one, F.lit(1.0), F.array(F.instr(v["s"], v["q"]) - 1))
+        with_parts = F.struct(v["q"].alias("q"), v["s"].alias("s"), segments(quote, min_length).alias("parts"))
+        return (
+            F.when(
+                ~F.coalesce((v["q"] != "") & (v["s"] != ""), F.lit(False)),
+                answer(False, "no_match", F.lit(0), F.lit(0), F.lit(0.0), nothing),
+            )
+            .when(F.contains(v["s"], v["q"]), whole)
+            .otherwise(bind(with_parts, by_segments))
         )
-        .otherwise(verdict(False, "no_match", found, total, ratio, found_at))
-    )
+
+    return bind(F.struct(normalize(quote).alias("q"), normalize(source).alias("s")), judge_texts)
 
 
 def quote_in_markup(quote: Column, source: Column) -> Column:

@@ -104,13 +104,46 @@ def _(spark, sf):
     return checked.select("review_id", "field", (F.col("match_type") == "exact").alias("exact"))
 
 
-@query("snippet_validity_multispan")
+def _pieces(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda x: {norm('x')}), lambda x: length(x) >= 10)"
+
+
+# Every tier of the quote check: segments, their first places in the text, shared words.
+_QUOTES = rf"""
+    SELECT review_id, field, CASE WHEN contains(s, q) THEN 'exact' WHEN spans THEN 'multi_span' WHEN shared >= 0.8 THEN 'word_overlap' ELSE 'no_match' END AS match_type,
+           CASE WHEN contains(s, q) THEN 1 ELSE found END AS segments_found, CASE WHEN contains(s, q) THEN 1 ELSE total END AS segments_total,
+           CASE WHEN contains(s, q) THEN 1e0 WHEN spans THEN found / total WHEN shared >= 0.8 THEN shared WHEN total > 0 THEN found / total ELSE 0e0 END AS match_ratio,
+           CASE WHEN contains(s, q) THEN CAST(strpos(s, q) - 1 AS VARCHAR) ELSE array_to_string(places, ',') END AS positions
+    FROM (SELECT *, total > 0 AND found / total >= 0.8 AND present = list_sort(list_distinct(present)) AS spans,
+                 CASE WHEN len(words) >= 3 THEN len(list_intersect(words, string_split(s, ' '))) / len(words) END AS shared
+          FROM (SELECT *, len(parts) AS total, list_filter(places, lambda x: x >= 0) AS present, len(list_filter(places, lambda x: x >= 0)) AS found FROM (
+              SELECT *, list_distinct(string_split(q, ' ')) AS words,
+                     list_transform(parts, lambda x: CASE WHEN strpos(s, x) > 0 THEN strpos(s, x) ELSE strpos(s, regexp_replace(x, '[.,!?;:]+$', '')) END - 1) AS places
+              FROM (SELECT *, CASE WHEN len(a) > 0 THEN a WHEN contains(snippet, '...') AND len(b) > 0 THEN b ELSE w END AS parts FROM (
+                  SELECT review_id, field, snippet, {norm('text')} AS s, {norm('snippet')} AS q,
+                         {_pieces(r"string_split(regexp_replace(snippet, '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1))")} AS a,
+                         {_pieces("string_split(snippet, '...')")} AS b, {_pieces("[snippet]")} AS w FROM claims)))))"""
+
+
+@query("snippet_validity_multispan", ["claims"], f"""
+    SELECT match_type, COUNT(*) AS snippets, ROUND(AVG(match_ratio), 6) AS match_ratio FROM ({_QUOTES}) GROUP BY match_type""")
 def _(spark, sf):
     """X17 all tiers, M6."""
     checked = ev.snippet_checks(ad.claims(spark, sf), ad.reviews(spark, sf))
     return checked.groupBy("match_type").agg(F.count(F.lit(1)).alias("snippets"), F.round(F.avg("match_ratio"), 6).alias("match_ratio"))
 
 
+@query("snippet_spans", ["claims"], f"""
+    SELECT review_id, field, match_type, segments_found, segments_total, ROUND(match_ratio, 6) AS match_ratio, positions FROM ({_QUOTES})""")
+def _(spark, sf):
+    """The tier, the segments and their places of every quote."""
+    checked = ev.snippet_checks(ad.claims(spark, sf), ad.reviews(spark, sf))
+    return checked.select(
+        "review_id", "field", "match_type", *[F.col(c).cast("long").alias(c) for c in ("segments_found", "segments_total")],
+        r6("match_ratio"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"),
+    )
+
+
 @query("word_overlap", ["claims"], f"""
     SELECT review_id, field, ROUND(len(list_intersect(q, s)) / len(q), 6) AS overlap FROM (
         SELECT review_id, field, list_distinct(string_split({norm('snippet')}, ' ')) AS q, list_distinct(string_split({norm('text')}, ' ')) AS s FROM claims)""")

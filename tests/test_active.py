@@ -180,3 +180,13 @@ def test_bm25_of_rows(spark):
     assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
     same = rt.bm25(docs.withColumn("review_id", F.lit("1")), {"one": "ab"}).collect()
     assert sorted(round(r["score"], 9) for r in same) == sorted(round(s, 9) for (q, _), s in a.items() if q == "one")
+
+
+def test_beta_quantiles_of_large_counts_and_of_any_batch():
+    a, b = np.array([1e8, 3e8, 2.0, 0.05, np.nan, 0.0]), np.array([2e8, 1e3, 1e8, 4.0, 1.0, 1.0])
+    q = beta_quantiles(a, b, 0.95)
+    sd = np.sqrt(1e8 * 2e8 / (3e8**2 * 3e8))
+    assert abs((q[0] - 1 / 3) / sd - 1.6448536) < 1e-3
+    assert np.allclose(beta_cdf(q[:4], a[:4], b[:4]), 0.95, atol=1e-6) and np.isnan(q[4:]).all()
+    assert [float(beta_quantiles(a[i : i + 1], b[i : i + 1], 0.95)[0]) for i in range(4)] == q[:4].tolist()
+    assert beta_quantiles(a[:4], b[:4], 1.0).tolist() == [1.0] * 4

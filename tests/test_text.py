@@ -119,3 +119,17 @@ def test_blocks(spark):
     assert got[0] == "the rules"
     assert [(f["field"], f["values"]) for f in got[1]] == [("severity", ["none", "mild"]), ("account", ["own"])]
     assert got[2] == "<b>c</b>" and got[3] is None
+
+
+def test_quote_places_are_first_occurrences(spark):
+    source = "alpha beta gamma. delta epsilon zeta; alpha beta gamma. Eta theta iota kappa"
+    quotes = [
+        "Alpha beta gamma. Delta epsilon zeta.", "delta epsilon zeta! alpha beta gamma.",
+        "nowhere to be seen. delta epsilon zeta.", "eta theta iota",
+    ]
+    df = spark.createDataFrame([(q, source) for q in quotes], "q string, s string")
+    got = {r["q"]: (r["c"]["match_type"], r["c"]["positions"]) for r in df.select("q", tx.quote_check(F.col("q"), F.col("s")).alias("c")).collect()}
+    assert got["Alpha beta gamma. Delta epsilon zeta."] == ("multi_span", [0, 18])
+    assert got["nowhere to be seen. delta epsilon zeta."] == ("no_match", [-1, 18])
+    assert got["delta epsilon zeta! alpha beta gamma."][1] == [18, 0] and got["delta epsilon zeta! alpha beta gamma."][0] != "multi_span"
+    assert got["eta theta iota"][0] == "exact" and got["eta theta iota"][1] == [source.lower().index("eta theta iota")]
