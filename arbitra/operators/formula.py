@@ -103,6 +103,37 @@ def lookup(source: Column, table: Mapping[str, float], default: float = 1.0) ->
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
 
 
+def lookup_joined(
+    df: DataFrame, source: Column, table: DataFrame, default: float, out: str,
+    key: str = "key", value: str = "value", order: str = "pos",
+) -> DataFrame:
+    """P5 / J12 for tables of any size: of the keys contained in the source, any case, the value of
+    the one that is first by ``order``.
+
+    Every substring of a source that is as long as some key is joined with the keys, so the work is
+    sources x lengths, not sources x keys.  Equal sources are looked up once and carried as their
+    digest.  The lengths are one array, at most as long as the longest key.  Null keys match
+    nothing; an empty key is in every source; equal keys count as the first of them.  Sources are
+    short strings (categories, names): each is cut once for every length.
+    """
+    entries = (
+        table.select(F.lower(key).alias("_key"), F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("_entry"))
+        .where("_key IS NOT NULL").groupBy("_key").agg(F.min("_entry").alias("_entry"))
+    )
+    lengths = entries.agg(F.collect_set(F.length("_key")).alias("n")).scalar()
+    text = F.lower(F.coalesce(source, F.lit("")))
+    named = df.withColumn("_text", F.sha2(text, 256))
+    fits = named.select("_text", text.alias("_low")).distinct().select(
+        "_text", "_low", F.explode(lengths).alias("_n")
+    ).where("_n <= length(_low)")
+    cut = fits.select("_text", F.explode(
+        F.transform(F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1), lambda i: F.substring("_low", i, F.col("_n")))
+    ).alias("_key"))
+    first = cut.join(entries, "_key").groupBy("_text").agg(F.min("_entry").alias("_entry"))
+    found = F.when(F.col("_entry").isNull(), F.lit(default)).otherwise(F.col("_entry")["v"])
+    return named.join(first, "_text", "left").select(*df.columns, found.alias(out))
+
+
 def incidents_only(extractions: DataFrame, program: Mapping) -> DataFrame:
     """rows with a non-none value in a field that the program counts."""
     none_values = program.get("extract", {}).get("none_values", ["none", "n/a"])

@@ -295,6 +295,21 @@ def _(spark, sf):
     return out.select("business_id", *[F.col(n).alias(n.lower()) for n in names], F.round("BALANCE", 6).alias("balance"))
 
 
+_PAGE_KEYS = """SELECT key, MIN(page_id) AS pos, COUNT(*) AS value FROM (
+        SELECT page_id, regexp_extract(url, '[^/?#]+/[a-z]+/[0-9]+', 0) AS key FROM pages) WHERE key <> '' GROUP BY key"""
+
+
+@query("lookup_large_table", [], f"""
+    SELECT p.page_id, COALESCE(h.value, 0) AS value FROM pages p LEFT JOIN (
+        SELECT page_id, arg_min(t.value, t.pos) AS value FROM pages JOIN ({_PAGE_KEYS}) t ON contains(lower(url), lower(t.key)) GROUP BY page_id) h USING (page_id)""")
+def _(spark, sf):
+    """J12 with a table that grows with the data: addresses found inside page addresses."""
+    pages = ad.table(spark, sf, "pages").select("page_id", "url")
+    keyed = pages.select("page_id", F.regexp_extract("url", "[^/?#]+/[a-z]+/[0-9]+", 0).alias("key")).where("key <> ''")
+    table = keyed.groupBy("key").agg(F.min("page_id").alias("pos"), F.count(F.lit(1)).alias("value"))
+    return formula.lookup_joined(pages, F.col("url"), table, 0, "value").select("page_id", "value")
+
+
 @query("triggered_rules", ["raw", "businesses"], f"""
     SELECT business_id, CASE WHEN balance > 6 THEN 'BALANCE > 6 (actual: BALANCE=' || CAST(balance AS VARCHAR) || ') → Low Risk'
                              WHEN broken > kept THEN 'BROKEN > KEPT (actual: KEPT=' || kept || ', BROKEN=' || broken || ') → Critical Risk'
