@@ -97,7 +97,7 @@ def _(spark, sf):
     return out.select(r6("evidence_precision"), r6("evidence_recall"), *longs("total_claimed", "total_matched", "total_truth"))
 
 
-@query("snippet_validity_exact", ["claims"], f"SELECT review_id, field, contains({norm('text')}, {norm('snippet')}) AS exact FROM claims")
+@query("snippet_validity_exact", ["claims"], f"SELECT review_id, field, contains({norm('text')}, {norm('snippet')}) AS exact FROM claims WHERE snippet <> ''")
 def _(spark, sf):
     """X17 first tier, J11, M6."""
     checked = ev.snippet_checks(ad.claims(spark, sf), ad.reviews(spark, sf))
@@ -122,7 +122,7 @@ _QUOTES = rf"""
               FROM (SELECT *, CASE WHEN len(a) > 0 THEN a WHEN contains(snippet, '...') AND len(b) > 0 THEN b ELSE w END AS parts FROM (
                   SELECT review_id, field, snippet, {norm('text')} AS s, {norm('snippet')} AS q,
                          {_pieces(r"string_split(regexp_replace(snippet, '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1))")} AS a,
-                         {_pieces("string_split(snippet, '...')")} AS b, {_pieces("[snippet]")} AS w FROM claims)))))"""
+                         {_pieces("string_split(snippet, '...')")} AS b, {_pieces("[snippet]")} AS w FROM claims WHERE snippet <> '')))))"""
 
 
 @query("snippet_validity_multispan", ["claims"], f"""
