@@ -27,11 +27,20 @@ def group_overlap(hits: DataFrame) -> DataFrame:
 
 
 def coverage_correlation(businesses: DataFrame) -> DataFrame:
-    """Correlation of review count and covered topics."""
-    return businesses.agg(
-        F.corr(F.col("review_count").cast("double"), F.col("coverage").cast("double")).alias("correlation"),
-        F.count(F.lit(1)).alias("n"),
+    """Correlation of review count and covered topics over the businesses that have both.
+
+    Where one of the two does not vary it is undefined, NaN; without such businesses it is null.
+    """
+    x, y = (F.col(c).cast("double") for c in ("review_count", "coverage"))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    sums = businesses.agg(
+        F.regr_count(y, x).alias("pairs"), F.regr_sxy(y, x).alias("sxy"),
+        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"),
+        ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("varied"), F.count(F.lit(1)).alias("n"),
     )
+    # corr divides before any condition is looked at, and two equal values may differ by rounding.
+    r = F.try_divide(F.when(F.col("varied"), F.col("sxy")), F.sqrt("sxx") * F.sqrt("syy"))
+    return sums.select(F.when(F.col("pairs") > 0, F.coalesce(r, F.lit(float("nan")))).alias("correlation"), "n")
 
 
 def coverage_by_volume(businesses: DataFrame, edges: Sequence[int]) -> DataFrame:
