@@ -13,6 +13,7 @@ from arbitra.functions.conditions import (
 from arbitra.operators import formula, judgments, validation, verdicts
 from arbitra.plans import adapters as ad
 from arbitra.plans import catalog as cat
+from arbitra.plans.oracle import full_upper, norm
 from arbitra.plans.registry import longs, query, r6
 from arbitra.session import dimension
 
@@ -361,11 +362,29 @@ def _(spark, sf):
     return parts.select("p_partkey", text.alias("text"))
 
 
-@query("extraction_checks", ["raw", "reviews"], """
-    SELECT COUNT(*) AS total_relevant, COUNT(*) FILTER (WHERE staff_response = 'none') AS rejected_no_quote,
-           COUNT(*) FILTER (WHERE staff_response = 'accommodated') AS rejected_quote_not_found, COUNT(*) FILTER (WHERE staff_response = 'dismissive') AS valid_quotes,
-           COUNT(*) FILTER (WHERE staff_response = 'dismissive') * 3 AS enum_valid, 0 AS enum_rejected
-    FROM raw WHERE model = 'm-large' AND is_relevant""")
+def _pieces(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda x: {norm('x')}), lambda x: length(x) >= 10)"
+
+
+# The quotes of relevant rows, and all tiers of the quote check: whole, segments in reading order, shared words.
+_QUOTED = rf"""
+    SELECT COALESCE(trim(quote, ' '), '') = '' AS blank, COALESCE(q <> '' AND s <> '' AND (contains(s, q)
+               OR len(present) > 0 AND len(present) / len(parts) >= 0.8 AND present = list_sort(list_distinct(present))
+               OR len(words) >= 3 AND len(list_intersect(words, string_split(s, ' '))) / len(words) >= 0.8), FALSE) AS found
+    FROM (SELECT *, list_distinct(string_split(q, ' ')) AS words, list_filter(list_transform(parts, lambda x:
+                 CASE WHEN strpos(s, x) > 0 THEN strpos(s, x) ELSE strpos(s, regexp_replace(x, '[.,!?;:]+$', '')) END), lambda x: x > 0) AS present
+          FROM (SELECT *, CASE WHEN len(a) > 0 THEN a WHEN contains(quote, '...') AND len(b) > 0 THEN b ELSE w END AS parts FROM (
+              SELECT quote, {norm('text')} AS s, {norm('quote')} AS q,
+                     {_pieces(r"string_split(regexp_replace(quote, '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1))")} AS a,
+                     {_pieces("string_split(quote, '...')")} AS b, {_pieces("[quote]")} AS w
+              FROM (SELECT text, CASE staff_response WHEN 'dismissive' THEN {full_upper('text')} WHEN 'accommodated' THEN 'zzz zzz qqq words never there' END AS quote
+                    FROM raw JOIN reviews USING (review_id) WHERE model = 'm-large' AND is_relevant))))"""
+
+
+@query("extraction_checks", ["raw", "reviews"], f"""
+    SELECT COUNT(*) AS total_relevant, COUNT(*) FILTER (WHERE blank) AS rejected_no_quote, COUNT(*) FILTER (WHERE NOT blank AND NOT found) AS rejected_quote_not_found,
+           COUNT(*) FILTER (WHERE NOT blank AND found) AS valid_quotes, COUNT(*) FILTER (WHERE NOT blank AND found) * 3 AS enum_valid, 0 AS enum_rejected
+    FROM ({_QUOTED})""")
 def _(spark, sf):
     """Dismissive rows quote the whole text, accommodated ones something else, others nothing."""
     text = ad.reviews(spark, sf).select("review_id", "text")

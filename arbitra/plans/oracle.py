@@ -16,6 +16,13 @@ def norm(text: str) -> str:
     return f"trim(regexp_replace(lower({text}), '{WHITESPACE}', ' ', 'g'))"
 
 
+def full_upper(text: str) -> str:
+    """Upper case as Unicode and Spark have it; ``upper`` leaves characters that become several, as ß."""
+    for several in (c for c in map(chr, range(0x10000)) if len(c.upper()) > 1):
+        text = f"replace({text}, '{several}', '{several.upper()}')"
+    return f"upper({text})"
+
+
 def toks(text: str) -> str:
     return f"list_transform(regexp_extract_all({text}, '[A-Za-z0-9]+'), lambda x: lower(x))"
 
