@@ -32,6 +32,8 @@ LENGTH, SEED_BYTES = 50, 16
 #: Rows are scanned in shards of this many bytes; runs are merged in chunks of about this many,
 #: each of so many transforms.
 SHARD_BYTES, CHUNK_BYTES, TRANSFORMS = 4 << 20, 1 << 18, 8
+#: Windows are named in pieces of this many bytes, so a shard's arrays are as long as its runs, not its text.
+PIECE_BYTES = 1 << 18
 KNOWN = np.uint32(0xFFFFFFFF)
 
 
@@ -60,8 +62,17 @@ def window_names(data: bytes) -> np.ndarray:
     return least
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name, text, first window and number of windows of every run of equally named windows."""
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of at most ``most`` bytes, or of one row."""
+    upto, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        before = int(upto[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield begin, end
+        begin = end
+
+
+def _runs_of_piece(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     names = window_names(b"".join(texts))
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -79,14 +90,13 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return names[starts], text, starts - begin[text], lengths
 
 
-def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive rows of at most ``most`` bytes, or of one row."""
-    upto, begin = np.cumsum(sizes), 0
-    while begin < len(sizes):
-        before = int(upto[begin - 1]) if begin else 0
-        end = max(begin + 1, int(np.searchsorted(upto, before + most, side="right")))
-        yield begin, end
-        begin = end
+def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, text, first window and number of windows of every run of equally named windows."""
+    pieces = []
+    for begin, end in slices(np.array([len(t) for t in texts], dtype=np.int64), PIECE_BYTES):
+        name, text, start, length = _runs_of_piece(texts[begin:end])
+        pieces.append((name, text + begin, start, length))
+    return tuple(map(np.concatenate, zip(*pieces or [_runs_of_piece([])])))
 
 
 def packed(text: str) -> Column:
