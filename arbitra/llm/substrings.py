@@ -1,12 +1,14 @@
 """Removal of byte strings that repeat across documents, by merged Burrows-Wheeler transforms.
 
-1. Candidates.  Every 50-byte window is named by its least 16-byte hash (minimizer); consecutive
-   windows of one name form a run.  Equal windows have equal names, so a run can repeat only if its
-   name occurs in two documents.  Names travel as packed blocks, at most once per shard of rows.
-2. Runs whose name repeats are cut out with their bytes; equal ones in a shard are folded, keeping
-   the least document.  Runs of one name meet in one task.
+1. Candidates.  The seed of a 50-byte window is its least 16-byte hash (minimizer); consecutive
+   windows of one seed form a run.  A window also holds the 17 bytes before its seed or the 18 after
+   it.  Equal windows agree in seed and side, so a run can repeat only if its seed and one of its
+   sides occur in two documents: seeds alone repeat by chance the more, the larger the table is.
+   Names (seed and hashes of both sides) travel as packed blocks, at most once per shard of rows.
+2. Runs whose name is shared are cut out with their bytes; equal ones in a shard are folded, keeping
+   the least document.  Runs of one seed meet in one task.
 3. There they are dealt to small shards, each with its suffix array and Burrows-Wheeler transform.
-   The transforms are merged by refining their interleave two bytes at a time, up to 50 bytes,
+   The transforms are merged by refining their interleave five bytes at a time, up to 50 bytes,
    without sorting suffixes again; where an entry's block splits from the one before is the common
    prefix of the two.  Blocks that are whole after 50 bytes are the repeated intervals.
 4. A window goes if its block holds a smaller document.  Spans are gathered per row and cut.
@@ -29,6 +31,9 @@ from arbitra.llm.contamination import suffix_order
 from arbitra.llm.tables import written
 
 LENGTH, SEED_BYTES = 50, 16
+#: A window has so many bytes before its seed, or more than the rest of them after it.
+SIDE = (LENGTH - SEED_BYTES) // 2
+HIGH = np.uint64(0xFFFFFFFF00000000)
 #: Rows are scanned in shards of this many bytes; runs are merged in chunks of about this many,
 #: each of so many transforms.
 SHARD_BYTES, CHUNK_BYTES, TRANSFORMS = 4 << 20, 1 << 18, 8
@@ -45,14 +50,16 @@ def _mixed(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def window_names(data: bytes) -> np.ndarray:
-    """For every 50-byte window of the data the least hash of its 16-byte strings (48 bits)."""
+def window_seeds(data: bytes) -> np.ndarray:
+    """For every 50-byte window of the data the least hash of its 16-byte strings (32 bits) and its first place (32 bits)."""
     if len(data) < LENGTH:
         return np.zeros(0, dtype=np.uint64)
-    raw = np.frombuffer(data, dtype=np.uint8)
-    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
-    eight = np.ascontiguousarray(eight).view("<u8").ravel()
-    least = _mixed(_mixed(eight[:-8]) ^ (eight[8:] * np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(16)
+    eight = _eight(data)
+    least = eight[:-8] * np.uint64(0xE7037ED1A0B428DB)
+    least += eight[8:] * np.uint64(0xD6E8FEB86659FD93)
+    least = _mixed(least)
+    least &= HIGH
+    least |= np.arange(len(least), dtype=np.uint64)
     width = LENGTH - SEED_BYTES + 1
     have = 1
     while have < width:
@@ -62,6 +69,36 @@ def window_names(data: bytes) -> np.ndarray:
     return least
 
 
+def _eight(data: bytes) -> np.ndarray:
+    """The eight bytes at each place as a number: a view, without copies."""
+    return np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+
+
+def _side(data: bytes, at: np.ndarray, size: int) -> np.ndarray:
+    """16 bits of hash, not all zero, of the ``size`` (17 to 24) bytes at each place."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    for step in (0, 8, size - 8):
+        h = _mixed(h ^ (_eight(data)[at + step] * np.uint64(0xD6E8FEB86659FD93)))
+    return np.maximum(h >> np.uint64(48), np.uint64(1))
+
+
+def _names(data: bytes, seeds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Names of runs: seed (32 bits), hash of the bytes before it and of those after it (16 bits each).
+
+    A window has 17 bytes before its seed or 18 after it.  A side is zero if no window of the run has it;
+    both are if the seed occurs at several places in the run.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    first, last = seeds[starts], seeds[starts + lengths - 1]
+    name, at = first & HIGH, (first & ~HIGH).astype(np.int64)
+    left = np.flatnonzero((first == last) & (at - starts >= SIDE))
+    right = np.flatnonzero((first == last) & (at - (starts + lengths - 1) < SIDE))
+    name[left] |= _side(data, at[left] - SIDE, SIDE) << np.uint64(16)
+    name[right] |= _side(data, at[right] + SEED_BYTES, LENGTH - SEED_BYTES - SIDE + 1)
+    return name
+
+
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of at most ``most`` bytes, or of one row."""
     upto, begin = np.cumsum(sizes), 0
@@ -73,25 +110,24 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _runs_of_piece(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    names = window_names(b"".join(texts))
+    data = b"".join(texts)
+    seeds = window_seeds(data)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
-    inside = np.zeros(len(names) + 1, dtype=np.int64)  # 1 + text of a window that lies in one text
-    ok = sizes >= LENGTH
-    edges = np.zeros(len(names) + 1, dtype=np.int64)
-    edges[begin[ok]] += np.flatnonzero(ok) + 1
-    np.subtract.at(edges, begin[ok] + sizes[ok] - LENGTH + 1, np.flatnonzero(ok) + 1)
-    inside = np.cumsum(edges)[: len(names)]
-    starts = np.flatnonzero((np.diff(inside, prepend=-1) != 0) | (np.diff(names, prepend=names[:1] + np.uint64(1)) != 0))
-    lengths = np.diff(starts, append=len(names))
-    text = inside[starts] - 1
-    real = text >= 0
+    edge = np.ones(len(seeds) + 1, dtype=bool)
+    edge[1:-1] = (seeds[1:] ^ seeds[:-1]) & HIGH != 0
+    edge[np.minimum(np.concatenate([begin, begin + np.maximum(sizes - LENGTH + 1, 0)]), len(seeds))] = True
+    starts = np.flatnonzero(edge)
+    lengths = np.diff(starts)
+    starts = starts[:-1]
+    text = np.searchsorted(begin, starts, side="right") - 1
+    real = starts + LENGTH <= (begin + sizes)[text]  # windows that lie in one text
     starts, lengths, text = starts[real], lengths[real], text[real]
-    return names[starts], text, starts - begin[text], lengths
+    return _names(data, seeds, starts, lengths), text, starts - begin[text], lengths
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name, text, first window and number of windows of every run of equally named windows."""
+    """Name, text, first window and number of windows of every run of windows with one seed."""
     pieces = []
     for begin, end in slices(np.array([len(t) for t in texts], dtype=np.int64), PIECE_BYTES):
         name, text, start, length = _runs_of_piece(texts[begin:end])
@@ -133,10 +169,40 @@ def _unplaned(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
+def _of_several(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which entries have a key of several rows; row -1 stands for several."""
+    if not len(key):
+        return np.zeros(0, dtype=bool)
+    by = np.argsort(key, kind="stable")
+    key, row = key[by], row[by]
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
+    least = np.minimum.reduceat(row, first)
+    several = (least < 0) | (least != np.maximum.reduceat(row, first))
+    out = np.empty(len(key), dtype=bool)
+    out[by] = np.repeat(several, np.diff(first, append=len(key)))
+    return out
+
+
+def shared(name: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which entries share a seed and a side of it with another row.
+
+    A name without sides shares its seed with all names of that seed.
+    """
+    hit = np.zeros(len(name), dtype=bool)
+    for other in (np.uint64(0xFFFF), np.uint64(0xFFFF0000)):
+        has = np.flatnonzero(name & ~HIGH & ~other)
+        hit[has] |= _of_several(name[has] & ~other, row[has])
+    bare = name & ~HIGH == 0
+    if bare.any():
+        near = np.flatnonzero(np.isin(name & HIGH, name[bare]))
+        hit[near] |= _of_several(name[near] & HIGH, row[near])
+    return hit
+
+
 def repeated_names(docs: DataFrame) -> DataFrame:
-    """row, name: the names of each row's windows that other rows have, too.
+    """row, name: the names of each row's runs that share their seed and a side of it with other rows.
 
-    Names are 48-bit hashes; one shared by chance costs time only.
+    Names are hashes; one shared by chance costs time only.
     """
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -147,21 +213,20 @@ def repeated_names(docs: DataFrame) -> DataFrame:
                 if not len(name):
                     continue
                 row = part.column("row").to_numpy()
-                by = np.lexsort((text, name))
+                by = np.argsort(name, kind="stable")  # texts of a name stay in order
                 name, text = name[by], text[by]
                 new = (np.diff(name, prepend=name[:1] + np.uint64(1)) != 0) | (np.diff(text, prepend=-1) != 0)
                 name, text = name[new], text[new]
-                first = np.flatnonzero(np.diff(name, prepend=name[:1] + np.uint64(1)))
-                sizes = np.diff(first, append=len(name))
-                several = np.repeat(sizes, sizes) > 1
+                several = shared(name, text)
                 # What repeats inside the shard is settled here and goes on as one entry.
                 yield pa.RecordBatch.from_pydict({
                     "to": pa.array(row[text[several]] % parts, pa.int32()), "row": pa.array(row[text[several]]),
-                    "name": pa.array(name[several].astype(np.int64)),
+                    "name": pa.array(name[several].view(np.int64)),
                     "names": pa.nulls(int(several.sum()), pa.binary()), "texts": pa.nulls(int(several.sum()), pa.binary()),
                 })
-                name, text = name[first], np.where(sizes > 1, KNOWN, row[text[first]] - row[0]).astype(np.uint32)
-                to = (name % np.uint64(parts)).astype(np.int64)
+                first = np.flatnonzero(np.diff(name, prepend=name[:1] + np.uint64(1)))
+                name, text = name[first], np.where(several[first], KNOWN, row[text[first]] - row[0]).astype(np.uint32)
+                to = ((name >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[by], np.arange(parts + 1))
                 full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
@@ -185,21 +250,25 @@ def repeated_names(docs: DataFrame) -> DataFrame:
                 rows.append(np.where(text == KNOWN, -1, first + text.astype(np.int64)))
         if names:
             name, row = np.concatenate(names), np.concatenate(rows)
-            by = np.argsort(name, kind="stable")
-            name, row = name[by], row[by]
-            first = np.flatnonzero(np.diff(name, prepend=name[:1] + np.uint64(1)))
-            sizes = np.diff(first, append=len(name))
-            hit = (np.repeat((sizes > 1) | (np.minimum.reduceat(row, first) < 0), sizes)) & (row >= 0)
-            yield pa.RecordBatch.from_pydict({"row": pa.array(row[hit]), "name": pa.array(name[hit].astype(np.int64))})
+            hit = shared(name, row) & (row >= 0)
+            yield pa.RecordBatch.from_pydict({"row": pa.array(row[hit]), "name": pa.array(name[hit].view(np.int64))})
 
     packed = docs.select("row", "text").mapInArrow(collect, "to int, row long, name long, names binary, texts binary")
     return packed.repartition("to").mapInArrow(match, "row long, name long")
 
 
+def _least_owners(runs: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id of each distinct run, in order of appearance, and which of them each run is."""
+    code = runs.dictionary_encode().indices.to_numpy()
+    least = np.full(code.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, code, ids)
+    return least, code
+
+
 def _cut_runs(docs: DataFrame) -> DataFrame:
     """The runs with repeated names (column names) of each row, folded by shard.
 
-    Columns: name, run (bytes), id, row, start.  A run whose bytes a smaller document has in the same shard
+    Columns: name (the seed), run (bytes), id, row, start.  A run whose bytes a smaller document has in the same shard
     needs no search; it comes without bytes, its length in ``size``, and a name of its own.
     """
 
@@ -207,58 +276,56 @@ def _cut_runs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, texts in _shards(batch):
                 name, text, start, length = runs(texts)
-                ids, row = part.column("id").to_pylist(), part.column("row").to_pylist()
-                wanted = part.column("names")
+                ids, row, wanted = part.column("id").to_numpy(), part.column("row").to_numpy(), part.column("names")
                 cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-                best: dict[bytes, list] = {}  # run -> [least id, name, [(row, start)]]
-                done: list[tuple[int, int, int]] = []
-                for i, t in enumerate(texts):
-                    span = slice(cuts[i], cuts[i + 1])
-                    hit = np.flatnonzero(np.isin(name[span], wanted[i].values.to_numpy().view(np.uint64))) + cuts[i]
-                    for n, s, k in zip(name[hit].tolist(), start[hit].tolist(), length[hit].tolist()):
-                        run = t[s : s + k + LENGTH - 1]
-                        seen = best.get(run)
-                        if seen is None:
-                            best[run] = [ids[i], n, [(row[i], s)]]
-                        elif seen[0] == ids[i]:
-                            seen[2].append((row[i], s))
-                        elif seen[0] < ids[i]:
-                            done.append((row[i], s, len(run)))
-                        else:
-                            done += [(r, at, len(run)) for r, at in seen[2]]
-                            best[run] = [ids[i], n, [(row[i], s)]]
-                out = [(n, run, key, r, s, len(run)) for run, (key, n, places) in best.items() for r, s in places]
-                out += [((r * 0x9E3779B1 + s) & 0xFFFFFFFFFFFF, None, None, r, s, k) for r, s, k in done]
-                if out:
-                    columns = list(zip(*out))
-                    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, types)], names=["name", "run", "id", "row", "start", "size"]
-                    )
+                hit = np.concatenate([
+                    np.flatnonzero(np.isin(name[a:b], wanted[i].values.to_numpy().view(np.uint64))) + a
+                    for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
+                ])
+                if not len(hit):
+                    continue
+                name, text, start, size = name[hit], text[hit], start[hit], length[hit] + LENGTH - 1
+                found = [texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), (start + size).tolist())]
+                run = pa.array(found, pa.binary())
+                least, code = _least_owners(run, ids[text])
+                live = ids[text] == least[code]
+                own = (row[text] * 0x9E3779B1 + start) & 0xFFFFFFFFFFFF
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.where(live, (name >> np.uint64(32)).astype(np.int64), own)),
+                        pc.if_else(pa.array(live), run, pa.scalar(None, pa.binary())),
+                        pa.array(ids[text], mask=~live), pa.array(row[text]), pa.array(start), pa.array(size),
+                    ],
+                    names=["name", "run", "id", "row", "start", "size"],
+                )
 
     return docs.mapInArrow(cut, "name long, run binary, id long, row long, start long, size long")
 
 
 def merged_blocks(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the shards' Burrows-Wheeler transforms up to ``length`` (even) symbols.
+    """Merge the shards' Burrows-Wheeler transforms up to ``length`` symbols, up to five at a time.
 
     A shard is an array of symbols from 1 to 255, with 0 after each string.  Returns the positions
     (in the shards put together) in merged order, and the block of each: equal for suffixes that
     agree in ``length`` symbols, as far as no end of a string is among them.
     """
-    orders, pairs, offset = [], [], 0
+    stride = max(d for d in range(1, 6) if length % d == 0)
+    orders, grams, offset = [], [], 0
     for symbols in shards:
         order = _suffix_array(symbols)
-        before = np.concatenate([symbols[-2:], symbols]).astype(np.uint16)  # the shard is a circle
-        two_back = (before[:-2] << 8) | before[1:-1]  # the two symbols in front of each position
-        pairs.append(two_back[order])
+        before = symbols.take(np.arange(-stride, len(symbols)), mode="wrap").astype(np.uint64)  # the shard is a circle
+        back = np.zeros(len(symbols), dtype=np.uint64)  # the symbols in front of each position
+        for i in range(stride):
+            back = (back << np.uint64(8)) | before[i : i + len(symbols)]
+        grams.append(back[order])
         orders.append(order + offset)
         offset += len(symbols)
-    transform, places = np.concatenate(pairs), np.concatenate(orders)
+    found, transform = np.unique(np.concatenate(grams), return_inverse=True)
+    transform, places = transform.astype(np.min_scalar_type(len(found))), np.concatenate(orders)
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s) for s in shards])
     block = np.zeros(len(source), dtype=np.int32)
     symbol = np.empty_like(transform)
-    for _ in range(length // 2):
+    for _ in range(length // stride):
         # The i-th entry of a source in the interleave is the i-th of its transform.
         symbol[np.argsort(source, kind="stable")] = transform
         step = np.argsort(symbol, kind="stable")
@@ -279,8 +346,11 @@ def _suffix_array(symbols: np.ndarray) -> np.ndarray:
     return suffix_order(numbers, len(symbols))
 
 
-def repeats(strings: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each string the windows that also begin in a string of a smaller owner, as a mask."""
+def _marked(strings: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string begins in all of them, with one more place after each, and a mask of these places.
+
+    Marked are the windows that also begin in a string of a smaller owner.
+    """
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
     data = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
     ends = np.cumsum(sizes + 1) - 1
@@ -308,52 +378,70 @@ def repeats(strings: list[bytes], owners: np.ndarray, length: int = LENGTH) -> l
         first = np.flatnonzero(np.diff(block, prepend=-1))
         least = np.repeat(np.minimum.reduceat(owner, first), np.diff(first, append=len(block)))
         mark[order] = owner > least
-    return [mark[b : b + max(0, n - length + 1)] for b, n in zip(begin, sizes)]
+    return begin, mark
+
+
+def repeats(strings: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each string the windows that also begin in a string of a smaller owner, as a mask."""
+    begin, mark = _marked(strings, owners, length)
+    return [mark[b : b + max(0, len(s) - length + 1)] for b, s in zip(begin, strings)]
 
 
 def _search(found: DataFrame) -> DataFrame:
     """row, start, end of what goes, from the runs of each name."""
 
-    def spans_of(chunk: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        least: dict[bytes, int] = {}
-        names: dict[int, set[bytes]] = {}
-        for name, run, key, _, _ in chunk:
-            if run not in least or key < least[run]:
-                least[run] = key
-            names.setdefault(name, set()).add(run)
+    def spans_of(chunk: pa.Table) -> pa.RecordBatch:
+        name, key, row, start = (chunk.column(c).to_numpy() for c in ("name", "id", "row", "start"))
+        run = chunk.column("run").combine_chunks()
+        least, code = _least_owners(run, key)
+        first = np.full(len(least), -1)  # an entry of each distinct run
+        first[code] = np.arange(len(code))
+        _, group, sizes = np.unique(name[first], return_inverse=True, return_counts=True)
         # A name with one run is one string: its transform has no other to be merged with.
-        strings = sorted({run for found in names.values() if len(found) > 1 for run in found})
-        masks = dict(zip(strings, repeats(strings, np.array([least[s] for s in strings], dtype=np.int64)))) if strings else {}
-        for _, run, key, row, start in chunk:
-            if key > least[run]:
-                yield row, start, start + len(run)
-                continue
-            mask = masks.get(run)
-            if mask is not None and mask.any():
-                for a, b in np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist():
-                    yield row, start + a, start + b + LENGTH - 1
+        merged = np.flatnonzero(sizes[group] > 1)
+        begin, mark = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        if len(merged):
+            begin, mark = _marked(run.take(pa.array(first[merged])).to_pylist(), least[merged], LENGTH)
+        edges = np.diff(mark.astype(np.int8), prepend=0, append=0)  # no mark reaches the end of a string
+        lo, hi = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        string = np.searchsorted(begin, lo, side="right") - 1
+        lo, hi = lo - begin[string], hi - begin[string] + LENGTH - 1
+        spans = np.zeros(len(least) + 1, dtype=np.int64)
+        spans[merged + 1] = np.bincount(string, minlength=len(merged))
+        before = np.cumsum(spans)
+        whole = key > least[code]
+        own = np.flatnonzero(~whole & (spans[code + 1] > 0))
+        times = spans[code[own] + 1]
+        at = np.arange(times.sum()) + np.repeat(before[code[own]] - np.cumsum(times) + times, times)
+        own = np.repeat(own, times)
+        whole = np.flatnonzero(whole)
+        end = start[whole] + pc.binary_length(run).to_numpy(zero_copy_only=False)[whole]
+        columns = (row[own], row[whole]), (start[own] + lo[at], start[whole]), (start[own] + hi[at], end)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["row", "start", "end"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = [], 0
-
-        def out(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            columns = list(zip(*spans)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "start", "end"])
-
         for batch in batches:
             settled = batch.filter(pc.is_null(batch.column("run")))
             if len(settled):
                 end = pc.add(settled.column("start"), settled.column("size"))
                 yield pa.RecordBatch.from_arrays([settled.column("row"), settled.column("start"), end], names=["row", "start", "end"])
             live = batch.filter(pc.is_valid(batch.column("run")))
-            for entry in zip(*(live.column(c).to_pylist() for c in ("name", "run", "id", "row", "start"))):
-                if size >= CHUNK_BYTES and entry[0] != chunk[-1][0]:  # runs of one name stay together
-                    yield out(list(spans_of(chunk)))
-                    chunk, size = [], 0
-                chunk.append(entry)
-                size += len(entry[1])
+            while len(live):
+                name, upto = live.column("name").to_numpy(), size + np.cumsum(live.column("size").to_numpy())
+                last = chunk[-1].column("name")[-1].as_py() if chunk else name[0]
+                new = np.diff(name, prepend=last) != 0  # runs of one name stay together
+                full = np.flatnonzero(new & (np.concatenate([[size], upto[:-1]]) >= CHUNK_BYTES))
+                part = live.slice(0, full[0]) if len(full) else live
+                if len(part):
+                    chunk.append(part)
+                if not len(full):
+                    size = int(upto[-1])
+                    break
+                yield spans_of(pa.Table.from_batches(chunk))
+                chunk, size, live = [], 0, live.slice(full[0])
         if chunk:
-            yield out(list(spans_of(chunk)))
+            yield spans_of(pa.Table.from_batches(chunk))
 
     return found.repartition("name").sortWithinPartitions("name").mapInArrow(search, "row long, start long, end long")
 
@@ -386,12 +474,14 @@ def kept_bytes(text: bytes, spans: Sequence[dict] | None) -> tuple[bytes, int, i
     """What is left of a text, the number of removed bytes and of maximal removed runs."""
     if spans is None or not len(spans):
         return text, 0, 0
-    edges = np.zeros(len(text) + 1, dtype=np.int32)
-    np.add.at(edges, [s["start"] for s in spans], 1)
-    np.add.at(edges, [s["end"] for s in spans], -1)
-    gone = np.cumsum(edges[:-1]) > 0
-    n_spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-    return np.frombuffer(text, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), n_spans
+    kept, end, n_spans = [], 0, 0
+    for a, b in sorted((s["start"], s["end"]) for s in spans):
+        if a > end or not n_spans:
+            kept.append(text[end:a])
+            n_spans += 1
+        end = max(end, b)
+    left = b"".join([*kept, text[end:]])
+    return left, len(text) - len(left), n_spans
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
